@@ -1,0 +1,39 @@
+"""Intermediate tables in the folder that all machines of the cluster share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; where it is unset (tests on one machine), a new local one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = spark.conf.get("hearthgauge.scratch.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='hearthgauge-')}"
+        spark.conf.set("hearthgauge.scratch.dir", folder)
+    return folder.rstrip("/")
+
+
+class Scratch:
+    """Tables written once and reread: they cut lineage and survive the loss of any executor."""
+
+    def __init__(self, spark: SparkSession, what: str):
+        self.spark = spark
+        self.root = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.root}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, name: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
