@@ -9,13 +9,18 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import sys
+import types
 import unicodedata
+from itertools import chain
 
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-NEVER = 1 << 60
+BITS, PLACE_BITS = 20, 40
+PLACE, NEVER = (1 << PLACE_BITS) - 1, 1 << 62
 
 
 def byte_letters() -> list[str]:
@@ -25,54 +30,56 @@ def byte_letters() -> list[str]:
     return [chr(b if b in set(printable) else next(spare)) for b in range(256)]
 
 
-def merge_pairs(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """`symbols` after all merges; ranks: (left id, right id) -> (rank, merged id)."""
+def merge_pairs(symbols: list[int], ranks: dict[int, tuple[int, int]]) -> list[int]:
+    """`symbols` after all merges; ranks: left id << BITS | right id -> (rank << PLACE_BITS, merged id)."""
     n = len(symbols)
     if n < 2:
         return symbols
-    width = 1 << (n - 2).bit_length() if n > 2 else 1
-    ids, after, before = list(symbols), [*range(1, n), -1], [-1, *range(n - 1)]
     get = ranks.get
-    tree = [NEVER] * (2 * width)  # rank * n + place: the least is the leftmost of the lowest rank
+    if n == 2:
+        found = get(symbols[0] << BITS | symbols[1])
+        return symbols if found is None else [found[1]]
+    width = 1 << (n - 2).bit_length()
+    ids, after, before = list(symbols), [*range(1, n), -1], [-1, *range(n - 1)]
+    tree = [NEVER] * (2 * width)  # rank and place: the least is the leftmost of the lowest rank
+    left = ids[0]
     for k in range(n - 1):
-        if (found := get((ids[k], ids[k + 1]))) is not None:
-            tree[width + k] = found[0] * n + k
+        right = ids[k + 1]
+        if (found := get(left << BITS | right)) is not None:
+            tree[width + k] = found[0] | k
+        left = right
     for k in range(width - 1, 0, -1):
         a, b = tree[2 * k], tree[2 * k + 1]
         tree[k] = a if a < b else b
-
-    def put(place: int, value: int) -> None:
-        k = width + place
-        if tree[k] == value:
-            return
-        tree[k] = value
-        k >>= 1
-        while k:
-            a, b = tree[2 * k], tree[2 * k + 1]
-            best = a if a < b else b
-            if tree[k] == best:
-                return
-            tree[k] = best
-            k >>= 1
-
-    def rank(place: int) -> int:
-        nxt = after[place]
-        found = get((ids[place], ids[nxt])) if nxt >= 0 else None
-        return NEVER if found is None else found[0] * n + place
-
-    while (best := tree[1]) < NEVER:
-        k = best % n
+    while (best := tree[1]) != NEVER:
+        k = best & PLACE
         gone = after[k]
-        ids[k] = get((ids[k], ids[gone]))[1]
-        nxt = after[gone]
+        own = ids[k] = get(ids[k] << BITS | ids[gone])[1]
+        nxt, prev = after[gone], before[k]
         after[k] = nxt
         if nxt >= 0:
             before[nxt] = k
-        if gone < n - 1:
-            put(gone, NEVER)
-        put(k, rank(k))
-        if (prev := before[k]) >= 0:
-            put(prev, rank(prev))
+            found = get(own << BITS | ids[nxt])
+            changes = [(k, NEVER if found is None else found[0] | k), (gone, NEVER)]
+        else:
+            changes = [(k, NEVER)]  # the last symbol has no leaf of its own
+        if prev >= 0:
+            found = get(ids[prev] << BITS | own)
+            changes.append((prev, NEVER if found is None else found[0] | prev))
+        for place, value in changes:
+            i = width + place
+            if tree[i] == value:
+                continue
+            tree[i] = value
+            i >>= 1
+            while i:
+                a, b = tree[2 * i], tree[2 * i + 1]
+                if b < a:
+                    a = b
+                if tree[i] == a:
+                    break
+                tree[i] = a
+                i >>= 1
     out, k = [], 0
     while k >= 0:
         out.append(ids[k])
@@ -80,58 +87,92 @@ def merge_pairs(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]
     return out
 
 
+def kept_in_worker(key: str, make):
+    """What `make` returned for `key` when this process first asked; a Python worker serves many tasks."""
+    state = sys.modules.setdefault("hearthgauge_worker_state", types.ModuleType("hearthgauge_worker_state"))
+    if key not in state.__dict__:
+        state.__dict__[key] = make()
+    return state.__dict__[key]
+
+
 class Bpe:
     """Encoder and decoder of a tokenizer file: NFC, white space to one space, lower case; letters, single digits,
     other signs and English contractions as pieces; bytes as letters; an end mark on a piece's last symbol."""
 
-    def __init__(self, content: bytes, most: int = 300_000):
+    def __init__(self, content: bytes, most: int = 250_000):
         file = json.loads(content)
         model = file["model"]
         self.end = model["end_of_word_suffix"] or ""
         self.vocab = model["vocab"]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         v, cut = self.vocab, len(model["continuing_subword_prefix"] or "")
-        self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
+        self.ranks: dict[int, tuple[int, int]] = {}
         for k, (a, b) in enumerate(pairs):
-            self.ranks[v[a], v[b]] = (k, v[a + b[cut:]])
+            self.ranks[v[a] << BITS | v[b]] = (k << PLACE_BITS, v[a + b[cut:]])
         self.token = {i: t for t, i in v.items()}
         self.added = {t["content"]: t["id"] for t in file["added_tokens"]}
         self.token |= {i: t for t, i in self.added.items()}
         self.split_added = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.pieces = regex.compile(next(p["pattern"]["Regex"] for p in file["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"), regex.V0).findall
-        self.letters = byte_letters()
-        self.cache: dict[str, tuple[int, ...]] = {}
+        # without an unknown token, symbols that the vocabulary lacks are left out
+        letters = byte_letters()
+        self.inner = [v.get(c) for c in letters]
+        self.last = [v.get(c + self.end) for c in letters]
+        self.piece_cache: dict[str, tuple[int, ...]] = {}
+        self.word_cache: dict[str, tuple[int, ...]] = {}
+        self.text_cache: dict[str, tuple[int, str, str]] = {}
         self.most = most
         self.joined = " " if file["decoder"] is None else ""
         self.space = regex.compile(r"\s+")
+        #: What str.split() parts at although it is no white space to the pattern.
+        self.separators = re.compile("[\x1c-\x1f]").search
+
+    def _put(self, cache: dict, key: str, value):
+        if len(cache) >= self.most:
+            cache.clear()
+        cache[key] = value
+        return value
 
     def piece(self, text: str) -> tuple[int, ...]:
-        letters = [self.letters[b] for b in text.encode("utf-8", "replace")]
-        letters[-1] += self.end
-        # without an unknown token, symbols that the vocabulary lacks are left out
-        out = tuple(merge_pairs([self.vocab[c] for c in letters if c in self.vocab], self.ranks))
-        if len(self.cache) >= self.most:
-            self.cache.clear()
-        self.cache[text] = out
-        return out
+        raw = text.encode("utf-8", "replace")
+        symbols = [self.inner[b] for b in raw[:-1]] + [self.last[raw[-1]]]
+        return self._put(self.piece_cache, text, tuple(merge_pairs([x for x in symbols if x is not None], self.ranks)))
 
     def normal(self, text: str) -> str:
         # letter by letter: a capital sigma is never a final one, and other letters don't depend on their place
         return self.space.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
 
+    def _run(self, text: str) -> list[int]:
+        out: list[int] = []
+        get = self.piece_cache.get
+        for p in self.pieces(self.normal(text)):
+            out.extend(get(p) or self.piece(p))
+        return out
+
+    def word(self, text: str) -> tuple[int, ...]:
+        return self._put(self.word_cache, text, tuple(self._run(text)))
+
+    def parts(self, text: str) -> list[str] | None:
+        """Words of a text, if it can be encoded word by word: pieces, normal forms and small letters don't depend on
+        what is beyond white space; but added tokens and rare separators may."""
+        if self.separators(text) or self.split_added and any(t in text for t in self.added):
+            return None
+        return text.split()
+
     def encode(self, text: str | None) -> list[int]:
         """Ids of the whole text; the strings of added tokens become their ids."""
-        out: list[int] = []
         if not text:
-            return out
-        get, piece = self.cache.get, self.piece
-        parts = self.split_added.split(text) if self.split_added and any(t in text for t in self.added) else [text]
-        for k, part in enumerate(parts):
+            return []
+        words = self.parts(text)
+        if words is not None:
+            get, word = self.word_cache.get, self.word
+            return list(chain.from_iterable([get(w) or word(w) for w in words]))
+        out: list[int] = []
+        for k, part in enumerate(self.split_added.split(text) if self.split_added else [text]):
             if k % 2:
                 out.append(self.added[part])
-                continue
-            for p in self.pieces(self.normal(part)):
-                out.extend(get(p) or piece(p))
+            else:
+                out.extend(self._run(part))
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -139,6 +180,22 @@ class Bpe:
         token = self.token
         return self.joined.join([token[i] for i in ids if i in token])
 
+    def _spelt(self, word: str) -> tuple[int, str, str]:
+        ids = self._run(word)
+        return self._put(self.text_cache, word, (len(ids), " ".join(map(str, ids)), self.decode(ids)))
+
+    def digests(self, text: str | None) -> tuple[int, str, str]:
+        """Number of ids, and SHA-256 of the ids and of the decoded text."""
+        words = self.parts(text) if text else []
+        if words is None:
+            ids = self.encode(text)
+            n, numbers, decoded = len(ids), " ".join(map(str, ids)), self.decode(ids)
+        else:
+            get, spelt = self.text_cache.get, self._spelt
+            found = [f for f in [get(w) or spelt(w) for w in words] if f[0]]
+            n, numbers, decoded = sum([f[0] for f in found]), " ".join([f[1] for f in found]), self.joined.join([f[2] for f in found])
+        return n, hashlib.sha256(numbers.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+
 
 def encode_documents(docs: DataFrame, path: str, keep: list[str] | None = None, digests: bool = False) -> DataFrame:
     """`docs` with n_tokens, ids (array<int>) and decoded (string); or, with `digests`, their sha256 in place of both.
@@ -153,18 +210,15 @@ def encode_documents(docs: DataFrame, path: str, keep: list[str] | None = None,
     if len(content) > MOST_FILE:
         raise ValueError(f"{path} is over {MOST_FILE} bytes")
     sent = docs.sparkSession.sparkContext.broadcast(content)
+    key = f"bpe-{hashlib.sha256(content).hexdigest()}"
 
     def run(batches):
-        bpe = Bpe(sent.value)
+        bpe = kept_in_worker(key, lambda: Bpe(sent.value))
         for pdf in batches:
-            rows = []
-            for text in pdf["__text"]:
-                ids = bpe.encode(text)
-                decoded = bpe.decode(ids)
-                if digests:
-                    rows.append((len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
-                else:
-                    rows.append((len(ids), ids, decoded))
+            if digests:
+                rows = [bpe.digests(text) for text in pdf["__text"]]
+            else:
+                rows = [(len(ids), ids, bpe.decode(ids)) for ids in map(bpe.encode, pdf["__text"])]
             out = pdf.drop(columns="__text")
             yield pd.concat([out, pd.DataFrame(rows, columns=names, index=out.index)], axis=1)
 
