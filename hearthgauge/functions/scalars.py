@@ -165,7 +165,7 @@ def availability(n: Column, total: int) -> Column:
 
 def distance_text(metres: Column) -> Column:
     km = half_up(metres / 1000, 1)
-    return F.when(metres.isNull(), "資料不足").when(metres >= 1000, F.concat(F.format_number(km, "0.0"), F.lit(" 公里"))).otherwise(F.concat(F.floor(metres + 0.5).cast("string"), F.lit(" 公尺")))
+    return F.when(metres.isNull(), "資料不足").when(metres >= 1000, F.concat(F.format_string("%.1f", km), F.lit(" 公里"))).otherwise(F.concat(F.floor(metres + 0.5).cast("string"), F.lit(" 公尺")))
 
 
 def local_date_text(stamp: Column) -> Column:
