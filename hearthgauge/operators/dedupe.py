@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.geo import METRES_LAT, METRES_LON, planar
+from ..sources.scratch import Scratch
 
 
 def first_wins(rows: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
@@ -29,25 +31,30 @@ def merged_or_conflicting(rows: DataFrame, keys: list[str], order: str, metres:
 
 
 def greedy_unique(rows: DataFrame, group: list[str], ident: str, order: str, places: int = 7) -> DataFrame:
-    """`rows` with `outcome`: accepted, duplicateId or duplicateCoordinate, in `order` within `group`.
+    """`rows` with `outcome`: accepted, duplicateId or duplicateCoordinate, in `order` (unique) within `group`.
 
     Only accepted rows claim their id and coordinate (rounded to `places`), so each outcome depends on those before it.
-    Groups are the sources' districts, which are small; a group is one task's work.
+    That order is kept by rounds instead of one task a group: rows that are the first undecided ones of both their id
+    and their coordinate are accepted at once, and what shares either with them is decided. Rounds are as many as the
+    longest chain of rows that decide each other; each is written to the shared folder.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        ids, spots, out = set(), set(), []
-        for i, lat, lon in zip(pdf[ident], pdf["lat"], pdf["lon"], strict=True):
-            spot = (round(lat, places), round(lon, places))
-            out.append("duplicateId" if i in ids else "duplicateCoordinate" if spot in spots else "accepted")
-            if out[-1] == "accepted":
-                ids.add(i)
-                spots.add(spot)
-        return pdf.assign(outcome=out)
-
-    fields = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
-    return rows.groupBy(*group).applyInPandas(run, fields + ", outcome string")
+    scratch = Scratch(rows.sparkSession, "greedy-unique")
+    spot = [F.round("lat", places).alias("__la"), F.round("lon", places).alias("__lo")]
+    by_id, by_spot = [*group, ident], [*group, "__la", "__lo"]
+    undecided = scratch.save(rows.select(*group, ident, order, *spot), "0")
+    accepted, k = [], 0
+    while not undecided.isEmpty():
+        first_id, first_spot = undecided.groupBy(*by_id).agg(F.min(order).alias(order)), undecided.groupBy(*by_spot).agg(F.min(order).alias(order))
+        new = scratch.save(undecided.join(first_id, [*by_id, order], "left_semi").join(first_spot, [*by_spot, order], "left_semi"), f"accepted-{k}")
+        k += 1
+        undecided = scratch.save(undecided.join(new.select(*by_id), by_id, "left_anti").join(new.select(*by_spot), by_spot, "left_anti"), str(k))
+        accepted.append(new)
+    if not accepted:
+        return rows.withColumn("outcome", F.lit("accepted"))
+    own = reduce(DataFrame.unionByName, accepted).select(*by_id, F.col(order).alias("__first"))
+    claimed = rows.join(own, by_id, "left")
+    outcome = F.when(F.col(order) == F.col("__first"), "accepted").when(F.col("__first") < F.col(order), "duplicateId").otherwise("duplicateCoordinate")
+    return claimed.select(*rows.columns, outcome.alias("outcome"))
 
 
 def greedy_merge(rows: DataFrame, group: list[str], order: str, code: str, metres: float) -> DataFrame:
