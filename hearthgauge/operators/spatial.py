@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.geo import haversine, segment_distance
+from ..sources.scratch import Scratch
 
 
 def _cells(radius: float, most_lat: float) -> float:
@@ -80,16 +82,30 @@ def first_match(points: DataFrame, matches: DataFrame, key: list[str], order: st
     return points.join(best, key, "left").select(*points.columns, *(F.col(f"__m.{v}").alias(v) for v in values))
 
 
-def nearest(left: DataFrame, right: DataFrame, group: list[str], key: list[str], category: str, order: str, values: list[str]) -> DataFrame:
-    """Per row of `left` (key, lat, lon) and category of `right`: distance and `values` of the nearest in the same group.
+def nearest(left: DataFrame, right: DataFrame, group: list[str], key: list[str], category: str, order: str, values: list[str], radius: float = 1000.0, growth: float = 4.0, rounds: int = 4) -> DataFrame:
+    """Per row of `left` (key, lat, lon) and category of `right` in its group: distance and `values` of the nearest there.
 
-    The reference answer looks at the whole group (a district) and not beyond, ties by `order`. The minimum combines
-    before the shuffle, so no task gathers a group's rows.
+    The answer looks at the whole group (a district) and not beyond it, ties by `order`. It is found in growing circles:
+    a match within a circle is the nearest one for sure, and only what has none goes on to the next, `growth` times as
+    wide. After the last circle the few left are compared with their whole group and category. So the rows of a group
+    never all meet each other; each round is written to the shared folder. Null coordinates have no nearest.
     """
-    b = right.select(*group, category, order, *values, F.col("lat").alias("__lat"), F.col("lon").alias("__lon"))
-    met = left.select(*group, *key, "lat", "lon").join(b, group).withColumn("distance", haversine(F.col("lat"), F.col("lon"), F.col("__lat"), F.col("__lon")))
-    best = met.groupBy(*key, category).agg(F.min(F.struct("distance", order, *values)).alias("m"))
-    return best.select(*key, category, F.col("m.distance").alias("distance"), *(F.col(f"m.{v}").alias(v) for v in values))
+    scratch = Scratch(left.sparkSession, "nearest")
+    ranked = F.min(F.struct("distance", order, *values)).alias("m")
+    left, right = (x.where("lat IS NOT NULL AND lon IS NOT NULL") for x in (left, right))
+    there = right.select(*group, category, order, *values, "lat", "lon")
+    left_over = left.select(*group, *key, "lat", "lon").join(right.select(*group, category).distinct(), group)
+    found = []
+    for k in range(rounds):
+        met = radius_join(left_over, there, radius * growth**k, on=[*group, category])
+        found.append(scratch.save(met.groupBy(*key, category).agg(ranked), f"found-{k}"))
+        left_over = scratch.save(left_over.join(found[-1].select(*key, category), [*key, category], "left_anti"), f"left-{k}")
+        if left_over.isEmpty():
+            break
+    else:
+        rest = left_over.join(there.withColumnsRenamed({"lat": "__lat", "lon": "__lon"}), [*group, category])
+        found.append(rest.withColumn("distance", haversine(F.col("lat"), F.col("lon"), F.col("__lat"), F.col("__lon"))).groupBy(*key, category).agg(ranked))
+    return reduce(DataFrame.unionByName, found).select(*key, category, F.col("m.distance").alias("distance"), *(F.col(f"m.{v}").alias(v) for v in values))
 
 
 def in_own_polygon(points: DataFrame, polygons: DataFrame, on: list[str], tolerance: float = 0.0) -> DataFrame:
