@@ -7,9 +7,16 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 def stratified(rows: DataFrame, strata: str, order: str, each: int, total: int, reserve: int, group: list[str] | None = None, values: list[str] | None = None) -> DataFrame:
     """Rows with `role`: primary or reserve. In each group: `each` rows of each of `values` (default: all strata), filled
-    up to `total` in `order`, then `reserve` further rows. A group's candidates are ranked by windows over its rows."""
+    up to `total` in `order` (unique in a group), then `reserve` further rows.
+
+    Only the first rows of each stratum and of each group can be chosen; those are cut out first, by limits that hold
+    before the shuffle, so what is then ranked is small for any size of the input.
+    """
     group = group or []
-    ranked = rows.withColumn("__s", F.row_number().over(Window.partitionBy(*group, strata).orderBy(order)))
+    most = total + reserve
+    first = top_per_group(rows, group, order, most) if group else rows.orderBy(order).limit(most)
+    small = first.unionByName(top_per_group(rows, [*group, strata], order, each)).dropDuplicates([*group, order])
+    ranked = small.withColumn("__s", F.row_number().over(Window.partitionBy(*group, strata).orderBy(order)))
     picked = (F.col("__s") <= each) & (F.col(strata).isin(*values) if values else F.lit(True))
     placed = ranked.withColumn("__p", F.row_number().over(Window.partitionBy(*group).orderBy(F.when(picked, 0).otherwise(1), order)))
     primary = placed.withColumn("__primary", F.col("__p") <= total)
