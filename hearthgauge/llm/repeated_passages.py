@@ -11,6 +11,8 @@ bound more windows pass the filter and are grouped exactly, so results are the s
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window
@@ -24,10 +26,11 @@ FLUSH = 2_000_000
 NO_ID = 2**63 - 1
 
 
-def cells(h: np.ndarray, bits: int) -> list[np.ndarray]:
-    """Cell numbers of window hashes in each row of the sketch, rows one after another; 2**bits cells in all."""
-    own = np.uint64(64 - (bits - 1))
-    return [(h >> own), ((h * np.uint64(0x9E3779B97F4A7C15)) >> own) | np.uint64(1 << (bits - 1))]
+def cells(h: np.ndarray, bits: int, row: int) -> np.ndarray:
+    """Cell numbers of window hashes in one row of the sketch; rows follow one another, 2**bits cells in all."""
+    own = np.uint64(65 - bits)
+    c = ((h if row == 0 else h * np.uint64(0x9E3779B97F4A7C15)) >> own).astype(np.uint32)
+    return c | np.uint32(row << (bits - 1))
 
 
 def pack(offsets: np.ndarray) -> bytes:
@@ -45,11 +48,11 @@ def _sketch_parts(docs: DataFrame, window: int, bits: int) -> DataFrame:
 
     def flush(held):
         for row in range(ROWS):
-            c = np.sort(np.concatenate([cells(h, bits)[row] for h in held]).astype(np.int64))
-            which = c >> 20
+            c = np.sort(np.concatenate([cells(h, bits, row) for h in held]))
+            which = c >> np.uint32(20)
             cuts = np.flatnonzero(np.diff(which)) + 1
             starts = [0, *cuts.tolist(), len(c)]
-            yield pd.DataFrame({"range": which[np.array(starts[:-1])], "cells": [pack(c[a:b] & (RANGE - 1)) for a, b in zip(starts, starts[1:], strict=False)]})
+            yield pd.DataFrame({"range": which[np.array(starts[:-1])].astype(np.int64), "cells": [pack((c[a:b] & np.uint32(RANGE - 1)).astype(np.int32)) for a, b in zip(starts, starts[1:], strict=False)]})
 
     def run(batches):
         cache, held, n = WordCache(), [], 0
@@ -104,38 +107,42 @@ def sketch(docs: DataFrame, window: int) -> tuple[int, np.ndarray]:
 
 
 def _estimated_repeats(docs: DataFrame, window: int, bits: int, twice) -> DataFrame:
-    """(doc_id, text_key, start, h1, h2) of windows whose estimate is two or more. `twice`: the merged sketch, broadcast."""
+    """(doc_id, start, h1, h2) of windows whose estimate is two or more. `twice`: the merged sketch, compressed and broadcast."""
+    names = ("doc_id", "start", "h1", "h2")
 
     def run(batches):
-        cache, seen = WordCache(), twice.value
+        cache, seen = WordCache(), np.frombuffer(zlib.decompress(twice.value), np.uint8)
 
         def over(c: np.ndarray) -> np.ndarray:
-            return (seen[(c >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (c & np.uint64(7)).astype(np.uint8))) & 1 > 0
+            return (seen[c >> np.uint32(3)] >> (np.uint8(7) - (c & np.uint32(7)).astype(np.uint8))) & 1 > 0
 
         for pdf in batches:
-            found = [[], [], [], [], []]
+            found = [[], [], [], []]
             n = 0
-            for doc, key, text in zip(pdf["doc_id"].to_numpy(), pdf["text_key"].to_numpy(), pdf["text"], strict=True):
+            for doc, text in zip(pdf["doc_id"].to_numpy(), pdf["text"], strict=True):
                 w = word_hashes(split_words(text), cache)
                 h = run_hashes(w, window)
                 if not len(h):
                     continue
-                a, b = cells(h, bits)
-                at = np.flatnonzero(over(a))
-                at = at[over(b[at])]
+                at = np.flatnonzero(over(cells(h, bits, 0)))
+                at = at[over(cells(h[at], bits, 1))]
                 if not len(at):
                     continue
-                h2 = run_hashes(w, window, lane=1)[at].astype(np.uint32).view(np.int32)
-                for k, x in enumerate((np.full(len(at), doc), np.full(len(at), key), at.astype(np.int32), h[at].view(np.int64), h2)):
+                for k, x in enumerate((np.full(len(at), doc), at.astype(np.int32), h[at].view(np.int64), _second(w, window)[at])):
                     found[k].append(x)
                 n += len(at)
-                if n >= 200_000:
-                    yield pd.DataFrame(dict(zip(("doc_id", "text_key", "start", "h1", "h2"), map(np.concatenate, found), strict=True)))
-                    found, n = [[], [], [], [], []], 0
+                if n >= 100_000:
+                    yield pd.DataFrame(dict(zip(names, map(np.concatenate, found), strict=True)))
+                    found, n = [[], [], [], []], 0
             if n:
-                yield pd.DataFrame(dict(zip(("doc_id", "text_key", "start", "h1", "h2"), map(np.concatenate, found), strict=True)))
+                yield pd.DataFrame(dict(zip(names, map(np.concatenate, found), strict=True)))
+
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, start int, h1 long, h2 int")
+
 
-    return docs.select("doc_id", "text_key", "text").mapInPandas(run, "doc_id long, text_key long, start int, h1 long, h2 int")
+def _second(word_hashes: np.ndarray, window: int) -> np.ndarray:
+    """32 further bits of hash for each window."""
+    return run_hashes(word_hashes, window, lane=1).astype(np.uint32).view(np.int32)
 
 
 def remove_repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -147,22 +154,34 @@ def remove_repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame
     before each other. Rows repeated with one doc_id are judged each by its own text, and never against each other.
     """
     spark: SparkSession = docs.sparkSession
-    docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+    docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
     bits, twice = sketch(docs, window)
-    candidates = _estimated_repeats(docs, window, bits, spark.sparkContext.broadcast(twice))
+    # of equal texts only the smallest document's windows are grouped: all words of the others are repeated anyway
+    text_key = F.xxhash64("text")
+    firsts = docs.groupBy(text_key.alias("k"), F.xxhash64(F.lit(1), "text").alias("k2")).agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.collect_set("k").alias("keys"))
+    marked = docs.join(firsts, "doc_id", "left").select("doc_id", "text", F.coalesce(F.array_contains("keys", text_key), F.lit(False)).alias("is_first"))
+    candidates = _estimated_repeats(marked.where("is_first"), window, bits, spark.sparkContext.broadcast(zlib.compress(twice.tobytes(), 1)))
     # the smallest document of a window runs along its rows in order of doc_id, so none of them is held for the others
     along = Window.partitionBy("h1", "h2").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    repeated = candidates.withColumn("first", F.min("doc_id").over(along)).where("first < doc_id").groupBy("doc_id", "text_key").agg(F.collect_set("start").alias("starts"))
+    place = F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("h2").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    repeated = candidates.withColumn("first", F.min("doc_id").over(along)).where("first < doc_id").groupBy("doc_id").agg(F.collect_set(place).alias("places"))
 
     def run(batches):
+        cache = WordCache()
         for pdf in batches:
             rows = []
-            for text, starts in zip(pdf["text"], pdf["starts"], strict=True):
+            for text, is_first, places in zip(pdf["text"], pdf["is_first"], pdf["places"], strict=True):
                 words = split_words(text)
                 n = len(words)
-                if starts is not None and len(starts):
+                if not is_first and n >= window:
+                    words = []
+                elif places is not None and len(places) and n >= window:
+                    own = _second(word_hashes(words, cache), window)
+                    places = np.asarray(places, np.int64)
+                    at, second = places >> 32, (places & 0xFFFFFFFF).astype(np.uint32).view(np.int32)
+                    # other rows of the same doc_id can have other windows: only a row's own ones count
+                    at = at[(at < len(own)) & (own[np.minimum(at, len(own) - 1)] == second)]
                     change = np.zeros(n + 1, np.int64)
-                    at = np.asarray(starts, np.int64)
                     np.add.at(change, at, 1)
                     np.add.at(change, at + window, -1)
                     words = [words[k] for k in np.flatnonzero(np.cumsum(change[:-1]) == 0).tolist()]
@@ -171,6 +190,6 @@ def remove_repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame
             out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
             yield out
 
-    joined = docs.join(repeated, ["doc_id", "text_key"], "left").select("doc_id", "text", "starts")
+    joined = marked.join(repeated, "doc_id", "left").select("doc_id", "text", "is_first", "places")
     out = joined.mapInPandas(run, "doc_id long, text_kept string, n_words long, n_removed long")
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))

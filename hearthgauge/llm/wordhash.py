@@ -12,7 +12,7 @@ _PLACES = np.random.default_rng(20240229).integers(0, 2**63, 128, dtype=np.uint6
 class WordCache(dict):
     """Hash of each word seen; emptied when it holds `most` words, so its memory is bounded."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 
