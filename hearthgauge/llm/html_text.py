@@ -1,10 +1,10 @@
 """Main text of web pages by composite text density.
 
 A page is read into a tree without building objects for its text: tags open and close nodes, with the ends that HTML
-leaves out. A node's density is its characters per tag, lowered where its text is mostly links; the sum over its
-children is its density sum. The densities of the nodes from the body down to the one of the largest density sum give
-the threshold (the smallest of them); the node of the largest density sum among those is the main subtree, and inside
-it nodes below the threshold that are menus, notices, adverts, forms, comments and the like by tag or name are left out.
+leaves out. Menus, notices, adverts, forms, comments and the like are left out by tag or name, and count for nothing. A
+node's density is its characters per tag, lowered where its text is mostly links; its density sum adds those of its
+children. The densities from the body down to the node of the largest density sum give the threshold (the smallest of
+them); that node is the main subtree, widened to what holds it while that is as dense as the threshold.
 """
 
 from __future__ import annotations
@@ -39,7 +39,6 @@ NOISE = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banner|breadcrumbs?|comments?|comment-?list|respond|replies|disqus|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|promo|promotion|sponsor(?:ed)?|sidebar|side|widget|related|recommended|recommendations|share|sharing|social|menu|navbar|nav|navigation|pagination|pager|footer|masthead|login|signup|search|toolbar|skip|contentinfo|complementary|dialog)(?:$|[\s_-])"
     , re.I,
 )
-HEADER_OF_PAGE = frozenset({"body", "html", "div", "#root"})
 TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 OFF = re.compile(r"""(?:^|\s)hidden(?:[\s=]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
