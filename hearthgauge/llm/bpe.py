@@ -30,6 +30,21 @@ def byte_letters() -> list[str]:
     return [chr(b if b in set(printable) else next(spare)) for b in range(256)]
 
 
+def put(tree: list[int], i: int, value: int) -> None:
+    """Sets a leaf and the least values above it, as far as they change."""
+    if tree[i] == value:
+        return
+    tree[i] = value
+    while i > 1:
+        other = tree[i ^ 1]
+        i >>= 1
+        if other < value:
+            value = other
+        if tree[i] == value:
+            return
+        tree[i] = value
+
+
 def merge_pairs(symbols: list[int], ranks: dict[int, tuple[int, int]]) -> list[int]:
     """`symbols` after all merges; ranks: left id << BITS | right id -> (rank << PLACE_BITS, merged id)."""
     n = len(symbols)
@@ -60,26 +75,13 @@ def merge_pairs(symbols: list[int], ranks: dict[int, tuple[int, int]]) -> list[i
         if nxt >= 0:
             before[nxt] = k
             found = get(own << BITS | ids[nxt])
-            changes = [(k, NEVER if found is None else found[0] | k), (gone, NEVER)]
+            put(tree, width + k, NEVER if found is None else found[0] | k)
+            put(tree, width + gone, NEVER)
         else:
-            changes = [(k, NEVER)]  # the last symbol has no leaf of its own
+            put(tree, width + k, NEVER)  # the last symbol has no leaf of its own
         if prev >= 0:
             found = get(ids[prev] << BITS | own)
-            changes.append((prev, NEVER if found is None else found[0] | prev))
-        for place, value in changes:
-            i = width + place
-            if tree[i] == value:
-                continue
-            tree[i] = value
-            i >>= 1
-            while i:
-                a, b = tree[2 * i], tree[2 * i + 1]
-                if b < a:
-                    a = b
-                if tree[i] == a:
-                    break
-                tree[i] = a
-                i >>= 1
+            put(tree, width + prev, NEVER if found is None else found[0] | prev)
     out, k = [], 0
     while k >= 0:
         out.append(ids[k])
@@ -99,7 +101,7 @@ class Bpe:
     """Encoder and decoder of a tokenizer file: NFC, white space to one space, lower case; letters, single digits,
     other signs and English contractions as pieces; bytes as letters; an end mark on a piece's last symbol."""
 
-    def __init__(self, content: bytes, most: int = 250_000):
+    def __init__(self, content: bytes, most_words: int = 400_000, most_pieces: int = 700_000):
         file = json.loads(content)
         model = file["model"]
         self.end = model["end_of_word_suffix"] or ""
@@ -112,6 +114,7 @@ class Bpe:
         self.token = {i: t for t, i in v.items()}
         self.added = {t["content"]: t["id"] for t in file["added_tokens"]}
         self.token |= {i: t for t, i in self.added.items()}
+        self.number = {i: str(i) for i in self.token}
         self.split_added = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.pieces = regex.compile(next(p["pattern"]["Regex"] for p in file["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"), regex.V0).findall
         # without an unknown token, symbols that the vocabulary lacks are left out
@@ -121,14 +124,15 @@ class Bpe:
         self.piece_cache: dict[str, tuple[int, ...]] = {}
         self.word_cache: dict[str, tuple[int, ...]] = {}
         self.text_cache: dict[str, tuple[int, str, str]] = {}
-        self.most = most
+        self.most = {id(self.piece_cache): most_pieces}
+        self.most_words = most_words
         self.joined = " " if file["decoder"] is None else ""
         self.space = regex.compile(r"\s+")
         #: What str.split() parts at although it is no white space to the pattern.
         self.separators = re.compile("[\x1c-\x1f]").search
 
     def _put(self, cache: dict, key: str, value):
-        if len(cache) >= self.most:
+        if len(cache) >= self.most.get(id(cache), self.most_words):
             cache.clear()
         cache[key] = value
         return value
@@ -149,8 +153,18 @@ class Bpe:
             out.extend(get(p) or self.piece(p))
         return out
 
+    def _word(self, text: str) -> tuple[int, ...]:
+        """Ids of a text without white space. Letters alone are one piece, and so is a sign after them."""
+        t = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        get = self.piece_cache.get
+        if t.isalpha():
+            return get(t) or self.piece(t)
+        if t[-1] in ".,;:!?" and (letters := t[:-1]).isalpha():
+            return (get(letters) or self.piece(letters)) + (get(t[-1]) or self.piece(t[-1]))
+        return tuple(chain.from_iterable([get(p) or self.piece(p) for p in self.pieces(t)]))
+
     def word(self, text: str) -> tuple[int, ...]:
-        return self._put(self.word_cache, text, tuple(self._run(text)))
+        return self._put(self.word_cache, text, self._word(text))
 
     def parts(self, text: str) -> list[str] | None:
         """Words of a text, if it can be encoded word by word: pieces, normal forms and small letters don't depend on
@@ -181,8 +195,9 @@ class Bpe:
         return self.joined.join([token[i] for i in ids if i in token])
 
     def _spelt(self, word: str) -> tuple[int, str, str]:
-        ids = self._run(word)
-        return self._put(self.text_cache, word, (len(ids), " ".join(map(str, ids)), self.decode(ids)))
+        ids = self._word(word)
+        number, token = self.number, self.token
+        return self._put(self.text_cache, word, (len(ids), " ".join([number[i] for i in ids]), self.joined.join([token[i] for i in ids])))
 
     def digests(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, and SHA-256 of the ids and of the decoded text."""
