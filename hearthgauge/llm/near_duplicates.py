@@ -24,9 +24,12 @@ from .components import components
 from .scratch import Scratch
 from .wordhash import WordCache, mix, run_hashes, split_words, word_hashes
 
-SYMBOLS, CHUNKS, CHUNK, ERRORS = 256, 4, 5, 2
-#: Pairs whose signatures agree on a smaller part are not compared: 3.7 standard deviations below 0.75 at 256 symbols.
-SIGNATURE_LEAST = 0.65
+SYMBOLS, CHUNKS, CHUNK, ERRORS = 512, 4, 5, 2
+LEAST = 0.75
+#: Pairs whose signatures agree on a smaller part are not compared: 3.7 standard deviations below LEAST.
+SIGNATURE_LEAST = LEAST - 3.7 * (LEAST * (1 - LEAST) / SYMBOLS) ** 0.5
+#: The same for the part of different lowest bits, which is half the part of different symbols: 4 standard deviations above.
+BITS_MOST = (1 - LEAST) / 2 + 4 * ((1 - LEAST) / 2 * (1 + LEAST) / 2 / SYMBOLS) ** 0.5
 BLOCK = 2048
 
 
@@ -138,8 +141,8 @@ def _pairs_in_blocks(members: DataFrame) -> DataFrame:
             if two:
                 ok &= blk[js] != blk[i]
             js = js[ok]
-            if len(js):  # 1-bit agreement first: (1 + similarity) / 2, less four standard deviations
-                js = js[np.bitwise_count(bits[js] ^ bits[i]).sum(axis=1) <= 0.21 * SYMBOLS]
+            if len(js):
+                js = js[np.bitwise_count(bits[js] ^ bits[i]).sum(axis=1) <= BITS_MOST * SYMBOLS]
             if len(js):
                 js = js[(tail[js] == tail[i]).mean(axis=1) >= SIGNATURE_LEAST]
             found += [(i, j) for j in js.tolist()]
