@@ -24,7 +24,7 @@ def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(_table(spark, sf_dir, "documents"), TOKENIZER, digests=True)
+    return bpe.encode_documents(_table(spark, sf_dir, "documents"), TOKENIZER, digests=True, hold=True)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
