@@ -3,8 +3,8 @@
 A page is read into a tree without building objects for its text: tags open and close nodes, with the ends that HTML
 leaves out. Menus, notices, adverts, forms, comments and the like are left out by tag or name, and count for nothing. A
 node's density is its characters per tag, lowered where its text is mostly links; its density sum adds those of its
-children. The densities from the body down to the node of the largest density sum give the threshold (the smallest of
-them); that node is the main subtree, widened to what holds it while that is as dense as the threshold.
+children. The node of the largest sum, or the article or main element that holds it, is the main subtree. The smallest
+density from there up to the body gives the threshold by which every other block under the body stays or goes.
 """
 
 from __future__ import annotations
@@ -42,6 +42,11 @@ NOISE = re.compile(
 TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 OFF = re.compile(r"""(?:^|\s)hidden(?:[\s=]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: The base of the logarithm falls to 1 where a page has no links, and the density would have no bound.
+BASE_LEAST = 2.0
+#: A block is dense from this part of the smallest density on the main path, or with the density of 100 characters in one tag.
+LEAST_OF_PATH, DENSE = 0.25, 100 * math.log2(100)
 SPACE = re.compile(r"\s+")
 
 
@@ -133,8 +138,8 @@ class Page:
         del stack[k:]
 
 
-def densities(page: Page) -> tuple[list[float], list[float]]:
-    """Composite text density of each node, and the sum over its children."""
+def densities(page: Page) -> tuple[list[float], list[float], list[int], list[int]]:
+    """Composite text density of each node and the sum over its children; characters, and those in links."""
     n = len(page.tag)
     chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     in_link = [False] * n
@@ -163,37 +168,82 @@ def densities(page: Page) -> tuple[list[float], list[float]]:
             base = math.log(c / plain * lc + whole_links / whole * c + math.e)
             inner = c / max(1, lc) * t / lt
             # characters per tag, by the logarithm of what is not links to a base that rises with the links
-            out[k] = c / t * math.log(max(inner, 1.0) + 1e-9, base) if base > 1 else 0.0
-            out[k] = max(out[k], 0.0)
+            out[k] = c / t * math.log(max(inner, 1.0), max(base, BASE_LEAST))
     sums = [0.0] * n
     for k in range(1, n):
         sums[page.parent[k]] += out[k]
-    return out, sums
+    return out, sums, chars, link_chars
+
+
+def main_nodes(page: Page, live: list[int], body: int) -> list[bool]:
+    """Which nodes' own text is main text."""
+    density, sums, chars, link_chars = densities(page)
+    n, parent = len(page.tag), page.parent
+    under, holds_block = [False] * n, [False] * n
+    for k in live:
+        under[k] = k == body or k > body and under[parent[k]]
+    for k in reversed(live):
+        if k and (page.tag[k] in BLOCK or holds_block[k]):
+            holds_block[parent[k]] = True
+    # among equal sums the deeper node, so that a wrapper of one child does not stand for it
+    best = max((k for k in live if under[k]), key=lambda k: (sums[k], k if sums[k] else -k))
+    k = best
+    while k != body:
+        if page.tag[k] in ("article", "main"):
+            best = k
+            break
+        k = parent[k]
+    path, k = {body}, best
+    while k != body:
+        path.add(k)
+        k = parent[k]
+    least = min(LEAST_OF_PATH * min(density[k] for k in path), DENSE)
+    # text of a node outside its blocks
+    own = [0] * n
+    for node, text in page.runs:
+        if node >= 0 and under[node]:
+            while page.tag[node] not in BLOCK and not holds_block[node] and node != body:
+                node = parent[node]
+            own[node] += len(SPACE.sub(" ", text).strip())
+    kept, whole = [False] * n, [False] * n
+    sides: dict[int, list[int]] = {}
+    for k in live:
+        if not under[k]:
+            continue
+        up = parent[k]
+        if k == best and k != body or k != body and whole[up]:
+            kept[k] = whole[k] = True
+        elif k == body or k in path or page.tag[k] in BLOCK or holds_block[k]:
+            whole[k] = k not in path and density[k] >= least
+            kept[k] = whole[k] or k == best or own[k] * math.log2(max(own[k], 1)) >= least
+            if k != body:
+                sides.setdefault(up, []).append(k)
+        else:
+            kept[k] = kept[up]
+    # short blocks between kept ones belong to them, and so do headings right before one, unless they are mostly links
+    fill = [False] * n
+    for row in sides.values():
+        main = [whole[k] or k in path for k in row]
+        if any(main):
+            first, last = main.index(True), len(main) - 1 - main[::-1].index(True)
+            for i, k in enumerate(row):
+                joined = first < i < last or page.tag[k] in HEADINGS and i < last and main[i + 1]
+                fill[k] = joined and not main[i] and 2 * link_chars[k] <= chars[k]
+    for k in live:
+        if under[k] and k != body and (fill[k] or fill[parent[k]]):
+            fill[k] = kept[k] = True
+    return kept
 
 
 def main_text(source: str | None) -> str:
-    """Text of the main subtree: blocks in page order, joined by one space. Empty if there is none."""
+    """Text of the main blocks in page order, joined by one space. Empty if there is none."""
     if not source or not source.strip():
         return ""
     page = Page(source)
-    density, sums = densities(page)
     n = len(page.tag)
     live = [k for k in range(n) if not page.out[k]]
     body = max((k for k in live if page.tag[k] == "body"), default=0)
-    best = max(live, key=lambda k: (sums[k], -k), default=body)
-    threshold, k = math.inf, best
-    while k > 0:
-        if density[k] > 0:
-            threshold = min(threshold, density[k])
-        if k == body:
-            break
-        k = page.parent[k]
-    # up to the child of the body whose subtree is as dense as the path: blocks beside the best one belong to it
-    while best != body and page.parent[best] != body and page.parent[best] > 0 and density[page.parent[best]] >= threshold:
-        best = page.parent[best]
-    kept = [False] * n
-    for k in range(n):
-        kept[k] = not page.out[k] and (k == best or page.parent[k] >= 0 and kept[page.parent[k]])
+    kept = main_nodes(page, live, body)
     blocks, held = [], []
 
     def flush():

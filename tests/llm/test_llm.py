@@ -209,6 +209,19 @@ def test_main_text_of_pages(spark):
     assert len(html_text.main_text("<div>" * 3000 + "x" + "</div>" * 3000)) == 1
 
 
+def test_main_text_without_named_noise():
+    part = lambda k: f"Part {k} " + " ".join(f"word{7 * j + k}" for j in range(30))
+    menu, end = "<div><ul><li><a href=a>Home</a><li><a href=b>Shop</a></ul></div>", "<div>Copyright 2020</div>"
+    for link in ("", " <a href=q>one link</a>"):
+        text = [part(1) + re.sub("<.*?>", "", link), part(2), part(3)]
+        paragraphs = [f"<p>{part(1)}{link}</p>", f"<p>{part(2)}</p>", f"<p>{part(3)}</p>"]
+        top = menu if link else "<div>Home</div>"
+        # all in one subtree, over several children of the body, and in two parts with a heading
+        assert html_text.main_text(f"<body>{top}<div>{''.join(paragraphs)}</div>{end}</body>") == " ".join(text)
+        assert html_text.main_text(f"<body>{top}<h1>Title</h1>{'<p>Short.</p>'.join(paragraphs)}{end}</body>") == "Title " + " Short. ".join(text)
+        assert html_text.main_text(f"<body>{top}<div>{paragraphs[0]}{paragraphs[1]}</div><h2>Second</h2><div>{paragraphs[2]}</div>{end}</body>") == f"{text[0]} {text[1]} Second {text[2]}"
+
+
 # ---- chat
 
 
