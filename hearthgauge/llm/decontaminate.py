@@ -3,14 +3,15 @@
 Words become typed placeholders where a question can be given new values: numbers, units of measure and names (words
 with a capital). Windows of template words of the documents and of the benchmark meet in a hash join. A document that
 asks an item again with other values has its windows at one distance, and each value of the item stands for one value
-of the document throughout; windows that only look alike break that rule.
+of the document throughout; windows that only look alike break that rule. Beside the templates, windows of the words
+themselves meet without regard to case, so passages in capitals or small letters are found too.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .columns import hash_windows
+from .columns import hash_windows, let
 from .scratch import Scratch
 
 WINDOW = 8
@@ -37,12 +38,18 @@ def template_words(words: Column) -> Column:
     )
 
 
+def folded_words(words: Column) -> Column:
+    """Words without regard to case; a sharp s has two capitals."""
+    return F.transform(words, lambda w: F.replace(F.lower(w), F.lit("ß"), F.lit("ss")))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: float = 0.5) -> DataFrame:
     """Per row of `docs` (doc_id, text): doc_id, items (sorted item_ids found), n_windows, contaminated.
 
     An item of `benchmark` (item_id, text) is found where, at one distance between its place and the document's, at least
-    `share` of its windows match and every placeholder's value maps to a single value. Windows with under
-    LITERALS_LEAST plain words are left out; an item without any window (fewer than `width` words) is never found. Null
+    `share` of its windows match, by words regardless of case or by templates of which every placeholder's value maps to
+    a single value. Templates whose values do not are held against the item unless all its words are there. Template
+    windows with under LITERALS_LEAST plain words are left out; an item without any window (fewer than `width` words) is never found. Null
     and empty texts contain nothing; null item_ids are left out; equal rows have equal results; rows of one doc_id and different texts
     are judged apart. Other columns of both tables are ignored.
     """
@@ -51,33 +58,45 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sha
     plain = lambda words: F.size(F.filter(words, lambda w: ~F.startswith(w, F.lit("\u0001"))))
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", raw_words(F.col("text")).alias("item_words"))
     items = items.groupBy("item_id").agg(F.min("item_words").alias("item_words")).withColumn("item_template", template_words(F.col("item_words")))
-    item_windows = (
+    by_template = (
         items.select("item_id", "item_template", F.posexplode(hash_windows(F.col("item_template"), width)).alias("item_at", "window"))
         .where(plain(F.slice("item_template", F.col("item_at") + 1, width)) >= LITERALS_LEAST)
-        .select("item_id", "item_at", "window")
+        .select("item_id", "item_at", "window", F.lit(False).alias("exact"))
     )
-    item_windows = scratch.save(item_windows.withColumn("of", F.count("*").over(Window.partitionBy("item_id"))), "items")
+    by_words = items.select("item_id", F.posexplode(hash_windows(folded_words(F.col("item_words")), width)).alias("item_at", "window")).withColumn("exact", F.lit(True))
+    item_windows = by_template.unionByName(by_words)
+    item_windows = scratch.save(item_windows.withColumn("of", F.count("*").over(Window.partitionBy("item_id", "exact"))), "items")
     n = item_windows.count()
     table = F.broadcast(item_windows) if n <= MOST_BROADCAST else item_windows
 
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    words = keyed.where("text IS NOT NULL").select("doc_id", "text_key", raw_words(F.col("text")).alias("words")).select("doc_id", "text_key", template_words(F.col("words")).alias("template"))
-    windows = words.select("doc_id", "text_key", F.posexplode(hash_windows(F.col("template"), width)).alias("at", "window"))
-    hits = windows.join(table, "window").select("doc_id", "text_key", "item_id", (F.col("at") - F.col("item_at")).alias("distance"), "item_at", "of").distinct()
-    runs = hits.groupBy("doc_id", "text_key", "item_id", "distance", "of").agg(F.collect_set("item_at").alias("starts"))
+    words = keyed.where("text IS NOT NULL").select("doc_id", "text_key", raw_words(F.col("text")).alias("words"))
+    both = let(F.col("words"), lambda w: F.array(F.struct(F.lit(False).alias("exact"), hash_windows(template_words(w), width).alias("windows")), F.struct(F.lit(True).alias("exact"), hash_windows(folded_words(w), width).alias("windows"))))
+    windows = words.select("doc_id", "text_key", F.inline(both)).select("doc_id", "text_key", "exact", F.posexplode("windows").alias("at", "window"))
+    hits = windows.join(table, ["window", "exact"]).select("doc_id", "text_key", "item_id", "exact", (F.col("at") - F.col("item_at")).alias("distance"), "item_at", "of").distinct()
+    runs = hits.groupBy("doc_id", "text_key", "item_id", "exact", "distance", "of").agg(F.collect_set("item_at").alias("starts"))
     runs = scratch.save(runs.where(F.size("starts") >= share * F.col("of")), "runs")
+    templates = runs.where("NOT exact")
 
     # the values behind the placeholders, only of documents and items that met
-    some = runs.select("doc_id", "text_key").distinct().withColumnsRenamed({"doc_id": "d", "text_key": "t"})
+    some = templates.select("doc_id", "text_key").distinct().withColumnsRenamed({"doc_id": "d", "text_key": "t"})
     texts = keyed.join(some, keyed["doc_id"].eqNullSafe(some["d"]) & (keyed["text_key"] == some["t"]), "left_semi").dropDuplicates(["doc_id", "text_key"])
     texts = texts.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), raw_words(F.col("text")).alias("words"))
-    met = runs.join(items, "item_id").join(texts, runs["doc_id"].eqNullSafe(F.col("d")) & (runs["text_key"] == F.col("t")))
+    met = templates.join(items, "item_id").join(texts, templates["doc_id"].eqNullSafe(F.col("d")) & (templates["text_key"] == F.col("t")))
     places = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (width - 1)))))
     slots = F.filter(places, lambda p: F.startswith(F.col("item_template")[p], F.lit("\u0001")))
     values = F.array_distinct(F.transform(slots, lambda p: F.struct(F.col("item_words")[p].alias("of_item"), F.col("words")[p + F.col("distance")].alias("of_document"))))
     consistent = F.size("values") == F.size(F.array_distinct(F.transform("values", lambda v: v["of_item"])))
-    found = met.withColumn("values", values).where(consistent)
-    verdict = found.groupBy("d", "t").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.sum(F.size("starts")).alias("n_windows"))
+    by_values = met.withColumn("values", values).select("d", "t", "item_id", "starts", F.lit(False).alias("whole"), F.lit(False).alias("exact"), consistent.alias("fits"))
+    by_text = runs.where("exact").select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "item_id", "starts", (F.size("starts") == F.col("of")).alias("whole"), "exact", F.lit(True).alias("fits"))
+    # a template whose values break the rule speaks against words alike, unless those are the whole item
+    seen = by_values.unionByName(by_text).groupBy("d", "t", "item_id").agg(
+        F.max(F.when(F.col("fits"), F.size("starts"))).alias("n_windows"),
+        F.bool_or(F.col("whole") | (~F.col("exact") & F.col("fits"))).alias("sure"),
+        F.bool_or(~F.col("fits")).alias("against"),
+    )
+    found = seen.where("sure OR NOT against")
+    verdict = found.groupBy("d", "t").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.sum("n_windows").alias("n_windows"))
     rows = keyed.select("doc_id", "text_key")
     out = rows.join(verdict, rows["doc_id"].eqNullSafe(F.col("d")) & (rows["text_key"] == F.col("t")), "left")
     return out.select(

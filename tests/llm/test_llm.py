@@ -260,6 +260,19 @@ def test_contaminated_finds_planted_items(spark):
     assert {r.doc_id: list(r["items"]) for r in decontaminate.contaminated(docs, bench).collect()} == want
 
 
+def test_contaminated_regardless_of_case(spark):
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "benchmark"))
+    docs = docs.where("doc_id IN (1699, 6420, 8376) OR doc_id < 500")
+    item = "Der Bauer gibt dem Nachbarn Straße und Garten, die Äpfel bleiben aber bei ihm im Keller"
+    own = spark.createDataFrame([(-1, item.upper()), (-2, item.lower()), (-3, item)], "doc_id long, text string")
+    docs, bench = docs.select("doc_id", "text").unionByName(own), bench.select("item_id", "text").unionByName(spark.createDataFrame([(-9, item)], "item_id long, text string"))
+    norm = lambda t: " ".join((t or "").upper().split())
+    items = {r.item_id: norm(r.text) for r in bench.collect()}
+    want = {d: sorted(i for i, x in items.items() if x in norm(t)) for d, t in texts(docs).items()}
+    assert want[1699] and want[6420] and want[8376] and want[-1] == want[-2] == want[-3] == [-9]
+    assert {r.doc_id: list(r["items"]) for r in decontaminate.contaminated(docs, bench).collect()} == want
+
+
 # ---- personal data
 
 
