@@ -2,7 +2,7 @@
 
 Words become typed placeholders where a question can be given new values: numbers, units of measure and names (words
 with a capital). Windows of template words of the documents and of the benchmark meet in a hash join. A document that
-asks an item again with other values has its windows at one distance, and each value of the item stands for one value
+asks an item again with other values has its windows at one distance, or at near ones if it was edited, and each value of the item stands for one value
 of the document throughout; windows that only look alike break that rule. Beside the templates, windows of the words
 themselves meet without regard to case, so passages in capitals or small letters are found too.
 """
@@ -17,6 +17,10 @@ from .scratch import Scratch
 WINDOW = 8
 #: Words of a window that are not placeholders; below it a template says too little.
 LITERALS_LEAST = 4
+#: Distances that differ by no more belong to one copy of an item.
+NEAR = 16
+#: So many words of an item in a row are a hit, whatever part of it they are.
+RUN = 13
 #: Benchmark windows that may be broadcast (16 bytes each); more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 UNITS = "mm cm m km g kg mg ml l kwh mb gb tb km/h mph seconds minutes hours days weeks months years dollars euros cents percent miles feet inches pounds ounces liters litres meters metres kilometers kilometres grams kilograms degrees".split()
@@ -43,13 +47,29 @@ def folded_words(words: Column) -> Column:
     return F.transform(words, lambda w: F.replace(F.lower(w), F.lit("ß"), F.lit("ss")))
 
 
+def _opens(words: Column, i: Column) -> Column:
+    """Whether element i of template words does not go on with the placeholder before it."""
+    return ~F.startswith(words[i], F.lit("\u0001")) | (i == 0) | (words[F.greatest(i - 1, F.lit(0))] != words[i])
+
+
+def collapsed(template: Column) -> Column:
+    """Template words with one placeholder for neighbours alike, so a name or number may have any number of words."""
+    return let(template, lambda t: F.filter(t, lambda _, i: _opens(t, i)))
+
+
+def run_starts(template: Column) -> Column:
+    """Place of each collapsed word among the words, and their number at the end."""
+    return let(template, lambda t: F.concat(F.filter(F.transform(t, lambda _, i: i), lambda i: _opens(t, i)), F.array(F.size(t))))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: float = 0.5) -> DataFrame:
     """Per row of `docs` (doc_id, text): doc_id, items (sorted item_ids found), n_windows, contaminated.
 
-    An item of `benchmark` (item_id, text) is found where, at one distance between its place and the document's, at least
-    `share` of its windows match, by words regardless of case or by templates of which every placeholder's value maps to
-    a single value. Templates whose values do not are held against the item unless all its words are there. Template
-    windows with under LITERALS_LEAST plain words are left out; an item without any window (fewer than `width` words) is never found. Null
+    An item of `benchmark` (item_id, text) is found where windows at distances near one another cover at least `share`
+    of its words or RUN words in a row, by words regardless of case or by templates of which every placeholder's value
+    maps to a single value. Templates whose values do not are held against the item unless all its words are there.
+    Template windows with under LITERALS_LEAST plain words are left out; an item with fewer than `width` words is found
+    where it stands whole, so one of a single word is found in each text with that word. Null
     and empty texts contain nothing; null item_ids are left out; equal rows have equal results; rows of one doc_id and different texts
     are judged apart. Other columns of both tables are ignored.
     """
@@ -57,38 +77,63 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sha
     scratch = Scratch(spark, "decontaminate")
     plain = lambda words: F.size(F.filter(words, lambda w: ~F.startswith(w, F.lit("\u0001"))))
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", raw_words(F.col("text")).alias("item_words"))
-    items = items.groupBy("item_id").agg(F.min("item_words").alias("item_words")).withColumn("item_template", template_words(F.col("item_words")))
+    items = items.groupBy("item_id").agg(F.min("item_words").alias("item_words")).withColumn("full", template_words(F.col("item_words")))
+    items = items.withColumns({"item_template": collapsed(F.col("full")), "item_places": run_starts(F.col("full"))}).drop("full")
     by_template = (
-        items.select("item_id", "item_template", F.posexplode(hash_windows(F.col("item_template"), width)).alias("item_at", "window"))
+        items.select("item_id", "item_template", F.size("item_template").alias("of"), F.posexplode(hash_windows(F.col("item_template"), width)).alias("item_at", "window"))
         .where(plain(F.slice("item_template", F.col("item_at") + 1, width)) >= LITERALS_LEAST)
-        .select("item_id", "item_at", "window", F.lit(False).alias("exact"))
+        .select("item_id", "item_at", "window", "of", F.lit(False).alias("exact"))
     )
-    by_words = items.select("item_id", F.posexplode(hash_windows(folded_words(F.col("item_words")), width)).alias("item_at", "window")).withColumn("exact", F.lit(True))
-    item_windows = by_template.unionByName(by_words)
-    item_windows = scratch.save(item_windows.withColumn("of", F.count("*").over(Window.partitionBy("item_id", "exact"))), "items")
+    folded = items.select("item_id", folded_words(F.col("item_words")).alias("w"), F.size("item_words").alias("of")).where("of > 0")
+    by_words = folded.select("item_id", F.posexplode(F.when(F.col("of") < width, F.array(F.xxhash64("w"))).otherwise(hash_windows(F.col("w"), width))).alias("item_at", "window"), "of", F.lit(True).alias("exact"))
+    item_windows = scratch.save(by_template.unionByName(by_words), "items")
     n = item_windows.count()
     table = F.broadcast(item_windows) if n <= MOST_BROADCAST else item_windows
+    # items shorter than a window are matched whole; at most width - 1 lengths
+    short = sorted(r["of"] for r in item_windows.where(F.col("exact") & (F.col("of") < width)).select("of").distinct().collect())
 
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     words = keyed.where("text IS NOT NULL").select("doc_id", "text_key", raw_words(F.col("text")).alias("words"))
-    both = let(F.col("words"), lambda w: F.array(F.struct(F.lit(False).alias("exact"), hash_windows(template_words(w), width).alias("windows")), F.struct(F.lit(True).alias("exact"), hash_windows(folded_words(w), width).alias("windows"))))
-    windows = words.select("doc_id", "text_key", F.inline(both)).select("doc_id", "text_key", "exact", F.posexplode("windows").alias("at", "window"))
-    hits = windows.join(table, ["window", "exact"]).select("doc_id", "text_key", "item_id", "exact", (F.col("at") - F.col("item_at")).alias("distance"), "item_at", "of").distinct()
-    runs = hits.groupBy("doc_id", "text_key", "item_id", "exact", "distance", "of").agg(F.collect_set("item_at").alias("starts"))
-    runs = scratch.save(runs.where(F.size("starts") >= share * F.col("of")), "runs")
+    kind = lambda exact, hashes: F.struct(F.lit(exact).alias("exact"), hashes.alias("windows"))
+    by_kind = let(F.col("words"), lambda w: F.array(kind(False, hash_windows(collapsed(template_words(w)), width)), let(folded_words(w), lambda x: kind(True, F.concat(hash_windows(x, width), *(hash_windows(x, k) for k in short))))))
+    windows = words.select("doc_id", "text_key", F.inline(by_kind)).select("doc_id", "text_key", "exact", F.posexplode("windows").alias("at", "window"))
+    distance = F.when(F.col("exact") & (F.col("of") < width), 0).otherwise(F.col("at") - F.col("item_at")).alias("distance")
+    hits = windows.join(table, ["window", "exact"]).select("doc_id", "text_key", "item_id", "exact", distance, "item_at", "of").distinct()
+    pair = ["doc_id", "text_key", "item_id", "exact", "of"]
+    at_one = hits.groupBy(*pair, "distance").agg(F.collect_set("item_at").alias("starts"))
+    # words put in or left out shift what follows; distances near one another belong together
+    order = Window.partitionBy(*pair).orderBy("distance")
+    apart = F.coalesce((F.col("distance") - F.lag("distance").over(order) > NEAR).cast("int"), F.lit(0))
+    grouped = at_one.withColumn("apart", apart).withColumn("cluster", F.sum("apart").over(order)).groupBy(*pair, "cluster").agg(F.collect_list(F.struct("distance", "starts")).alias("parts"))
+    several = F.size("parts") > 1
+    alone = F.when(several, F.transform("parts", lambda x: F.array(x))).otherwise(F.array().cast(f"array<{grouped.schema['parts'].dataType.simpleString()}>"))
+    runs = grouped.select(*pair, F.explode(F.concat(F.array("parts"), alone)).alias("parts"))
+    length = F.least(F.lit(width), F.col("of"))
+    spread = lambda starts: F.flatten(F.transform(starts, lambda x: F.sequence(x, x + length - 1)))
+    runs = runs.withColumns({"starts": F.array_distinct(F.flatten(F.col("parts.starts"))), "covered": F.array_sort(F.array_distinct(F.flatten(F.transform("parts", lambda x: spread(x["starts"])))))})
+    state = lambda last, n, most: F.struct(last.cast("int").alias("last"), n.cast("int").alias("n"), most.cast("int").alias("most"))
+
+    def step(acc, x):
+        n = F.when(x == acc["last"] + 1, acc["n"] + 1).otherwise(1)
+        return state(x, n, F.greatest(acc["most"], n))
+
+    longest = F.aggregate("covered", state(F.lit(-9), F.lit(0), F.lit(0)), step, lambda acc: acc["most"])
+    runs = scratch.save(runs.where((F.size("covered") >= share * F.col("of")) | (longest >= RUN)).drop("covered"), "runs")
     templates = runs.where("NOT exact")
 
     # the values behind the placeholders, only of documents and items that met
     some = templates.select("doc_id", "text_key").distinct().withColumnsRenamed({"doc_id": "d", "text_key": "t"})
     texts = keyed.join(some, keyed["doc_id"].eqNullSafe(some["d"]) & (keyed["text_key"] == some["t"]), "left_semi").dropDuplicates(["doc_id", "text_key"])
-    texts = texts.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), raw_words(F.col("text")).alias("words"))
+    texts = texts.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), raw_words(F.col("text")).alias("words")).withColumn("places", run_starts(template_words(F.col("words"))))
     met = templates.join(items, "item_id").join(texts, templates["doc_id"].eqNullSafe(F.col("d")) & (templates["text_key"] == F.col("t")))
-    places = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (width - 1)))))
-    slots = F.filter(places, lambda p: F.startswith(F.col("item_template")[p], F.lit("\u0001")))
-    values = F.array_distinct(F.transform(slots, lambda p: F.struct(F.col("item_words")[p].alias("of_item"), F.col("words")[p + F.col("distance")].alias("of_document"))))
+    value = lambda words, places, p: F.lower(F.array_join(F.slice(words, places[p] + 1, places[p + 1] - places[p]), " "))
+    slots = lambda part: F.filter(F.array_distinct(spread(part["starts"])), lambda p: F.startswith(F.col("item_template")[p], F.lit("\u0001")))
+    of_part = lambda part: F.transform(slots(part), lambda p: F.struct(value(F.col("item_words"), F.col("item_places"), p).alias("of_item"), value(F.col("words"), F.col("places"), p + part["distance"]).alias("of_document")))
+    values = F.array_distinct(F.flatten(F.transform("parts", of_part)))
     consistent = F.size("values") == F.size(F.array_distinct(F.transform("values", lambda v: v["of_item"])))
     by_values = met.withColumn("values", values).select("d", "t", "item_id", "starts", F.lit(False).alias("whole"), F.lit(False).alias("exact"), consistent.alias("fits"))
-    by_text = runs.where("exact").select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "item_id", "starts", (F.size("starts") == F.col("of")).alias("whole"), "exact", F.lit(True).alias("fits"))
+    whole = F.exists("parts", lambda x: F.size(x["starts"]) == F.col("of") - length + 1)
+    by_text = runs.where("exact").select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "item_id", "starts", whole.alias("whole"), "exact", F.lit(True).alias("fits"))
     # a template whose values break the rule speaks against words alike, unless those are the whole item
     seen = by_values.unionByName(by_text).groupBy("d", "t", "item_id").agg(
         F.max(F.when(F.col("fits"), F.size("starts"))).alias("n_windows"),

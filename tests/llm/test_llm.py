@@ -273,6 +273,25 @@ def test_contaminated_regardless_of_case(spark):
     assert {r.doc_id: list(r["items"]) for r in decontaminate.contaminated(docs, bench).collect()} == want
 
 
+def test_contaminated_by_edited_items(spark):
+    w = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(100)]
+    items = {k: [f"{x}{chr(97 + k)}" for x in w[:n]] for k, n in enumerate((15, 27, 59, 100))}
+    docs, want = [], {}
+    for k, x in items.items():
+        half = len(x) // 2 + 1
+        for d, text in enumerate((x, x[:half] + ["inserted"] + x[half:], x[: half + 1] + x[half + 2 :], x[5:25] if len(x) > 50 else x)):
+            docs.append((10 * k + d, "so " + " ".join(text) + " end"))
+            want[10 * k + d] = [k]
+    items[20] = "When Anna meets the old farmer near a mill they share bread and Anna pays him well for it".split()
+    docs += [(200, " ".join(items[20]).replace("Anna", "Maria Lopez Garcia")), (201, "they share bread and then go"), (202, "it is Two Plus Two here"), (203, "two plus three")]
+    items |= {21: ["two", "plus", "two"], 22: "Anna Bert Carl Dora Emil Fritz Gerd Hans Ida Jan".split()}
+    docs.append((204, "by Anna Bert Carl Dora Emil Fritz Gerd Hans Ida Jan"))
+    want |= {200: [20], 201: [], 202: [21], 203: [], 204: [22]}
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in items.items()], "item_id long, text string")
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench)
+    assert {r.doc_id: list(r["items"]) for r in found.collect()} == want
+
+
 # ---- personal data
 
 
