@@ -167,19 +167,19 @@ def comparison(metrics: DataFrame, key: str, names: list[str], keys: list) -> Da
 def analyse(properties: DataFrame, sales: DataFrame, facilities: DataFrame, accidents: DataFrame, hazards: DataFrame, sources: DataFrame, radius: int = NEAR) -> DataFrame:
     """The whole result document per property: price, trend, hazards, facilities, accidents, completeness, checklist.
 
-    hazards: property_id, flood, liquefaction (levels; unknown where nothing is known). sources: id, status.
-    Each part is one row a property, so the parts join by property_id.
+    hazards: property_id, flood, liquefaction (levels; unknown where nothing is known). sources: district, id,
+    status; a property's are those of its district. Each part is one row a property, so the parts join by property_id.
     """
     price = price_analysis(properties, sales)
     trend = trend_array(price_trend(properties, sales)).select("property_id", "trend")
     counts, accident = radius_counts(properties, facilities, radius), accident_summary(properties, accidents, radius)
     close = nearest_facilities(properties, facilities).groupBy("property_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", F.struct("distance", "name"))))).alias("nearest"))
-    state = sources.agg(F.count_if(F.col("status") == "official").alias("n"), F.count("*").alias("all"), F.max((F.col("id") == "accidents") & F.col("status").isin("official", "stale")).alias("accidents_known"))
+    state = sources.groupBy("district").agg(F.count_if(F.col("status") == "official").alias("n"), F.count("*").alias("all"), F.max((F.col("id") == "accidents") & F.col("status").isin("official", "stale")).alias("accidents_known"))
     present = facilities.groupBy("district").agg(F.max(F.col("category").isin("metro", "rail")).alias("has_rail"), F.max(~F.col("category").isin(*TRANSPORT)).alias("has_life"))
     out = properties.select("property_id", "district").join(price, "property_id").join(trend, "property_id", "left").join(counts, "property_id").join(accident, "property_id").join(close, "property_id", "left").join(hazards, "property_id", "left").join(present, "district", "left")
-    out = out.join(F.broadcast(state)).withColumns({"flood": F.coalesce("flood", F.lit("unknown")), "liquefaction": F.coalesce("liquefaction", F.lit("unknown"))})  # state is one row
+    out = out.join(state, "district", "left").withColumns({"flood": F.coalesce("flood", F.lit("unknown")), "liquefaction": F.coalesce("liquefaction", F.lit("unknown"))})
     score = completeness(F.col("sample_count") >= SAMPLES_LEAST, F.col("flood") != "unknown", F.col("liquefaction") != "unknown", F.col("has_rail"), F.col("has_life"), F.col("accidents_known"))
-    quality = F.when(F.col("n") == 0, "unavailable").when(F.col("n") == F.col("all"), "official").otherwise("mixed")
+    quality = F.when(F.coalesce("n", F.lit(0)) == 0, "unavailable").when(F.col("n") == F.col("all"), "official").otherwise("mixed")
     return out.select(
         "property_id",
         F.struct("unit_price", "median", "q1", "q3", "sample_count", "difference_percent", "radius_used", "insufficient", "trend").alias("price"),

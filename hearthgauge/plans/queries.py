@@ -570,9 +570,9 @@ def stall_classification(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def full_analysis(spark: SparkSession, d: str) -> DataFrame:
-    p = R.properties(spark, d)
+    p = R.all_properties(spark, d)
     spots = p.select("property_id", "lat", "lon")
     flood = G.first_match(spots, G.points_in_polygons(spots, shapes(spark)), ["property_id"], "ord", ["level"]).select("property_id", F.col("level").alias("flood"))
-    sources = states(spark, d).where("district = 0").select("id", "status")
+    sources = states(spark, d).select("district", "id", "status")
     out = A.analyse(p, R.sales(spark, d), R.facilities(spark, d), R.accidents(spark, d), flood.withColumn("liquefaction", F.lit("low")), sources)
     return out.select("property_id", F.col("price.sample_count").alias("sample_count"), F.size("price.trend").alias("n_years"), "flood", "completeness", "data_quality", F.size("checklist").alias("n_checks"), F.to_json("accidents").alias("accidents"))

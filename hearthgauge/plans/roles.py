@@ -71,7 +71,12 @@ SALES = f"""sales AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, n_r
 
 
 def properties(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer").where("c_custkey % 10 = 0").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    """The tenth of the properties that the SQL below reads."""
+    return all_properties(spark, d).where("property_id % 10 = 0")
+
+
+def all_properties(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     kind = F.element_at(F.array(*map(F.lit, TYPES)), (F.col("c_custkey") % 5 + 1).cast("int"))
     return c.select(
         F.col("c_custkey").alias("property_id"), F.col("n_regionkey").alias("district"), lat("c_custkey").alias("lat"), lon("c_custkey").alias("lon"), (F.col("c_custkey") % 50).cast("int").alias("p_age"), kind.alias("p_type"),
