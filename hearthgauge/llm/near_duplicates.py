@@ -28,8 +28,6 @@ SYMBOLS, CHUNKS, CHUNK, ERRORS = 512, 4, 5, 2
 LEAST = 0.75
 #: Pairs whose signatures agree on a smaller part are not compared: 3.7 standard deviations below LEAST.
 SIGNATURE_LEAST = LEAST - 3.7 * (LEAST * (1 - LEAST) / SYMBOLS) ** 0.5
-#: The same for the part of different lowest bits, which is half the part of different symbols: 4 standard deviations above.
-BITS_MOST = (1 - LEAST) / 2 + 4 * ((1 - LEAST) / 2 * (1 + LEAST) / 2 / SYMBOLS) ** 0.5
 BLOCK = 2048
 
 
@@ -131,7 +129,6 @@ def _pairs_in_blocks(members: DataFrame) -> DataFrame:
             return None
         ids, ordinal, blk = g["doc_id"].to_numpy(), g["ordinal"].iloc[0], g["blk"].to_numpy()
         tail = np.frombuffer(b"".join(g["tail"]), np.uint8).reshape(len(g), -1)
-        bits = np.packbits(tail & 1, axis=1).view(np.uint64)
         size = g["n_shingles"].to_numpy()
         found = []
         two = g["lo"].iloc[0] != g["hi"].iloc[0]
@@ -141,8 +138,6 @@ def _pairs_in_blocks(members: DataFrame) -> DataFrame:
             if two:
                 ok &= blk[js] != blk[i]
             js = js[ok]
-            if len(js):
-                js = js[np.bitwise_count(bits[js] ^ bits[i]).sum(axis=1) <= BITS_MOST * SYMBOLS]
             if len(js):
                 js = js[(tail[js] == tail[i]).mean(axis=1) >= SIGNATURE_LEAST]
             found += [(i, j) for j in js.tolist()]

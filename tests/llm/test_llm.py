@@ -87,6 +87,24 @@ def test_near_duplicates_of_one_large_group(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_near_duplicates_of_short_texts_in_blocks(spark):
+    # pairs of 3 of 4 shingles, which differ at an end; all of them under one key with a hub of another component
+    rng = random.Random(8)
+    rows, want = {}, set()
+    for k in range(300):
+        w = [str(rng.randrange(10**9)) for _ in range(8)]
+        rows[2 * k], rows[2 * k + 1] = " ".join(w), " ".join(w[:7])
+        want.add((2 * k, 2 * k + 1))
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    sigs = near_duplicates.signatures(docs)
+    members = sigs.select(F.lit(1).alias("key"), F.lit(0).alias("ordinal"), "doc_id", F.col("doc_id").alias("component"), F.lit(len(rows)).alias("n"), "n_shingles", "head", "tail")
+    heads = {r.doc_id: tuple(r.head[:3]) for r in sigs.collect()}
+    agree = {d: list(r.tail) for d, r in ((r.doc_id, r) for r in sigs.collect())}
+    want = {(u, v) for u, v in want if heads[u] == heads[v] and sum(x == y for x, y in zip(agree[u], agree[v], strict=True)) >= near_duplicates.SIGNATURE_LEAST * near_duplicates.SYMBOLS}
+    got = {(r.u, r.v) for r in near_duplicates._pairs_in_blocks(members).collect()}
+    assert len(want) > 50 and want <= got
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = near_duplicates.near_duplicates(odd_documents(spark)).collect()
     by = {(r.doc_id, r.component_id, r.kept) for r in rows if r.doc_id is not None}
