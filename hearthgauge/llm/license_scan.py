@@ -67,6 +67,32 @@ def template_bigrams(templates=TEMPLATES) -> list[tuple[int, str, int, str, int]
     return out
 
 
+def notices_within(keyed: DataFrame, table: DataFrame, least: float) -> DataFrame:
+    """(doc_id, text_key, license, dice) of notices inside longer paragraphs, the best of each licence.
+
+    Windows of a template's size start at its bigrams. Of windows that overlap, the one with the largest coefficient
+    stays, the first by name among equals. A window holds enough bigrams of its template only if that many of them,
+    counted with all repeats, lie close enough, so few windows are counted out.
+    """
+    pieces = keyed.where("text IS NOT NULL").select("doc_id", "text_key", F.posexplode(F.split("text", "\n[\\x20\\x09-\\x0D]*\n")).alias("piece_at", "piece"))
+    words = pieces.select("doc_id", "text_key", "piece_at", F.filter(F.split(F.lower("piece"), "[^0-9a-z]+"), lambda w: w != "").alias("words")).where(F.size("words") >= 2)
+    pairs = let(F.col("words"), lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat(w[i], F.lit(" "), w[i + 1])))
+    key = ["doc_id", "text_key", "piece_at"]
+    hits = words.select(*key, F.posexplode(pairs).alias("at", "gram")).join(F.broadcast(table), "gram")
+    # a set, as rows of one doc_id and text may be repeated
+    rows = hits.groupBy(*key, "template", "license", "t_size").agg(F.array_sort(F.collect_set(F.struct("at", "gram", "t_times"))).alias("hits"))
+    need = F.ceil(F.col("t_size") * least).cast("int")
+    many = F.filter(F.sequence(F.lit(0), F.size("hits") - need), lambda i: F.col("hits")[i + need - 1]["at"] < F.col("hits")[i]["at"] + F.col("t_size"))
+    starts = rows.where(F.size("hits") >= need).select("*", F.explode(many).alias("i")).withColumn("start", F.col("hits")[F.col("i")]["at"])
+    inside = F.filter(F.slice("hits", F.col("i") + 1, F.col("t_size")), lambda h: h["at"] < F.col("start") + F.col("t_size"))
+    counted = starts.select(*key, "template", "license", "t_size", "start", F.explode(inside).alias("h")).groupBy(*key, "template", "license", "t_size", "start", "h.gram", "h.t_times").agg(F.count("*").alias("times"))
+    scored = counted.groupBy(*key, "template", "license", "t_size", "start").agg((F.sum(F.least("times", "t_times")) / F.col("t_size")).alias("dice")).where(F.col("dice") >= least)
+    windows = scored.groupBy(*key).agg(F.collect_list(F.struct((-F.col("dice")).alias("less"), "license", "start", (F.col("start") + F.col("t_size")).alias("end"))).alias("windows"))
+    better = lambda x, w: (x["start"] < w["end"]) & (w["start"] < x["end"]) & ((x["less"] < w["less"]) | ((x["less"] == w["less"]) & (x["license"] < w["license"])))
+    best = F.filter("windows", lambda w: ~F.exists("windows", lambda x: better(x, w)))
+    return windows.select("doc_id", "text_key", F.explode(best).alias("w")).groupBy("doc_id", "text_key", F.col("w.license").alias("license")).agg(F.max(-F.col("w.less")).alias("dice"))
+
+
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, least: float = DICE_LEAST) -> DataFrame:
     """Per row of `docs` (doc_id, text): doc_id, licenses (sorted distinct names), n_notices, best_dice.
 
@@ -74,7 +100,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, least: float = DICE_LEAS
     several paragraphs. Dice's coefficient of a unit A and a template B is 2 * |A and B| / (|A| + |B|) over bigrams with
     their repeats. They are compared only if their sizes allow the coefficient `least`: |A| and |B| differ by a factor
     of (2 - least) / least at most, so a unit's word count alone drops most units. n_notices counts the units that
-    reach it. Null and empty texts have none. Rows repeated with one doc_id and text have one result each. Letters other
+    reach it, and each licence that only a part of a longer paragraph names (see notices_within). Null and empty texts have none. Rows repeated with one doc_id and text have one result each. Letters other
     than ASCII part words. `templates` is a constant of the code, so broadcasting it is bounded. Other columns are ignored.
     """
     spark: SparkSession = docs.sparkSession
@@ -101,7 +127,11 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, least: float = DICE_LEAS
     scored = shared.withColumn("dice", 2.0 * F.col("both") / (F.col("size") + F.col("t_size"))).where(F.col("dice") >= least)
     # a unit has the licence of its best template, the first by name among equals
     found = scored.groupBy("doc_id", "text_key", "unit").agg(F.min(F.struct((-F.col("dice")).alias("less"), "license")).alias("best")).select("doc_id", "text_key", "unit", "best.license", (-F.col("best.less")).alias("dice"))
-    verdict = found.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("license")).alias("licenses"), F.count("unit").alias("n_notices"), F.max("dice").alias("best_dice"))
+    within = notices_within(keyed, table, least)
+    met = found.select("doc_id", "text_key", "license").distinct().withColumnsRenamed({"doc_id": "d", "text_key": "t", "license": "l"})
+    more = within.join(met, within["doc_id"].eqNullSafe(met["d"]) & (within["text_key"] == met["t"]) & (within["license"] == met["l"]), "left_anti")
+    found = found.unionByName(more.withColumn("unit", F.lit(None).cast("int")))
+    verdict = found.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("license")).alias("licenses"), F.count("license").alias("n_notices"), F.max("dice").alias("best_dice"))
     rows, v = keyed.select("doc_id", "text_key"), verdict.withColumnsRenamed({"doc_id": "d", "text_key": "t"})
     out = rows.join(v, rows["doc_id"].eqNullSafe(v["d"]) & (rows["text_key"] == v["t"]), "left")
     return out.select("doc_id", F.coalesce("licenses", F.array().cast("array<string>")).alias("licenses"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"), F.coalesce("best_dice", F.lit(0.0)).alias("best_dice"))

@@ -356,6 +356,15 @@ def test_licenses(spark):
     assert got == [("1", ["MIT"], 1), ("2", ["MIT"], 1), ("3", [], 0), ("4", [], 0), ("5", [], 0), ("None", ["CC-BY-NC-4.0"], 1)]
 
 
+def test_licenses_within_prose(spark):
+    prose = " ".join(f"word{k}" for k in range(60))
+    gpl, apache = "This work is licensed under the GNU General Public License, version 3.", license_scan.TEMPLATES[6][1]
+    rows = [(1, f"{prose} {gpl} {prose}"), (2, f"{prose} {apache} {prose} {gpl}"), (3, f"{prose}\n{gpl}\n{prose}"), (4, f"{prose} " + gpl.replace("GNU General ", "GNU\nGeneral ") + f" {prose}"), (5, prose)]
+    rows.append(rows[0])
+    got = {r.doc_id: (list(r.licenses), r.n_notices) for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (["GPL-3.0"], 1), 2: (["Apache-2.0", "GPL-3.0"], 2), 3: (["GPL-3.0"], 1), 4: (["GPL-3.0"], 1), 5: ([], 0)}
+
+
 def brute_quality(t):
     w = SPACE_WORDS.findall(t or "")
     g = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
