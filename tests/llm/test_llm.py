@@ -146,8 +146,22 @@ def test_repeated_passages_odd_rows(spark):
 def test_sketch_packing():
     import numpy as np
 
-    x = np.sort(np.random.default_rng(0).integers(0, 1 << 20, 5000)).astype(np.int32)
-    assert (repeated_passages.unpack(repeated_passages.pack(x)) == x).all()
+    for planes, most in ((3, 1 << 20), (4, 1 << 26)):
+        x = np.sort(np.random.default_rng(0).integers(0, most, 5000))
+        assert (repeated_passages.unpack(repeated_passages.pack(x, planes), planes) == x).all()
+
+
+def test_repeated_passages_of_many_copies(spark, monkeypatch):
+    # a batch of a few hundred bytes, so copies and rows without an id are dealt over batches
+    monkeypatch.setattr(repeated_passages, "BATCH", 400)
+    rng = random.Random(3)
+    long = [" ".join(str(rng.randrange(40)) for _ in range(30)) for _ in range(6)]
+    rows = {2**53 + 1 + k: rng.choice(long) + (f" tail {k}" if k % 3 else "") + " " + rng.choice(long) for k in range(150)}
+    nulls = [(None, long[0]), (None, "only here " + " ".join(map(str, range(50, 80)))), (None, "only here " + " ".join(map(str, range(50, 80))))]
+    docs = spark.createDataFrame([*rows.items(), *nulls], "doc_id long, text string").withColumn("g", F.lit(1)).withColumn("hot", F.lit("x"))
+    out = repeated_passages.remove_repeated_passages(docs).collect()
+    assert {r.doc_id: (r.text_kept, r.n_words, r.n_removed) for r in out if r.doc_id is not None} == brute_passages(rows)
+    assert sorted((r.n_words, r.n_removed) for r in out if r.doc_id is None) == [(30, 30), (32, 0), (32, 0)]
 
 
 # ---- BPE
