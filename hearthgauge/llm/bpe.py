@@ -15,12 +15,15 @@ import types
 import unicodedata
 from itertools import chain
 
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
+from .texts import map_texts
+
 BITS, PLACE_BITS = 20, 40
 PLACE, NEVER = (1 << PLACE_BITS) - 1, 1 << 62
+#: Letters of the longest words and pieces that are kept.
+LONGEST = 48
 
 
 def byte_letters() -> list[str]:
@@ -132,9 +135,11 @@ class Bpe:
         self.separators = re.compile("[\x1c-\x1f]").search
 
     def _put(self, cache: dict, key: str, value):
-        if len(cache) >= self.most.get(id(cache), self.most_words):
-            cache.clear()
-        cache[key] = value
+        """Keeps the value of a key of LONGEST letters at most, so the memory of a cache is bounded by its entries."""
+        if len(key) <= LONGEST:
+            if len(cache) >= self.most.get(id(cache), self.most_words):
+                cache.clear()
+            cache[key] = value
         return value
 
     def forget(self) -> None:
@@ -221,8 +226,9 @@ def encode_documents(docs: DataFrame, path: str, keep: list[str] | None = None,
 
     path: a tokenizer file, read on the driver and sent to the executors (a few MB at most, MOST_FILE). keep: columns of `docs` to return
     before them (default: doc_id). hold: a worker keeps the words it has seen from task to task, which is faster, but
-    their memory (some 300 MB at most) stays taken while the worker serves other stages. Null texts count as empty: no tokens. Every row is treated alone, so repeated rows
-    and null ids stay as they are; other columns are ignored.
+    their memory (that many entries, each of a word of LONGEST letters at most) stays taken while the worker serves other
+    stages. Null texts count as empty: no tokens. Every row is treated alone, so repeated rows and null ids stay as they
+    are; other columns are ignored.
     """
     keep = keep or ["doc_id"]
     with open(path, "rb") as f:
@@ -232,22 +238,16 @@ def encode_documents(docs: DataFrame, path: str, keep: list[str] | None = None,
     sent = docs.sparkSession.sparkContext.broadcast(content)
     key = f"bpe-{hashlib.sha256(content).hexdigest()}"
 
-    def run(batches):
-        bpe = kept_in_worker(key, lambda: Bpe(sent.value))
-        for pdf in batches:
-            if digests:
-                rows = [bpe.digests(text) for text in pdf["__text"]]
-            else:
-                rows = [(len(ids), ids, bpe.decode(ids)) for ids in map(bpe.encode, pdf["__text"])]
-            out = pdf.drop(columns="__text")
-            yield pd.concat([out, pd.DataFrame(rows, columns=names, index=out.index)], axis=1)
-        if not hold:
-            bpe.forget()
-
-    names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "ids", "decoded"]
-    types = ["long", "string", "string"] if digests else ["long", "array<int>", "string"]
-    fields = [f"`{c}` {t}" for c, t in docs.select(*keep).dtypes] + [f"{n} {t}" for n, t in zip(names, types, strict=True)]
-    return docs.select(*keep, docs["text"].alias("__text")).mapInPandas(run, ", ".join(fields))
+    held = lambda: kept_in_worker(key, lambda: Bpe(sent.value))
+
+    def start():
+        bpe = held()
+        if digests:
+            return lambda texts: map(bpe.digests, texts)
+        return lambda texts: ((len(ids), ids, bpe.decode(ids)) for ids in map(bpe.encode, texts))
+
+    made = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "n_tokens long, ids array<int>, decoded string"
+    return map_texts(docs, keep, docs["text"], start, made, finish=None if hold else lambda: held().forget())
 
 
 MOST_FILE = 16 << 20

@@ -12,6 +12,21 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def running_sums(numbers: Column, block: int = 256) -> Column:
+    """For each number the sum of those before it, as longs. Blocks are summed first, so n numbers take some n * block steps."""
+    zero = F.lit(0).cast("long")
+    total = lambda part: F.aggregate(part, zero, lambda a, x: a + x)
+
+    def of(x: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.greatest(F.size(x), F.lit(1)) - 1) / block).cast("int"))
+        part = lambda b: F.slice(x, b * block + 1, block)
+        sums = F.transform(blocks, lambda b: total(part(b)))
+        inside = lambda b, before: let(part(b), lambda p: F.transform(p, lambda _, i: before + total(F.slice(p, F.lit(1), i))))
+        return let(sums, lambda s: F.flatten(F.transform(blocks, lambda b: let(total(F.slice(s, F.lit(1), b)), lambda before: inside(b, before)))))
+
+    return let(numbers, of)
+
+
 def hash_windows(words: Column, width: int) -> Column:
     """Hash of each run of `width` elements, by start; empty with fewer."""
     def of(w: Column) -> Column:

@@ -4,7 +4,11 @@ A page is read into a tree without building objects for its text: tags open and
 leaves out. Menus, notices, adverts, forms, comments and the like are left out by tag or name, and count for nothing. A
 node's density is its characters per tag, lowered where its text is mostly links; its density sum adds those of its
 children. The node of the largest sum, or the article or main element that holds it, is the main subtree. The smallest
-density from there up to the body gives the threshold by which every other block under the body stays or goes.
+density from there up to the body gives the threshold by which every other block under the body stays or goes; blocks
+that are mostly links count for nothing above them and have next to no density, so menus without a name go as well.
+
+Tags are found by one scan in linear time: a quote that nothing closes is a letter, and what the rest of a page lacks is
+looked for once.
 """
 
 from __future__ import annotations
@@ -12,14 +16,16 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from .texts import map_texts
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
-HIDDEN = frozenset("script style noscript template iframe svg math object canvas audio video head title select textarea button datalist".split())
-RAW = frozenset("script style noscript template iframe svg math object canvas audio video title textarea select".split())
+HIDDEN = frozenset("script style noscript template iframe svg audio video head title select textarea button datalist".split())
+RAW = frozenset("script style noscript template iframe svg audio video title textarea select".split())
 #: Elements that are no part of an article.
 ASIDE = frozenset("nav footer aside form menu dialog fieldset".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -34,12 +40,16 @@ SIBLINGS = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
-#: Words in class, id or role that name what an article doesn't hold.
+#: Words in class, id or role that name what an article doesn't hold: one of them in a container's name, or all words of another element's.
 NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banner|breadcrumbs?|comments?|comment-?list|respond|replies|disqus|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|promo|promotion|sponsor(?:ed)?|sidebar|side|widget|related|recommended|recommendations|share|sharing|social|menu|navbar|nav|navigation|pagination|pager|footer|masthead|login|signup|search|toolbar|skip|contentinfo|complementary|dialog)(?:$|[\s_-])"
+    r"(?<![^\s_-])(?:ads?|adverts?|advertisements?|advertising|banner|breadcrumbs?|comments?|comment-?list|respond|replies|disqus|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|promo|promotion|sponsor(?:ed)?|sidebar|side|widget|related|recommended|recommendations|share|sharing|social|menu|navbar|nav|navigation|pagination|pager|footer|masthead|login|signup|search|toolbar|skip|contentinfo|complementary|dialog)(?![^\s_-])"
     , re.I,
 )
-TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+WORD = re.compile(r"[^\s_-]+")
+CONTAINERS = frozenset("div section aside header footer nav ul ol dl table tbody tr td form fieldset center details".split())
+MARK = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+#: What ends a tag, or begins a quoted value in it.
+STOP = re.compile(r">|=\s*[\"']")
 NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 OFF = re.compile(r"""(?:^|\s)hidden(?:[\s=]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -56,40 +66,60 @@ class Page:
     def __init__(self, source: str):
         self.tag, self.parent, self.out = ["#root"], [-1], [False]
         self.runs: list[tuple[int, str]] = []  # (node, text); node -1 - k for the break that node k makes
+        self.open = Counter()  # open elements by tag, so that looking for one that is not open costs nothing
         stack = [0]
         at, end = 0, len(source)
+        missing: set[str] = set()  # what does not occur in the rest of the source, looked for once
+
+        def find(what: str, start: int) -> int:
+            if what in missing:
+                return -1
+            found = source.find(what, start)
+            if found < 0:
+                missing.add(what)
+            return found
+
         while at < end:
-            m = TAG.search(source, at)
+            m = MARK.search(source, at)
             if m is None:
                 self._text(stack[-1], source[at:])
                 break
             if m.start() > at:
                 self._text(stack[-1], source[at : m.start()])
             at = m.end()
-            name = m.group(2)
+            name = m.group(5)
             if name is None:
+                close, start = ("-->", m.start() + 2) if m.group(1) else ("]]>", at) if m.group(2) else (">", at)
+                found = find(close, start)
+                at = end if found < 0 else found + len(close)
                 continue
-            name = name.lower()
-            if m.group(1):
+            name, began = name.lower(), at
+            while (stop := STOP.search(source, at)) is not None and stop.group() != ">":
+                closed = find(source[stop.end() - 1], stop.end())
+                at = stop.end() if closed < 0 else closed + 1  # a quote that nothing closes is a letter
+            attributes = source[began : end if stop is None else stop.start()]
+            at = end if stop is None else stop.end()
+            if m.group(4):
                 self._close(stack, name)
                 continue
-            attributes = m.group(3)
             self._open(stack, name, attributes)
             if name in VOID or attributes.endswith("/") and name in ("svg", "math"):
-                stack.pop()
-            elif name in RAW:
+                self.open[self.tag[stack.pop()]] -= 1
+            elif name in RAW and f"/{name}" not in missing:
                 found = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(source, at)
+                if found is None:
+                    missing.add(f"/{name}")
                 if found is None and name in ("script", "style", "title", "textarea"):
                     at = end
                 elif found is not None:
                     at = found.end()
-                    stack.pop()
+                    self.open[self.tag[stack.pop()]] -= 1
 
     def _text(self, node: int, text: str) -> None:
         self.runs.append((node, text))
 
     def _open(self, stack: list[int], name: str, attributes: str) -> None:
-        if name in CLOSES_P:
+        if name in CLOSES_P and self.open["p"]:
             for k in range(len(stack) - 1, 0, -1):
                 t = self.tag[stack[k]]
                 if t == "p":
@@ -99,7 +129,7 @@ class Page:
                     break
         if name in SIBLINGS:
             own, limits = SIBLINGS[name]
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if any(self.open[t] for t in own) else ():
                 t = self.tag[stack[k]]
                 if t in limits:
                     break
@@ -112,18 +142,22 @@ class Page:
         k = len(self.tag)
         out = self.out[stack[-1]] or name in HIDDEN or name in ASIDE
         if not out and name == "header":
-            out = not any(self.tag[n] in ("article", "main") for n in stack)
+            out = not (self.open["article"] or self.open["main"])
         if not out and attributes and name not in ("body", "html", "main", "article"):
             named = " ".join(x.strip("\"'") for x in NAMES.findall(attributes))
-            out = bool(named and NOISE.search(named) or OFF.search(attributes))
+            noise = NOISE.search(named) if name in CONTAINERS else named and not WORD.search(NOISE.sub("", named))
+            out = bool(noise or OFF.search(attributes))
         self.tag.append(name)
         self.parent.append(stack[-1])
         self.out.append(out)
+        self.open[name] += 1
         stack.append(k)
         if name in BLOCK:
             self.runs.append((-1 - k, ""))
 
     def _close(self, stack: list[int], name: str) -> None:
+        if not self.open[name]:
+            return
         for k in range(len(stack) - 1, 0, -1):
             if self.tag[stack[k]] == name:
                 self._cut(stack, k)
@@ -133,13 +167,18 @@ class Page:
 
     def _cut(self, stack: list[int], k: int) -> None:
         for n in stack[k:]:
+            self.open[self.tag[n]] -= 1
             if self.tag[n] in BLOCK:
                 self.runs.append((-1 - n, ""))
         del stack[k:]
 
 
-def densities(page: Page) -> tuple[list[float], list[float], list[int], list[int]]:
-    """Composite text density of each node and the sum over its children; characters, and those in links."""
+def densities(page: Page, holds_block: list[bool]) -> tuple[list[float], list[float], list[int], list[int]]:
+    """Composite text density of each node and the sum over its children; characters, and those in links.
+
+    A block that is mostly links has its own density, but counts for nothing in the nodes above it, so a long menu
+    does not thin out the page that holds it.
+    """
     n = len(page.tag)
     chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     in_link = [False] * n
@@ -152,7 +191,7 @@ def densities(page: Page) -> tuple[list[float], list[float], list[int], list[int
             if in_link[node]:
                 link_chars[node] += size
     for k in range(n - 1, 0, -1):
-        if page.out[k]:
+        if page.out[k] or 2 * link_chars[k] > chars[k] and (page.tag[k] in BLOCK or holds_block[k]):
             continue
         up = page.parent[k]
         chars[up] += chars[k]
@@ -167,8 +206,8 @@ def densities(page: Page) -> tuple[list[float], list[float], list[int], list[int
             plain = max(1, c - lc)
             base = math.log(c / plain * lc + whole_links / whole * c + math.e)
             inner = c / max(1, lc) * t / lt
-            # characters per tag, by the logarithm of what is not links to a base that rises with the links
-            out[k] = c / t * math.log(max(inner, 1.0), max(base, BASE_LEAST))
+            # characters per tag, by the logarithm of what is not links to a base that rises with the links, and by their part
+            out[k] = c / t * math.log(inner + 1, max(base, BASE_LEAST)) * (c - lc) / c
     sums = [0.0] * n
     for k in range(1, n):
         sums[page.parent[k]] += out[k]
@@ -177,7 +216,6 @@ def densities(page: Page) -> tuple[list[float], list[float], list[int], list[int
 
 def main_nodes(page: Page, live: list[int], body: int) -> list[bool]:
     """Which nodes' own text is main text."""
-    density, sums, chars, link_chars = densities(page)
     n, parent = len(page.tag), page.parent
     under, holds_block = [False] * n, [False] * n
     for k in live:
@@ -185,6 +223,7 @@ def main_nodes(page: Page, live: list[int], body: int) -> list[bool]:
     for k in reversed(live):
         if k and (page.tag[k] in BLOCK or holds_block[k]):
             holds_block[parent[k]] = True
+    density, sums, chars, link_chars = densities(page, holds_block)
     # among equal sums the deeper node, so that a wrapper of one child does not stand for it
     best = max((k for k in live if under[k]), key=lambda k: (sums[k], k if sums[k] else -k))
     k = best
@@ -199,12 +238,13 @@ def main_nodes(page: Page, live: list[int], body: int) -> list[bool]:
         k = parent[k]
     least = min(LEAST_OF_PATH * min(density[k] for k in path), DENSE)
     # text of a node outside its blocks
-    own = [0] * n
+    own, home = [0] * n, [0] * n
+    for k in live:
+        if under[k]:
+            home[k] = k if k == body or page.tag[k] in BLOCK or holds_block[k] else home[parent[k]]
     for node, text in page.runs:
         if node >= 0 and under[node]:
-            while page.tag[node] not in BLOCK and not holds_block[node] and node != body:
-                node = parent[node]
-            own[node] += len(SPACE.sub(" ", text).strip())
+            own[home[node]] += len(SPACE.sub(" ", text).strip())
     kept, whole = [False] * n, [False] * n
     sides: dict[int, list[int]] = {}
     for k in live:
@@ -215,7 +255,7 @@ def main_nodes(page: Page, live: list[int], body: int) -> list[bool]:
             kept[k] = whole[k] = True
         elif k == body or k in path or page.tag[k] in BLOCK or holds_block[k]:
             whole[k] = k not in path and density[k] >= least
-            kept[k] = whole[k] or k == best or own[k] * math.log2(max(own[k], 1)) >= least
+            kept[k] = whole[k] or k == best or 2 * link_chars[k] <= chars[k] and own[k] * math.log2(own[k] + 1) >= least
             if k != body:
                 sides.setdefault(up, []).append(k)
         else:
@@ -269,10 +309,7 @@ def extract_main_text(pages: DataFrame, columns: tuple[str, ...] = ("page_id", "
     other columns stay. Columns not named are ignored.
     """
 
-    def run(batches):
-        for pdf in batches:
-            texts = [main_text(h) for h in pdf["__html"]]
-            yield pdf.drop(columns="__html").assign(text=texts, n_chars=[len(t) for t in texts])
+    def read(sources):
+        return ((t, len(t)) for t in map(main_text, sources))
 
-    fields = [f"`{c}` {t}" for c, t in pages.select(*columns).dtypes] + ["text string", "n_chars long"]
-    return pages.select(*columns, pages["html"].alias("__html")).mapInPandas(run, ", ".join(fields))
+    return map_texts(pages, [*columns], pages["html"], lambda: read, "text string, n_chars long")

@@ -8,19 +8,20 @@ prototype first, as the trigrams that all languages share say nothing about any.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from .texts import map_texts
 
 DIMENSIONS, GRAM, LETTERS = 1024, 3, 256
 BATCH = 256
 UNKNOWN = "und"
 
 
-def is_held_out(doc_id) -> bool:
-    return zlib.crc32(str(doc_id).encode()) % 4 == 2
+def held_out() -> Column:
+    """Whether a document is kept out of learning; true without a doc_id, which has no remainder."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(True))
 
 
 def _code(point: int) -> int:
@@ -99,9 +100,8 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
         total: dict[str, dict[int, int]] = {}
         for pdf in batches:
             held: dict[str, list[np.ndarray]] = {}
-            for doc, text, lang in zip(pdf["doc_id"], pdf["text"], pdf["lang"], strict=True):
-                if not is_held_out(doc):
-                    held.setdefault(lang, []).append(gram_codes(text))
+            for text, lang in zip(pdf["text"], pdf["lang"], strict=True):
+                held.setdefault(lang, []).append(gram_codes(text))
             for lang, codes in held.items():
                 own = total.setdefault(lang, {})
                 which, n = counted(np.concatenate(codes))
@@ -115,8 +115,7 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
                 v += n[k : k + 4096] @ vectors.make(which[k : k + 4096]).astype(np.float64)
             yield pd.DataFrame({"lang": lang, "dim": np.arange(DIMENSIONS, dtype=np.int32), "value": v})
 
-    # a null doc_id has no remainder to be held out by; its text is not learnt from
-    labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang")
+    labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(~held_out()).select("text", "lang")
     rows = labelled.mapInPandas(run, "lang string, dim int, value double").groupBy("lang", "dim").agg(F.sum("value").alias("value")).toPandas()
     langs = sorted(rows["lang"].unique())
     prototypes = rows.pivot(index="lang", columns="dim", values="value").loc[langs].to_numpy() if langs else np.empty((0, DIMENSIONS))
@@ -128,8 +127,9 @@ def identify_languages(docs: DataFrame, model: tuple[list[str], np.ndarray] | No
 
     Without a `model` (see learn) one is learnt from the rows that aren't held out: those whose crc32(doc_id as text)
     mod 4 is 2 are. Prediction reads the whole text only. lang_pred is `und`, with score 0, if the text is null or has
-    no letter, or nothing was learnt. score is the cosine with the prototype, 0 at least. Rows are predicted alone, so
-    repeated rows have equal results; a null doc_id counts as held out. Other columns are ignored.
+    no letter, or nothing was learnt. score is the cosine with the prototype, 0 at least; of languages
+    with equal cosines the first by name is taken. Rows are predicted alone, so repeated rows have equal results; a null
+    doc_id counts as held out. Other columns are ignored.
     """
     spark: SparkSession = docs.sparkSession
     langs, prototypes = learn(docs) if model is None else model
@@ -138,14 +138,14 @@ def identify_languages(docs: DataFrame, model: tuple[list[str], np.ndarray] | No
     centre = profiles.mean(axis=0) if len(langs) > 1 else np.zeros(DIMENSIONS)
     sent = spark.sparkContext.broadcast((langs, centre.astype(np.float32), unit(profiles - centre).astype(np.float32)))
 
-    def run(batches):
+    def start():
         names, middle, known = sent.value
         vectors = Vectors()
-        for pdf in batches:
-            preds, scores = [UNKNOWN] * len(pdf), np.zeros(len(pdf))
-            texts = pdf["text"].tolist()
-            for start in range(0, len(texts), BATCH):
-                found = [grams(t) for t in texts[start : start + BATCH]]
+
+        def of(texts):
+            out = [(UNKNOWN, 0.0)] * len(texts)
+            for first in range(0, len(texts), BATCH):
+                found = [grams(t) for t in texts[first : first + BATCH]]
                 rows = [k for k, (g, _) in enumerate(found) if len(g)]
                 if not rows or not names:
                     continue
@@ -158,9 +158,9 @@ def identify_languages(docs: DataFrame, model: tuple[list[str], np.ndarray] | No
                 cosine = unit(unit(bundled) - middle) @ known.T
                 best = cosine.argmax(axis=1)
                 for r, k in enumerate(rows):
-                    preds[start + k] = names[best[r]]
-                    scores[start + k] = float(np.clip(cosine[r, best[r]], 0, 1))
-            ids = pdf["id_text"]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "held_out": [x is None or is_held_out(x) for x in ids], "lang_pred": preds, "score": scores})
+                    out[first + k] = names[best[r]], float(np.clip(cosine[r, best[r]], 0, 1))
+            return out
+
+        return of
 
-    return docs.select("doc_id", F.col("doc_id").cast("string").alias("id_text"), "text").mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return map_texts(docs, ["doc_id", held_out().alias("held_out")], F.col("text"), start, "lang_pred string, score double")

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .components import components
 from .scratch import Scratch
+from .texts import map_texts
 from .wordhash import WordCache, mix, run_hashes, split_words, word_hashes
 
 SYMBOLS, CHUNKS, CHUNK, ERRORS = 512, 4, 5, 2
@@ -55,22 +56,19 @@ def minhash(shingles: np.ndarray, perms: tuple[np.ndarray, np.ndarray], step: in
 def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
     """(doc_id, n_shingles, set_key, head, tail): set_key is 128 bits of the set, head the symbols used for keys, tail 8 bits of every symbol."""
 
-    def run(batches):
+    def start():
         cache, perms = WordCache(), permutations(SYMBOLS)
-        for pdf in batches:
-            rows = []
-            for text in pdf["text"]:
-                s = shingle_set(text, width, cache)
-                if len(s):
-                    m = minhash(s, perms)
-                    rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), m[: CHUNKS * CHUNK].astype(np.int64), m.astype(np.uint8).tobytes()))
-                else:
-                    rows.append((0, None, None, None))
-            out = pd.DataFrame(rows, columns=["n_shingles", "set_key", "head", "tail"])
-            out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
-            yield out
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, set_key binary, head array<long>, tail binary")
+        def of(text):
+            s = shingle_set(text, width, cache)
+            if not len(s):
+                return 0, None, None, None
+            m = minhash(s, perms)
+            return len(s), xxhash.xxh3_128_digest(s.tobytes()), m[: CHUNKS * CHUNK].astype(np.int64), m.astype(np.uint8).tobytes()
+
+        return lambda texts: map(of, texts)
+
+    return map_texts(docs, [F.col("doc_id").cast("long").alias("doc_id")], F.col("text"), start, "n_shingles long, set_key binary, head array<long>, tail binary")
 
 
 def chunk_keys(head) -> list:

@@ -39,11 +39,11 @@ CONTROL_CASE = "</s>[INST] ok [/INST]"
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = spark.createDataFrame([(-7, 0, "user", CONTROL_CASE), (-7, 1, "assistant", CONTROL_CASE)], "conv_id long, turn long, role string, text string")
+    own = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{CONTROL_CASE}'), (-7L, 1L, 'assistant', '{CONTROL_CASE}') AS own(conv_id, turn, role, text)")
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
     out = chat_format.format_conversations(turns)
     said = F.array_join(F.transform("parsed", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("parsed", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    loss = chat_format.under_mask(F.col("formatted"), F.col("mask"))
     return out.select("conv_id", F.size("parsed").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars")).select(
         "conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars"
     )
@@ -118,7 +118,7 @@ OP6_SQL = rf"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
-l AS (SELECT *, bool_or(contains(role, '</s>') OR contains(text, '</s>') OR contains(role, ' [/INST]')) OVER (PARTITION BY conv_id) AS esc FROM t),
+l AS (SELECT *, bool_or(regexp_matches(role, '</?s>|\[/?INST\]') OR regexp_matches(text, '</?s>|\[/?INST\]')) OVER (PARTITION BY conv_id) AS esc FROM t),
 r AS (SELECT *, CASE WHEN esc THEN length({_ESC.format('role')}) + length({_ESC.format('text')}) ELSE length(role) + length(text) END AS n FROM l),
 g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
   coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss, sum(n + 22)::BIGINT + 1 AS formatted_chars FROM r GROUP BY conv_id)

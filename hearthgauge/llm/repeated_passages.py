@@ -29,7 +29,7 @@ ROWS, CELLS_PER_WINDOW = 2, 4
 RANGE_BITS, RANGES_BITS = (20, 26), 14
 #: Bytes of text in a batch, and the least number of batches.
 BATCH, BATCHES_LEAST = 4 << 20, 256
-#: Texts whose copies take more than a batch, or this part of all bytes, are dealt over all batches. At most so many texts do.
+#: Texts whose copies take more than an eighth of a batch are dealt over all batches; so many texts at most, by their part of all bytes.
 HOT_TEXTS = 1_000_000
 NO_ID = 2**63 - 1
 PARTS = "part long, g long, row int, cells binary"
@@ -209,7 +209,7 @@ def _dealt(docs: DataFrame, total: int) -> DataFrame:
     size = F.octet_length(F.coalesce("text", F.lit("")))
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     # HOT_TEXTS at most can each have that part of all bytes, 8 bytes a text
-    hot = docs.groupBy(key.alias("k")).agg(F.sum(size + 1).alias("bytes")).where(F.col("bytes") > max(BATCH, total // HOT_TEXTS)).select("k", F.lit(True).alias("hot"))
+    hot = docs.groupBy(key.alias("k")).agg(F.sum(size + 1).alias("bytes")).where(F.col("bytes") > max(total // batches // 8, total // HOT_TEXTS)).select("k", F.lit(True).alias("hot"))
     keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), F.coalesce("text", F.lit("")).alias("text"), key.alias("k"), F.monotonically_increasing_id().alias("row"))
     placed = keyed.join(F.broadcast(hot), "k", "left").withColumn("g", F.pmod(F.when(F.col("hot"), F.xxhash64("doc_id", "row")).otherwise(F.col("k")), F.lit(batches)))
     return placed.select("doc_id", "no_id", "text", "g").repartition("g")

@@ -10,16 +10,20 @@ _PLACES = np.random.default_rng(20240229).integers(0, 2**63, 128, dtype=np.uint6
 
 
 class WordCache(dict):
-    """Hash of each word seen; emptied when it holds `most` words, so its memory is bounded."""
+    """Hash of each word of LONGEST bytes at most; emptied when it holds `most` words, so its memory is bounded."""
+
+    LONGEST = 64
 
     def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = value
         return value
 
 
