@@ -55,7 +55,7 @@ OFF = re.compile(r"""(?:^|\s)hidden(?:[\s=]|$)|aria-hidden\s*=\s*["']?true|displ
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: The base of the logarithm falls to 1 where a page has no links, and the density would have no bound.
 BASE_LEAST = 2.0
-#: A block is dense from this part of the smallest density on the main path, or with the density of 100 characters in one tag.
+#: A block is dense from the smallest density on the main path, from this part of it where that is the body's alone, or with the density of 100 characters in one tag.
 LEAST_OF_PATH, DENSE = 0.25, 100 * math.log2(100)
 SPACE = re.compile(r"\s+")
 
@@ -236,7 +236,8 @@ def main_nodes(page: Page, live: list[int], body: int) -> list[bool]:
     while k != body:
         path.add(k)
         k = parent[k]
-    least = min(LEAST_OF_PATH * min(density[k] for k in path), DENSE)
+    # the body's own children are judged more mildly than what stands beside a main subtree
+    least = min((LEAST_OF_PATH if best == body else 1.0) * min(density[k] for k in path), DENSE)
     # text of a node outside its blocks
     own, home = [0] * n, [0] * n
     for k in live:
