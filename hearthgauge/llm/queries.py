@@ -131,10 +131,12 @@ win AS (SELECT doc_id, unnest(range(1, len(ws) - 6)) AS i, unnest(list_transform
 rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
 cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM rep) GROUP BY doc_id),
 m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
-  len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN cov USING (doc_id)),
+  length(regexp_replace(t, '[^\p{{L}}]+', '', 'g')) AS n_letters, len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_ellipsis,
+  len(list_filter(ls, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) AS n_bullets, len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN cov USING (doc_id)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR n_symbols > n_words OR 100 * n_dup_lines > 30 * n_lines) AS kept FROM b
+  NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR n_symbols > n_words OR 100 * n_dup_lines > 30 * n_lines
+    OR 100 * n_letters < 40 * word_chars OR 100 * n_ellipsis > 30 * n_lines OR 100 * n_bullets > 90 * n_lines) AS kept FROM b
 """
 
 

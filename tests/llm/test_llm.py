@@ -501,6 +501,38 @@ def test_quality_metrics(spark):
     assert quality_rules.quality_filter(empty(spark)).count() == 0
 
 
+def brute_verdict(t):
+    n, chars, symbols, dup, _, failed = brute_quality(t)
+    lines = [x for x in (t or "").split("\n") if SPACE_WORDS.search(x)]
+    letters = sum(c.isalpha() for c in t or "")
+    dots = sum(bool(re.search(r"(\.\.\.|\u2026)[\x20\x09-\x0D]*$", x)) for x in lines)
+    bullets = sum(bool(re.match(r"[\x20\x09-\x0D]*[-*\u2022]", x)) for x in lines)
+    bad = chars < 2 * n or chars > 20 * n or symbols > n or 100 * dup > 30 * len(lines) or 100 * letters < 40 * chars or 100 * dots > 30 * len(lines) or 100 * bullets > 90 * len(lines)
+    return not failed and not bad
+
+
+def test_quality_cascade(spark):
+    word = lambda k: " ".join(f"w{chr(97 + (j * k) % 26)}{chr(97 + j % 26)}" for j in range(30))
+    rows = {1: word(3), 2: "\n".join("- " + word(k) for k in range(1, 6)), 3: "\n".join(word(k) + "..." for k in range(1, 6)), 4: " ".join(str(10**6 + k * 7919) for k in range(40)), 5: None, 6: "", 7: word(5) + " # $ " * 40, 8: "x " * 50_000, 9: word(7) + "\n- one\n\u2026"}
+    docs = spark.createDataFrame([*rows.items(), (1, rows[1])], "doc_id long, text string").withColumns({"n_words": F.lit("mine"), "Kept": F.lit("yours"), "__words": F.lit(1), "rejected_by": F.lit(2)})
+    out = quality_rules.quality_rules(docs).collect()
+    assert len(out) == 10 and {(r.doc_id, r.kept) for r in out} == {(k, brute_verdict(t)) for k, t in rows.items()} and {r.kept for r in out} == {True, False}
+    assert {r.own_n_words for r in out} == {"mine"} and {r.own_Kept for r in out} == {"yours"} and {r.own_rejected_by for r in out} == {2}
+    kept = quality_rules.quality_filter(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id, r.n_words, r.Kept) for r in kept.collect()) == sorted((r.doc_id, "mine", "yours") for r in out if r.kept)
+    # rules after the first that rejects are not evaluated
+    late = quality_rules.Rule("late", ("word_chars", "n_trap"), lambda m: m["n_trap"] < m["word_chars"])
+    quality_rules.METRIC["n_trap"] = lambda: F.when(F.length("text") > 0, F.raise_error(F.lit("evaluated")).cast("long")).otherwise(F.lit(0))
+    try:
+        first = [quality_rules.Rule("all", ("n_words",), lambda m: m["n_words"] >= 0), late]
+        order, quality_rules.order_rules = quality_rules.order_rules, lambda docs, rules: list(rules)
+        assert {r.rejected_by for r in quality_rules.quality_rules(docs, tuple(first)).collect()} == {"all"}
+    finally:
+        quality_rules.order_rules = order
+        del quality_rules.METRIC["n_trap"]
+    assert [r.name for r in quality_rules.order_rules(docs.where("false"))] == [r.name for r in quality_rules.RULES]
+
+
 # ---- pipeline
 
 
@@ -509,12 +541,7 @@ def test_pipeline_by_brute_force(spark):
 
     rows = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
 
-    def fine(t):
-        n, chars, symbols, dup, _, failed = brute_quality(t)
-        lines = sum(bool(SPACE_WORDS.search(x)) for x in t.split("\n"))
-        return not failed and 2 * n <= chars <= 20 * n and symbols <= n and 100 * dup <= 30 * lines
-
-    left = {d: r.text for d, r in rows.items() if fine(r.text)}
+    left = {d: r.text for d, r in rows.items() if brute_verdict(r.text)}
     left = {d: left[d] for d, (c, _) in brute_components(left).items() if c == d}
     norm = lambda t: " ".join(t.split())
     items = [norm(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
