@@ -1,8 +1,10 @@
 """Personal data: fixed patterns, and identifiers found by the contexts of those. DataFrame functions only.
 
-Spans of the fixed patterns are seeds. The words around them are lexical patterns; a pattern's score for a kind is the
-mean score of what it surrounds, an unknown identifier's score the mean over its patterns. Both are computed in turn
-for ROUNDS rounds over the graph of patterns and instances, and identifiers of high score are added as spans.
+Spans of the fixed patterns are seeds, and so, for the kind SECRET, is what has the shape of a key or digest. The words
+around seeds are lexical patterns; a pattern's score for a kind is the mean score of what it surrounds, an unknown
+identifier's score the mean over its patterns. Both are computed in turn for ROUNDS rounds over the graph of patterns and
+instances, and identifiers of high score are added as spans. A shape alone makes no span: what looks like a key is added
+only where its contexts are those of other keys, as any other identifier.
 """
 
 from __future__ import annotations
@@ -11,10 +13,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .columns import let
+from .columns import let, running_sums
 from .scratch import Scratch
 
 KINDS = ("email", "ip", "card", "phone")
+SECRET = "secret"
+#: The shape of a seed of that kind: long, of letters and digits and what encodings add to them.
+SECRET_SHAPE = "^(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9_+/=-]{32,512}$"
 #: The fixed patterns, written so that matching takes linear time: quantifiers never give back, and a match starts only
 #: where its first run starts, or where the match before it ended.
 PATTERNS = {
@@ -36,14 +41,14 @@ def _found(text: Column, pattern: str) -> Column:
     """Matches as array of (start, end, value), in code points: the lengths of gaps and matches, summed."""
 
     def of(x: Column) -> Column:
-        def add(acc: Column, i: Column) -> Column:
-            start = acc["pos"] + F.length(x["gaps"][i])
-            end = start + F.length(x["hits"][i])
-            return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hits"][i].alias("value")))).alias("out"))
+        # the last gap, after all matches, is part of no sum
+        before = running_sums(F.transform(x["hits"], lambda h, i: F.length(h) + F.length(x["gaps"][i])))
 
-        zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
-        places = F.when(F.size(x["hits"]) > 0, F.sequence(F.lit(0), F.size(x["hits"]) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(places, zero, add, lambda acc: acc["out"])
+        def place(begins: Column) -> Column:
+            start = lambda i: (begins[i] + F.length(x["gaps"][i])).cast("int")
+            return F.transform(x["hits"], lambda h, i: F.struct(start(i).alias("start"), (start(i) + F.length(h)).alias("end"), h.alias("value")))
+
+        return let(before, place)
 
     return let(F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits")), of)
 
@@ -83,7 +88,7 @@ def _context(text: Column, start: Column, end: Column) -> tuple[Column, Column]:
 
 
 def _units(text: Column, base: Column) -> Column:
-    """Seeds (kind) and other tokens that may be identifiers (kind null): kind, start, end, value, patterns."""
+    """Seeds (kind) and other tokens that may be identifiers (kind null, or SECRET for their shape): kind, start, end, value, patterns."""
     edge = "[\"'(<\\[{|]*"
     trimmed = F.transform(
         _found(text, TOKEN),
@@ -93,7 +98,7 @@ def _units(text: Column, base: Column) -> Column:
         ),
     )
     apart = F.filter(trimmed, lambda t: (F.length(t["value"]) >= TOKEN_CHARS) & ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    others = F.transform(apart, lambda t: F.struct(F.lit(None).cast("string").alias("kind"), t["start"].alias("start"), t["end"].alias("end")))
+    others = F.transform(apart, lambda t: F.struct(F.when(t["value"].rlike(SECRET_SHAPE), SECRET).alias("kind"), t["start"].alias("start"), t["end"].alias("end")))
 
     def unit(u: Column) -> Column:
         left, right = _context(text, u["start"], u["end"])
@@ -107,19 +112,20 @@ def _units(text: Column, base: Column) -> Column:
 
 
 def _discovered(units: DataFrame, scratch: Scratch) -> DataFrame:
-    """(value, kind) of identifiers that aren't seeds and whose contexts are those of seeds."""
+    """(value, kind) of identifiers that no fixed pattern has and whose contexts are those of seeds."""
     edges = units.select("kind", "value", F.explode("patterns").alias("pattern")).groupBy("pattern", "value", "kind").agg(F.count("*").alias("n"))
     edges = scratch.save(edges, "edges")
     seeds = edges.where("kind IS NOT NULL").groupBy("pattern", "kind").agg(F.countDistinct("value").alias("support")).where(F.col("support") >= SUPPORT).select("pattern", F.col("kind").alias("as"))
     # for each kind that a pattern supports, all that it surrounds
     graph = scratch.save(edges.join(seeds, "pattern"), "graph")
     seed = F.when(F.col("kind") == F.col("as"), 1.0).when(F.col("kind").isNotNull(), 0.0)
+    open_ones = graph.where(F.col("kind").isNull() | ((F.col("kind") == SECRET) & (F.col("as") == SECRET)))
     unknown = None
     for k in range(ROUNDS):
         held = graph if unknown is None else graph.join(unknown, ["value", "as"], "left")
         score = F.coalesce(seed, F.col("score") if unknown is not None else F.lit(0.0))
         patterns = held.groupBy("pattern", "as").agg((F.sum(F.col("n") * score) / F.sum("n")).alias("trust"))
-        unknown = graph.where("kind IS NULL").join(patterns, ["pattern", "as"]).groupBy("value", "as").agg((F.sum(F.col("n") * F.col("trust")) / F.sum("n")).alias("score"))
+        unknown = open_ones.join(patterns, ["pattern", "as"]).groupBy("value", "as").agg((F.sum(F.col("n") * F.col("trust")) / F.sum("n")).alias("score"))
         unknown = scratch.save(unknown, f"scores-{k}")
     best = unknown.where(F.col("score") >= LEAST).groupBy("value").agg(F.min(F.struct((-F.col("score")).alias("less"), "as")).alias("b"))
     return best.select("value", F.col("b.as").alias("kind"))
@@ -128,10 +134,11 @@ def _discovered(units: DataFrame, scratch: Scratch) -> DataFrame:
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """Per row of `docs` (doc_id, text): doc_id, text_key, base and spans (arrays of kind, start, end).
 
-    base holds the spans of the fixed patterns, spans those and the discovered ones, by kind in the order of KINDS, then
-    start; offsets count code points, ends are exclusive, spans of different kinds may overlap. Null and empty texts have
-    none. Rows repeated with one doc_id and text have one result each. Seeds and contexts are gathered over all rows.
-    Other columns are ignored. text_key is a hash of the text, to join by.
+    base holds the spans of the fixed patterns, spans those and the discovered ones, by kind in the order of KINDS and
+    SECRET, then start; offsets count code points, ends are exclusive, spans of different kinds may overlap. Of kinds with
+    equal scores an identifier has the first by name. Null and empty texts, and an empty table, have none. Rows repeated
+    with one doc_id and text have one result each, rows without doc_id theirs by their text. Seeds and contexts are
+    gathered over all rows. Other columns are ignored. text_key is a hash of the text, to join by.
     """
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "personal-data")
@@ -141,12 +148,12 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     units = F.when(text.rlike("[0-9@]"), let(F.struct(text.alias("text"), F.col("base").alias("base")), lambda x: _units(x["text"], x["base"])))
     rows = scratch.save(based.select("doc_id", "text_key", "base", units.alias("units")), "rows")
     flat = rows.select("doc_id", "text_key", F.explode("units").alias("u")).select("doc_id", "text_key", "u.*")
-    added = flat.where("kind IS NULL").drop("kind", "patterns").join(_discovered(flat, scratch), "value")
+    added = flat.where(F.col("kind").isNull() | (F.col("kind") == SECRET)).drop("kind", "patterns").join(_discovered(flat, scratch), "value")
     by_doc = added.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("kind", "start", "end")).alias("more")).withColumnsRenamed({"doc_id": "d", "text_key": "t"})
     out = rows.join(by_doc, rows["doc_id"].eqNullSafe(by_doc["d"]) & (rows["text_key"] == by_doc["t"]), "left")
     together = F.concat("base", F.coalesce(F.col("more").cast(SPAN), F.array().cast(SPAN)))
     of_kind = lambda kind: F.array_sort(F.filter(together, lambda s: s["kind"] == kind))
-    ordered = F.concat(*map(of_kind, KINDS))
+    ordered = F.concat(*map(of_kind, (*KINDS, SECRET)))
     return out.select("doc_id", "text_key", "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(ordered).alias("spans"))
 
 
@@ -157,9 +164,9 @@ def spans_text(spans: Column) -> Column:
 def redact(docs: DataFrame) -> DataFrame:
     """`docs` with each span replaced by its kind in angle brackets; overlapping spans become one, of the first's kind.
 
-    A column n_chars is set to the new length; other columns stay.
+    A column n_chars is set to the new length; other columns stay, whatever their names.
     """
-    found = find_personal_data(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__t"), "spans").dropDuplicates(["__d", "__t"])
+    found = find_personal_data(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__t"), F.col("spans").alias("__spans")).dropDuplicates(["__d", "__t"])
 
     def cut(x: Column) -> Column:
         def step(a: Column, s: Column) -> Column:
@@ -171,6 +178,6 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.aggregate(placed, F.struct(F.lit(0).alias("end"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substr(x["text"], a["end"] + 1)))
 
     joined = docs.join(found, docs["doc_id"].eqNullSafe(found["__d"]) & (F.xxhash64(docs["text"]) == found["__t"]), "left")
-    text = F.when(F.col("spans").isNull(), docs["text"]).otherwise(let(F.struct(docs["text"].alias("text"), F.col("spans").alias("spans")), cut))
-    changed = {"text": text} | ({"n_chars": F.when(F.col("spans").isNull(), docs["n_chars"]).otherwise(F.length(text))} if "n_chars" in docs.columns else {})
+    text = F.when(F.col("__spans").isNull(), docs["text"]).otherwise(let(F.struct(docs["text"].alias("text"), F.col("__spans").alias("spans")), cut))
+    changed = {"text": text} | ({"n_chars": F.when(F.col("__spans").isNull(), docs["n_chars"]).otherwise(F.length(text))} if "n_chars" in docs.columns else {})
     return joined.select(*(changed[c].cast(t).alias(c) if c in changed else docs[c] for c, t in docs.dtypes))

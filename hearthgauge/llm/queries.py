@@ -57,7 +57,8 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = personal_data.find_personal_data(_table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return out.select("doc_id", *map(count, personal_data.KINDS), F.sha2(personal_data.spans_text(F.col("base")), 256).alias("base_sha256"), personal_data.spans_text(F.col("spans")).alias("spans"))
+    added = (F.size("spans") - F.size("base")).cast("long").alias("n_discovered")
+    return out.select("doc_id", *map(count, personal_data.KINDS), F.sha2(personal_data.spans_text(F.col("base")), 256).alias("base_sha256"), personal_data.spans_text(F.col("spans")).alias("spans"), added)
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
