@@ -35,6 +35,9 @@ TOKEN = "(?<!\\S)[^\\s0-9@]*+[0-9@]\\S*+"
 TOKEN_CHARS, CONTEXT_CHARS = 6, 64
 ROUNDS, SUPPORT, LEAST = 3, 3, 0.6
 SPAN = "array<struct<kind:string,start:int,end:int>>"
+VALUED = "array<struct<kind:string,start:int,end:int,value:string>>"
+#: Letters of the blocks that contexts are cut from, as a place in a long text is counted from its beginning.
+BLOCK = 512
 
 
 def _found(text: Column, pattern: str) -> Column:
@@ -73,16 +76,20 @@ def _valid(kind: str, value: Column) -> Column:
 
 
 def base_spans(text: Column) -> Column:
-    """Spans (kind, start, end) of the fixed patterns, by kind in the order of KINDS, then start."""
+    """Spans (kind, start, end, value) of the fixed patterns, by kind in the order of KINDS, then start."""
     each = []
     for kind in KINDS:
-        spans = F.transform(F.filter(_found(text, PATTERNS[kind]), lambda m: _valid(kind, m["value"])), lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
-        each.append(F.when(text.rlike(NEEDS[kind]), spans).otherwise(F.array().cast(SPAN)))
+        spans = F.transform(F.filter(_found(text, PATTERNS[kind]), lambda m: _valid(kind, m["value"])), lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))
+        each.append(F.when(text.rlike(NEEDS[kind]), spans).otherwise(F.array().cast(VALUED)))
     return F.concat(*each)
 
 
-def _context(text: Column, start: Column, end: Column) -> tuple[Column, Column]:
-    left, right = F.substr(text, F.greatest(start - CONTEXT_CHARS, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT_CHARS))), F.substr(text, end + 1, F.lit(CONTEXT_CHARS))
+def _context(blocks: Column, start: Column, end: Column) -> tuple[Column, Column]:
+    def piece(at: Column, n: Column) -> Column:
+        k = F.floor(at / BLOCK).cast("int")
+        return F.substr(F.concat(F.coalesce(F.get(blocks, k), F.lit("")), F.coalesce(F.get(blocks, k + 1), F.lit(""))), at - k * BLOCK + 1, n)
+
+    left, right = piece(F.greatest(start - CONTEXT_CHARS, F.lit(0)), F.least(start, F.lit(CONTEXT_CHARS))), piece(end, F.lit(CONTEXT_CHARS))
     part = lambda c: F.filter(F.split(F.lower(c), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
     return part(left), part(right)
 
@@ -97,18 +104,31 @@ def _units(text: Column, base: Column) -> Column:
             lambda t: F.struct((t["start"] + F.length(t["lead"])).alias("start"), (t["start"] + F.length(t["lead"]) + F.length(t["value"])).alias("end"), t["value"].alias("value")),
         ),
     )
-    apart = F.filter(trimmed, lambda t: (F.length(t["value"]) >= TOKEN_CHARS) & ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    others = F.transform(apart, lambda t: F.struct(F.when(t["value"].rlike(SECRET_SHAPE), SECRET).alias("kind"), t["start"].alias("start"), t["end"].alias("end")))
-
-    def unit(u: Column) -> Column:
-        left, right = _context(text, u["start"], u["end"])
+    def meets(spans: Column, t: Column) -> Column:
+        """Whether one of the spans of a kind, which are in order and apart, overlaps t: the last that starts before its end."""
+        step = lambda p, s: F.when((p + s <= F.size(spans)) & (F.get(spans, p + s - 1)["start"] < t["end"]), p + s).otherwise(p)
+        halves = F.array(*(F.lit(1 << k) for k in reversed(range(26))))
+        return let(F.aggregate(halves, F.lit(0), step), lambda p: (p > 0) & (F.get(spans, F.greatest(p - 1, F.lit(0)))["end"] > t["start"]))
+
+    def apart_of(by_kind: Column) -> Column:
+        clear = lambda t: ~reduce(lambda a, b: a | b, [F.when(F.size(by_kind[k]) > 0, meets(by_kind[k], t)).otherwise(False) for k in KINDS])
+        return F.filter(trimmed, lambda t: (F.length(t["value"]) >= TOKEN_CHARS) & clear(t))
+
+    of_kind = lambda kind: F.filter(base, lambda b: b["kind"] == kind).alias(kind)
+    apart = let(F.struct(*map(of_kind, KINDS)), apart_of)
+    others = F.transform(apart, lambda t: F.struct(F.when(t["value"].rlike(SECRET_SHAPE), SECRET).alias("kind"), t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("value")))
+
+    def unit(u: Column, blocks: Column) -> Column:
+        left, right = _context(blocks, u["start"], u["end"])
         last = lambda n: F.array_join(F.slice(left, -n, n), " ")
         two = F.when(F.size(left) >= 2, F.concat(F.lit("2 "), last(2)))
         one = F.when(F.size(left) >= 1, F.concat(F.lit("1 "), last(1)))
         after = F.when(F.size(right) >= 1, F.concat(F.lit("> "), right[0]))
-        return F.struct(u["kind"].alias("kind"), u["start"].alias("start"), u["end"].alias("end"), F.substr(text, u["start"] + 1, u["end"] - u["start"]).alias("value"), F.filter(F.array(two, one, after), lambda p: p.isNotNull()).alias("patterns"))
+        return F.struct(u["kind"].alias("kind"), u["start"].alias("start"), u["end"].alias("end"), u["value"].alias("value"), F.filter(F.array(two, one, after), lambda p: p.isNotNull()).alias("patterns"))
 
-    return F.transform(F.concat(base, others), unit)
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    found = let(F.concat(base, others), lambda x: F.struct(x.alias("units"), F.when(F.size(x) > 0, blocks).alias("blocks")))
+    return let(found, lambda x: F.transform(x["units"], lambda u: unit(u, x["blocks"])))
 
 
 def _discovered(units: DataFrame, scratch: Scratch) -> DataFrame:
@@ -144,9 +164,10 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "personal-data")
     text = F.col("text")
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
-    based = keyed.withColumn("base", F.when(text.rlike("[0-9@]"), base_spans(text)).otherwise(F.array().cast(SPAN)))
-    units = F.when(text.rlike("[0-9@]"), let(F.struct(text.alias("text"), F.col("base").alias("base")), lambda x: _units(x["text"], x["base"])))
-    rows = scratch.save(based.select("doc_id", "text_key", "base", units.alias("units")), "rows")
+    based = keyed.withColumn("valued", F.when(text.rlike("[0-9@]"), base_spans(text)).otherwise(F.array().cast(VALUED)))
+    units = F.when(text.rlike("[0-9@]"), let(F.struct(text.alias("text"), F.col("valued").alias("base")), lambda x: _units(x["text"], x["base"])))
+    base = F.transform("valued", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    rows = scratch.save(based.select("doc_id", "text_key", base.alias("base"), units.alias("units")), "rows")
     flat = rows.select("doc_id", "text_key", F.explode("units").alias("u")).select("doc_id", "text_key", "u.*")
     added = flat.where(F.col("kind").isNull() | (F.col("kind") == SECRET)).drop("kind", "patterns").join(_discovered(flat, scratch), "value")
     by_doc = added.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("kind", "start", "end")).alias("more")).withColumnsRenamed({"doc_id": "d", "text_key": "t"})
