@@ -21,9 +21,11 @@ LITERALS_LEAST = 4
 NEAR = 16
 #: So many words of an item in a row are a hit, whatever part of it they are.
 RUN = 13
-#: Benchmark windows that may be broadcast (16 bytes each); more are joined by a shuffle.
+#: Rows of a table that may be broadcast (some 40 bytes each), counted before; more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 UNITS = "mm cm m km g kg mg ml l kwh mb gb tb km/h mph seconds minutes hours days weeks months years dollars euros cents percent miles feet inches pounds ounces liters litres meters metres kilometers kilometres grams kilograms degrees".split()
+#: Numbers written out are numbers as well.
+NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
 NUMBER, NAME, UNIT = "\u0001n", "\u0001c", "\u0001u"
 
 
@@ -33,12 +35,12 @@ def raw_words(text: Column) -> Column:
 
 
 def template_words(words: Column) -> Column:
-    """Placeholders for numbers (with what is written to them), units and names; other words as they are."""
+    """Placeholders for numbers (with what is written to them, or written out), units and names; other words as they are."""
     first = lambda w: F.substr(w, F.lit(1), F.lit(1))
     # a capital differs from its lower-case form, a digit lies between 0 and 9; both without a pattern for each word
     return F.transform(
         words,
-        lambda w: F.when(first(w).between("0", "9") | first(w).isin("$", "€"), F.lit(NUMBER)).when(first(w) != F.lower(first(w)), F.lit(NAME)).when(w.isin(*UNITS), F.lit(UNIT)).otherwise(w),
+        lambda w: F.when(first(w).between("0", "9") | first(w).isin("$", "€"), F.lit(NUMBER)).when(first(w) != F.lower(first(w)), F.lit(NAME)).when(w.isin(*UNITS), F.lit(UNIT)).when(w.isin(*NUMBER_WORDS), F.lit(NUMBER)).otherwise(w),
     )
 
 
@@ -62,6 +64,11 @@ def run_starts(template: Column) -> Column:
     return let(template, lambda t: F.concat(F.filter(F.transform(t, lambda _, i: i), lambda i: _opens(t, i)), F.array(F.size(t))))
 
 
+def _small(table: DataFrame, n: int) -> DataFrame:
+    """A table of `n` rows of some 40 bytes for a join: broadcast up to MOST_BROADCAST rows, else shuffled."""
+    return F.broadcast(table) if n <= MOST_BROADCAST else table.hint("merge")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: float = 0.5) -> DataFrame:
     """Per row of `docs` (doc_id, text): doc_id, items (sorted item_ids found), n_windows, contaminated.
 
@@ -69,26 +76,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sha
     of its words or RUN words in a row, by words regardless of case or by templates of which every placeholder's value
     maps to a single value. Templates whose values do not are held against the item unless all its words are there.
     Template windows with under LITERALS_LEAST plain words are left out; an item with fewer than `width` words is found
-    where it stands whole, so one of a single word is found in each text with that word. Null
-    and empty texts contain nothing; null item_ids are left out; equal rows have equal results; rows of one doc_id and different texts
-    are judged apart. Other columns of both tables are ignored.
+    where it stands whole, so one of a single word is found in each text with that word. An item_id with several texts
+    is found where one of them is. Null and empty texts contain nothing; null item_ids are left out; equal rows have equal
+    results; rows of one doc_id and different texts are judged apart. Other columns of both tables are ignored.
     """
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "decontaminate")
     plain = lambda words: F.size(F.filter(words, lambda w: ~F.startswith(w, F.lit("\u0001"))))
-    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", raw_words(F.col("text")).alias("item_words"))
-    items = items.groupBy("item_id").agg(F.min("item_words").alias("item_words")).withColumn("full", template_words(F.col("item_words")))
+    # an item_id with several texts is as many items, found if one of them is
+    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", raw_words(F.col("text")).alias("item_words")).distinct()
+    items = items.withColumn("item", F.xxhash64("item_id", "item_words")).withColumn("full", template_words(F.col("item_words")))
     items = items.withColumns({"item_template": collapsed(F.col("full")), "item_places": run_starts(F.col("full"))}).drop("full")
     by_template = (
-        items.select("item_id", "item_template", F.size("item_template").alias("of"), F.posexplode(hash_windows(F.col("item_template"), width)).alias("item_at", "window"))
+        items.select("item", "item_template", F.size("item_template").alias("of"), F.posexplode(hash_windows(F.col("item_template"), width)).alias("item_at", "window"))
         .where(plain(F.slice("item_template", F.col("item_at") + 1, width)) >= LITERALS_LEAST)
-        .select("item_id", "item_at", "window", "of", F.lit(False).alias("exact"))
+        .select("item", "item_at", "window", "of", F.lit(False).alias("exact"))
     )
-    folded = items.select("item_id", folded_words(F.col("item_words")).alias("w"), F.size("item_words").alias("of")).where("of > 0")
-    by_words = folded.select("item_id", F.posexplode(F.when(F.col("of") < width, F.array(F.xxhash64("w"))).otherwise(hash_windows(F.col("w"), width))).alias("item_at", "window"), "of", F.lit(True).alias("exact"))
+    folded = items.select("item", folded_words(F.col("item_words")).alias("w"), F.size("item_words").alias("of")).where("of > 0")
+    by_words = folded.select("item", F.posexplode(F.when(F.col("of") < width, F.array(F.xxhash64("w"))).otherwise(hash_windows(F.col("w"), width))).alias("item_at", "window"), "of", F.lit(True).alias("exact"))
     item_windows = scratch.save(by_template.unionByName(by_words), "items")
     n = item_windows.count()
-    table = F.broadcast(item_windows) if n <= MOST_BROADCAST else item_windows
+    table = _small(item_windows, n)
+    items = scratch.save(items, "texts")
     # items shorter than a window are matched whole; at most width - 1 lengths
     short = sorted(r["of"] for r in item_windows.where(F.col("exact") & (F.col("of") < width)).select("of").distinct().collect())
 
@@ -98,8 +107,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sha
     by_kind = let(F.col("words"), lambda w: F.array(kind(False, hash_windows(collapsed(template_words(w)), width)), let(folded_words(w), lambda x: kind(True, F.concat(hash_windows(x, width), *(hash_windows(x, k) for k in short))))))
     windows = words.select("doc_id", "text_key", F.inline(by_kind)).select("doc_id", "text_key", "exact", F.posexplode("windows").alias("at", "window"))
     distance = F.when(F.col("exact") & (F.col("of") < width), 0).otherwise(F.col("at") - F.col("item_at")).alias("distance")
-    hits = windows.join(table, ["window", "exact"]).select("doc_id", "text_key", "item_id", "exact", distance, "item_at", "of").distinct()
-    pair = ["doc_id", "text_key", "item_id", "exact", "of"]
+    hits = windows.join(table, ["window", "exact"]).select("doc_id", "text_key", "item", "exact", distance, "item_at", "of").distinct()
+    pair = ["doc_id", "text_key", "item", "exact", "of"]
     at_one = hits.groupBy(*pair, "distance").agg(F.collect_set("item_at").alias("starts"))
     # words put in or left out shift what follows; distances near one another belong together
     order = Window.partitionBy(*pair).orderBy("distance")
@@ -122,28 +131,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sha
     templates = runs.where("NOT exact")
 
     # the values behind the placeholders, only of documents and items that met
-    some = templates.select("doc_id", "text_key").distinct().withColumnsRenamed({"doc_id": "d", "text_key": "t"})
-    texts = keyed.join(some, keyed["doc_id"].eqNullSafe(some["d"]) & (keyed["text_key"] == some["t"]), "left_semi").dropDuplicates(["doc_id", "text_key"])
+    some = scratch.save(templates.select("doc_id", "text_key").distinct().withColumnsRenamed({"doc_id": "d", "text_key": "t"}), "some")
+    texts = keyed.join(_small(some, some.count()), keyed["doc_id"].eqNullSafe(some["d"]) & (keyed["text_key"] == some["t"]), "left_semi").dropDuplicates(["doc_id", "text_key"])
     texts = texts.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), raw_words(F.col("text")).alias("words")).withColumn("places", run_starts(template_words(F.col("words"))))
-    met = templates.join(items, "item_id").join(texts, templates["doc_id"].eqNullSafe(F.col("d")) & (templates["text_key"] == F.col("t")))
+    met = templates.hint("merge").join(items.hint("merge"), "item").join(texts.hint("merge"), templates["doc_id"].eqNullSafe(F.col("d")) & (templates["text_key"] == F.col("t")))
     value = lambda words, places, p: F.lower(F.array_join(F.slice(words, places[p] + 1, places[p + 1] - places[p]), " "))
     slots = lambda part: F.filter(F.array_distinct(spread(part["starts"])), lambda p: F.startswith(F.col("item_template")[p], F.lit("\u0001")))
     of_part = lambda part: F.transform(slots(part), lambda p: F.struct(value(F.col("item_words"), F.col("item_places"), p).alias("of_item"), value(F.col("words"), F.col("places"), p + part["distance"]).alias("of_document")))
     values = F.array_distinct(F.flatten(F.transform("parts", of_part)))
     consistent = F.size("values") == F.size(F.array_distinct(F.transform("values", lambda v: v["of_item"])))
-    by_values = met.withColumn("values", values).select("d", "t", "item_id", "starts", F.lit(False).alias("whole"), F.lit(False).alias("exact"), consistent.alias("fits"))
+    by_values = met.withColumn("values", values).select("d", "t", "item", "starts", F.lit(False).alias("whole"), F.lit(False).alias("exact"), consistent.alias("fits"))
     whole = F.exists("parts", lambda x: F.size(x["starts"]) == F.col("of") - length + 1)
-    by_text = runs.where("exact").select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "item_id", "starts", whole.alias("whole"), "exact", F.lit(True).alias("fits"))
+    by_text = runs.where("exact").select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "item", "starts", whole.alias("whole"), "exact", F.lit(True).alias("fits"))
     # a template whose values break the rule speaks against words alike, unless those are the whole item
-    seen = by_values.unionByName(by_text).groupBy("d", "t", "item_id").agg(
+    seen = by_values.unionByName(by_text).groupBy("d", "t", "item").agg(
         F.max(F.when(F.col("fits"), F.size("starts"))).alias("n_windows"),
         F.bool_or(F.col("whole") | (~F.col("exact") & F.col("fits"))).alias("sure"),
         F.bool_or(~F.col("fits")).alias("against"),
     )
     found = seen.where("sure OR NOT against")
-    verdict = found.groupBy("d", "t").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.sum("n_windows").alias("n_windows"))
+    named = found.join(items.select("item", "item_id").hint("merge"), "item").groupBy("d", "t", "item_id").agg(F.max("n_windows").alias("n_windows"))
+    verdict = named.groupBy("d", "t").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.sum("n_windows").alias("n_windows"))
     rows = keyed.select("doc_id", "text_key")
-    out = rows.join(verdict, rows["doc_id"].eqNullSafe(F.col("d")) & (rows["text_key"] == F.col("t")), "left")
+    out = rows.join(verdict.hint("merge"), rows["doc_id"].eqNullSafe(F.col("d")) & (rows["text_key"] == F.col("t")), "left")
     return out.select(
         "doc_id",
         F.coalesce("items", F.array().cast("array<bigint>")).alias("items"),

@@ -427,6 +427,17 @@ def test_contaminated_by_edited_items(spark):
     assert {r.doc_id: list(r["items"]) for r in found.collect()} == want
 
 
+def test_contaminated_by_other_values_and_texts(spark):
+    item = "a farmer has 12 apples and gives 5 kg of apples to Anna while the other apples stay with Anna for the winter"
+    other = "when the red fox runs over a green hill it meets the old brown bear near some river"
+    docs = spark.createDataFrame(
+        [(1, item.lower()), (2, item.upper()), (3, item.replace("Anna", "Maria Lopez")), (4, item.replace("12", "twelve").replace("5 kg", "seventy five kg")), (5, "x " + other), (6, (item + " ") * 400), (7, "z " * 100_000)], "doc_id long, text string"
+    ).withColumn("item_id", F.lit("x"))
+    bench = spark.createDataFrame([(7, item), (7, other), (8, item), (7, item)], "item_id long, text string").withColumn("text_key", F.lit(1))
+    found = {r.doc_id: list(r["items"]) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert found == {1: [7, 8], 2: [7, 8], 3: [7, 8], 4: [7, 8], 5: [7], 6: [7, 8], 7: []}
+
+
 # ---- personal data
 
 
