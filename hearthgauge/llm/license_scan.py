@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -53,6 +55,10 @@ TEMPLATES = (
 )
 
 
+#: Words of any English text, taken as anchors only where nothing else is left.
+COMMON = frozenset("a all and any are at be by can for general in international is it may no not of on one or other provided public shall source subject terms that the this to under use was with without work you".split())
+
+
 def normal_words(text: str) -> list[str]:
     return re.findall(r"[0-9a-z]+", text.lower())
 
@@ -67,6 +73,44 @@ def template_bigrams(templates=TEMPLATES) -> list[tuple[int, str, int, str, int]
     return out
 
 
+def template_table(spark: SparkSession, grams: list[tuple[int, str, int, str, int]]) -> DataFrame:
+    """The rows of template_bigrams as a table, from one literal."""
+    fields = ("template", "license", "t_size", "gram", "t_times")
+    rows = json.dumps([dict(zip(fields, g, strict=True)) for g in grams])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(rows), "array<struct<template int, license string, t_size int, gram string, t_times int>>")))
+
+
+def anchors(grams: list[tuple[int, str, int, str, int]], least: float) -> list[str]:
+    """Words of which every text that can reach `least` with a template has one.
+
+    A unit that reaches it shares least * (a + b) / 2 of its a bigrams with the template's b, and a is b / wide at least;
+    so it lacks a part of the template's bigrams that is smaller than `spare`. Words are taken until those of each
+    template are in more of its bigrams than that; first the words in most bigrams of templates still open, long ones
+    before short ones, as those are rarer in texts.
+    """
+    spare = 1 - least * (1 + least / (2 - least)) / 2
+    open_ones: dict[int, dict[str, int]] = {}
+    need: dict[int, float] = {}
+    for k, _, size, gram, n in grams:
+        open_ones.setdefault(k, {})[gram] = n
+        need[k] = spare * size
+    out = []
+    while open_ones:
+        weight = Counter()
+        for held in open_ones.values():
+            for gram, n in held.items():
+                for w in {*gram.split(" ")}:
+                    weight[w] += n
+        best = max(weight, key=lambda w: (weight[w] * len(w) ** 3 / (1000 if w in COMMON else 1), w))
+        out.append(best)
+        for k, held in [*open_ones.items()]:
+            for gram in [g for g in held if best in g.split(" ")]:
+                need[k] -= held.pop(gram)
+            if need[k] < 0 or not held:
+                del open_ones[k]
+    return out
+
+
 def notices_within(keyed: DataFrame, table: DataFrame, least: float) -> DataFrame:
     """(doc_id, text_key, license, dice) of notices inside longer paragraphs, the best of each licence.
 
@@ -100,23 +144,33 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, least: float = DICE_LEAS
     several paragraphs. Dice's coefficient of a unit A and a template B is 2 * |A and B| / (|A| + |B|) over bigrams with
     their repeats. They are compared only if their sizes allow the coefficient `least`: |A| and |B| differ by a factor
     of (2 - least) / least at most, so a unit's word count alone drops most units. n_notices counts the units that
-    reach it, and each licence that only a part of a longer paragraph names (see notices_within). Null and empty texts have none. Rows repeated with one doc_id and text have one result each. Letters other
-    than ASCII part words. `templates` is a constant of the code, so broadcasting it is bounded. Other columns are ignored.
+    reach it, and each licence that only a part of a longer paragraph names (see notices_within). Texts without any of
+    the anchors' words are not looked at. Null and empty texts have none. Rows repeated with one doc_id and text are
+    counted once and have one result each. Letters other than ASCII part words. `templates` is a constant of the code,
+    so broadcasting it is bounded. Other columns are ignored.
     """
     spark: SparkSession = docs.sparkSession
     grams = template_bigrams(templates)
     wide = (2 - least) / least
-    table = spark.createDataFrame(grams, "template int, license string, t_size int, gram string, t_times int")
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    table = template_table(spark, grams)
+    every = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    words = anchors(grams, least)
+    # long words are looked for as letters anywhere, which is quick; the few short ones between other signs
+    long, short = [w for w in words if len(w) > 3], [w for w in words if len(w) <= 3]
+    small = F.lower("text")
+    tests = [F.contains(small, F.lit(w)) for w in long] + ([small.rlike(f"(?<![0-9a-z])(?:{'|'.join(short)})(?![0-9a-z])")] if short else [])
+    keyed = every.where(reduce(lambda a, b: a | b, tests, F.lit(False)))
     by_paragraph = F.split("text", "\n[\\x20\\x09-\\x0D]*\n")
     longer = F.concat(F.filter(by_paragraph, lambda p: F.contains(p, F.lit("\n"))), F.when(F.size(by_paragraph) > 1, F.array("text")).otherwise(F.array().cast("array<string>")))
-    units = keyed.where("text IS NOT NULL").select("doc_id", "text_key", F.posexplode(F.concat(F.split("text", "\n"), longer)).alias("unit", "piece"))
-    words = units.select("doc_id", "text_key", "unit", F.filter(F.split(F.lower("piece"), "[^0-9a-z]+"), lambda w: w != "").alias("words"))
+    # a row of its own for each input row, so that the bigrams of repeated rows are not added up
+    rowed = keyed.where("text IS NOT NULL").withColumn("row", F.monotonically_increasing_id())
+    units = rowed.select("doc_id", "text_key", "row", F.posexplode(F.concat(F.split("text", "\n"), longer)).alias("unit", "piece"))
+    words = units.select("doc_id", "text_key", "row", "unit", F.filter(F.split(F.lower("piece"), "[^0-9a-z]+"), lambda w: w != "").alias("words"))
     possible = words.withColumn("size", F.size("words") - 1).where(F.col("size").between(min(g[2] for g in grams) / wide, max(g[2] for g in grams) * wide))
     pairs = let(F.col("words"), lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat(w[i], F.lit(" "), w[i + 1])))
-    key = ["doc_id", "text_key", "unit", "template", "license", "size", "t_size"]
+    key = ["doc_id", "text_key", "row", "unit", "template", "license", "size", "t_size"]
     shared = (
-        possible.select("doc_id", "text_key", "unit", "size", F.explode(pairs).alias("gram"))
+        possible.select("doc_id", "text_key", "row", "unit", "size", F.explode(pairs).alias("gram"))
         .join(F.broadcast(table), "gram")
         .where((F.col("size") <= F.col("t_size") * wide) & (F.col("t_size") <= F.col("size") * wide))
         .groupBy(*key, "gram", "t_times")
@@ -132,6 +186,6 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, least: float = DICE_LEAS
     more = within.join(met, within["doc_id"].eqNullSafe(met["d"]) & (within["text_key"] == met["t"]) & (within["license"] == met["l"]), "left_anti")
     found = found.unionByName(more.withColumn("unit", F.lit(None).cast("int")))
     verdict = found.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("license")).alias("licenses"), F.count("license").alias("n_notices"), F.max("dice").alias("best_dice"))
-    rows, v = keyed.select("doc_id", "text_key"), verdict.withColumnsRenamed({"doc_id": "d", "text_key": "t"})
+    rows, v = every.select("doc_id", "text_key"), verdict.withColumnsRenamed({"doc_id": "d", "text_key": "t"})
     out = rows.join(v, rows["doc_id"].eqNullSafe(v["d"]) & (rows["text_key"] == v["t"]), "left")
     return out.select("doc_id", F.coalesce("licenses", F.array().cast("array<string>")).alias("licenses"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"), F.coalesce("best_dice", F.lit(0.0)).alias("best_dice"))

@@ -574,6 +574,34 @@ def test_licenses_within_prose(spark):
     assert got == {1: (["GPL-3.0"], 1), 2: (["Apache-2.0", "GPL-3.0"], 2), 3: (["GPL-3.0"], 1), 4: (["GPL-3.0"], 1), 5: ([], 0)}
 
 
+def test_licenses_odd_rows(spark):
+    notice = license_scan.TEMPLATES[6][1]
+    half = " ".join(notice.split()[:40])
+    rows = [(1, half), (2, half), (2, half), (2, half), (3, None), (4, ""), (5, "w " * 200_000 + notice), (6, notice + "\n\n" + notice), (None, notice), (None, notice)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"row": F.lit("x"), "unit": F.lit(1), "gram": F.lit(2), "best_dice": F.lit("y")})
+    out = [(r.doc_id, list(r.licenses), r.n_notices, round(r.best_dice, 9)) for r in license_scan.scan_licenses(docs).collect()]
+    one = next(r for r in out if r[0] == 1)
+    assert len(out) == 10 and {r[1:] if isinstance(r, list) else (tuple(r[1]), *r[2:]) for r in out if r[0] == 2} == {(tuple(one[1]), *one[2:])}
+    by = {r[0]: r[1:] for r in out}
+    assert by[3] == by[4] == ([], 0, 0.0) and by[5][0] == ["Apache-2.0"] and by[6] == (["Apache-2.0"], 2, 1.0) and by[None] == (["Apache-2.0"], 1, 1.0)
+    assert license_scan.scan_licenses(docs.where("false")).count() == 0
+
+
+def test_license_anchors_lose_nothing():
+    grams = license_scan.template_bigrams()
+    found = license_scan.anchors(grams, license_scan.DICE_LEAST)
+    rng = random.Random(12)
+    for _, text in license_scan.TEMPLATES:
+        w = license_scan.normal_words(text)
+        own = Counter(zip(w, w[1:], strict=False))
+        for _ in range(30):
+            # a unit as unlike the template as the coefficient allows, without as many anchors as possible
+            left = [x for x in w if x not in found or rng.random() < 0.02]
+            have = Counter(zip(left, left[1:], strict=False))
+            dice = 2 * sum((have & own).values()) / (max(1, len(left) - 1) + len(w) - 1)
+            assert dice < license_scan.DICE_LEAST or any(a in " ".join(left) for a in found)
+
+
 def brute_quality(t):
     w = SPACE_WORDS.findall(t or "")
     g = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
