@@ -486,7 +486,7 @@ def brute_discovered(rows):
         t = rows[d] or ""
         for kind, s, e in own:
             left, right = SPACE_WORDS.findall(t[max(0, s - 64) : s].lower()), SPACE_WORDS.findall(t[e : e + 64].lower())
-            patterns = [("2", *left[-2:])] * (len(left) >= 2) + [("1", left[-1])] * (len(left) >= 1) + [(">", *right[:1])] * (len(right) >= 1)
+            patterns = [("2", *left[-2:])] * (len(left) >= 2) + [("1", *left[-1:])] * (len(left) >= 1) + [(">", *right[:1])] * (len(right) >= 1)
             places.setdefault((kind, t[s:e]), []).append((d, s, e))
             for q in patterns:
                 edges[q, t[s:e], kind] += 1
@@ -681,3 +681,26 @@ def test_pipeline_by_brute_force(spark):
     want = {d: t.encode(redacted(d, x), add_special_tokens=False).ids for d, x in left.items()}
     got = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, SF).collect()}
     assert got == want
+
+
+def test_pipeline_stages_of_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "an item that is in no text of these here at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    prose = lambda k: " ".join(f"w{chr(97 + (j * k) % 26)}{chr(97 + j % 26)}{chr(97 + k % 26)}" for j in range(40))
+    rows = [doc(1, prose(1)), doc(1, prose(1)), doc(2, prose(1)), doc(3, prose(3)), doc(4, None), doc(5, ""), doc(None, prose(1)), doc(None, prose(7)), doc(None, prose(7)), doc(9, prose(9) + " a.b@c.de"), doc(2**53 + 1, prose(11)), doc(1, prose(13)), doc(12, "x " * 100_000)]
+    clash = {c: F.lit("mine") for c in ("n_words", "kept", "spans", "component_id", "__text", "items", "text_key", "window")}
+    docs = spark.createDataFrame(rows, DOCS).withColumns(clash)
+    left = [("q", lambda d: {1: 3, 2: 1, 3: 1, None: 3, 9: 1, 2**53 + 1: 1}), ("n", lambda d: {1: 2, 3: 1, None: 1, 9: 1, 2**53 + 1: 1})]
+    left += [("d", left[1][1]), ("p", left[1][1])]
+    for (_, stage), (name, want) in zip(corpus_pipeline.STAGES, left, strict=False):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert Counter(r.doc_id for r in docs.collect()) == want(docs)
+        assert {r[c] for r in docs.collect() for c in clash} == {"mine"}
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
+    assert [r.text for r in docs.collect() if r.doc_id == 9] == [prose(9) + " <email>"]
+    out = corpus_pipeline.tokens(spark, docs, str(tmp_path))
+    assert out.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "decoded_sha256"] and out.count() == 6
