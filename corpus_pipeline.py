@@ -18,6 +18,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.quality_filter(docs)
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near-duplicates; of rows repeated with one doc_id and text, one.
 
@@ -25,9 +32,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     and of equal ones one stays. Blank and null texts are near nothing. All columns stay, whatever their names.
     """
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(LATE) + F.xxhash64("text").bitwiseAND(F.lit(LATE - 1)))
-    rows = docs.withColumns({"__id": own, "__text": F.xxhash64("text")})
-    found = near_duplicates.near_duplicates(rows.select(F.col("__id").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return rows.join(found, rows["__id"] == found["__kept"], "left_semi").dropDuplicates(["__id", "__text"]).select(*docs.columns)
+    key, text_key = (_free(docs, name) for name in ("near_id", "near_text"))
+    rows = docs.withColumns({key: own, text_key: F.xxhash64("text")})
+    found = near_duplicates.near_duplicates(rows.select(F.col(key).alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias(key)).distinct()
+    return rows.join(found, key, "left_semi").dropDuplicates([key, text_key]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
