@@ -199,6 +199,6 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.aggregate(placed, F.struct(F.lit(0).alias("end"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substr(x["text"], a["end"] + 1)))
 
     joined = docs.join(found, docs["doc_id"].eqNullSafe(found["__d"]) & (F.xxhash64(docs["text"]) == found["__t"]), "left")
-    text = F.when(F.col("__spans").isNull(), docs["text"]).otherwise(let(F.struct(docs["text"].alias("text"), F.col("__spans").alias("spans")), cut))
-    changed = {"text": text} | ({"n_chars": F.when(F.col("__spans").isNull(), docs["n_chars"]).otherwise(F.length(text))} if "n_chars" in docs.columns else {})
+    text = F.when(found["__spans"].isNull(), docs["text"]).otherwise(let(F.struct(docs["text"].alias("text"), found["__spans"].alias("spans")), cut))
+    changed = {"text": text} | ({"n_chars": F.when(found["__spans"].isNull(), docs["n_chars"]).otherwise(F.length(text))} if "n_chars" in docs.columns else {})
     return joined.select(*(changed[c].cast(t).alias(c) if c in changed else docs[c] for c, t in docs.dtypes))

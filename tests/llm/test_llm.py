@@ -687,9 +687,9 @@ def test_pipeline_stages_of_odd_rows(spark, tmp_path):
     import corpus_pipeline
 
     spark.createDataFrame([(1, "an item that is in no text of these here at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    prose = lambda k: " ".join(f"w{chr(97 + (j * k) % 26)}{chr(97 + j % 26)}{chr(97 + k % 26)}" for j in range(40))
+    prose = lambda k: " ".join(f"w{chr(97 + j % 26)}{chr(97 + j // 26)}{chr(97 + k)}" for j in range(40))
     rows = [doc(1, prose(1)), doc(1, prose(1)), doc(2, prose(1)), doc(3, prose(3)), doc(4, None), doc(5, ""), doc(None, prose(1)), doc(None, prose(7)), doc(None, prose(7)), doc(9, prose(9) + " a.b@c.de"), doc(2**53 + 1, prose(11)), doc(1, prose(13)), doc(12, "x " * 100_000)]
-    clash = {c: F.lit("mine") for c in ("n_words", "kept", "spans", "component_id", "__text", "items", "text_key", "window")}
+    clash = {c: F.lit("mine") for c in ("n_words", "kept", "spans", "component_id", "near_id", "__text", "__spans", "items", "text_key", "window")}
     docs = spark.createDataFrame(rows, DOCS).withColumns(clash)
     left = [("q", lambda d: {1: 3, 2: 1, 3: 1, None: 3, 9: 1, 2**53 + 1: 1}), ("n", lambda d: {1: 2, 3: 1, None: 1, 9: 1, 2**53 + 1: 1})]
     left += [("d", left[1][1]), ("p", left[1][1])]
