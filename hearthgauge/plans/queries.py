@@ -576,3 +576,6 @@ def full_analysis(spark: SparkSession, d: str) -> DataFrame:
     sources = states(spark, d).select("district", "id", "status")
     out = A.analyse(p, R.sales(spark, d), R.facilities(spark, d), R.accidents(spark, d), flood.withColumn("liquefaction", F.lit("low")), sources)
     return out.select("property_id", F.col("price.sample_count").alias("sample_count"), F.size("price.trend").alias("n_years"), "flood", "completeness", "data_quality", F.size("checklist").alias("n_checks"), F.to_json("accidents").alias("accidents"))
+
+
+from . import records  # noqa: E402, F401  (registers the queries over raw records)
