@@ -9,6 +9,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sources.scratch import Scratch
 from .columns import let
 
 DICE_LEAST = 0.75
@@ -157,9 +158,10 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, least: float = DICE_LEAS
     words = anchors(grams, least)
     # long words are looked for as letters anywhere, which is quick; the few short ones between other signs
     long, short = [w for w in words if len(w) > 3], [w for w in words if len(w) <= 3]
-    small = F.lower("text")
-    tests = [F.contains(small, F.lit(w)) for w in long] + ([small.rlike(f"(?<![0-9a-z])(?:{'|'.join(short)})(?![0-9a-z])")] if short else [])
-    keyed = every.where(reduce(lambda a, b: a | b, tests, F.lit(False)))
+    between = f"(?<![0-9a-z])(?:{'|'.join(short)})(?![0-9a-z])"
+    tests = lambda small: [F.contains(small, F.lit(w)) for w in long] + ([small.rlike(between)] if short else [])
+    keyed = every.where(let(F.lower("text"), lambda small: reduce(lambda a, b: a | b, tests(small), F.lit(False))))
+    keyed = Scratch(spark, "license-scan").save(keyed, "texts")
     by_paragraph = F.split("text", "\n[\\x20\\x09-\\x0D]*\n")
     longer = F.concat(F.filter(by_paragraph, lambda p: F.contains(p, F.lit("\n"))), F.when(F.size(by_paragraph) > 1, F.array("text")).otherwise(F.array().cast("array<string>")))
     # a row of its own for each input row, so that the bigrams of repeated rows are not added up
