@@ -28,10 +28,11 @@ def running_sums(numbers: Column, block: int = 256) -> Column:
 
 
 def hash_windows(words: Column, width: int) -> Column:
-    """Hash of each run of `width` elements, by start; empty with fewer."""
+    """Hash of each run of `width` elements, by start; empty with fewer. Elements are looked up where they stand, as a
+    slice for each run would be a new array each time."""
     def of(w: Column) -> Column:
         n = F.size(w)
-        hashes = F.transform(F.sequence(F.lit(1), F.greatest(n - (width - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, width)))
+        hashes = F.transform(F.sequence(F.lit(0), F.greatest(n - width, F.lit(0))), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(width))))
         return F.when(n >= width, hashes).otherwise(F.array().cast("array<bigint>"))
 
     return let(words, of)

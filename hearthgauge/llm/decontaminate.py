@@ -9,6 +9,8 @@ themselves meet without regard to case, so passages in capitals or small letters
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .columns import hash_windows, let
@@ -30,8 +32,9 @@ NUMBER, NAME, UNIT = "\u0001n", "\u0001c", "\u0001u"
 
 
 def raw_words(text: Column) -> Column:
-    """Words without signs around them; empty ones left out."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "[^\\p{L}\\p{N}%$€/.]+|[./]+(?=[^\\p{L}\\p{N}]|$)"), lambda w: w != "")
+    """Words without signs around them; empty ones left out. A sharp s, which has two capitals, is two letters."""
+    plain = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("ß"), F.lit("ss")), F.lit("ẞ"), F.lit("SS"))
+    return F.filter(F.split(plain, "[^\\p{L}\\p{N}%$€/.]+|[./]+(?=[^\\p{L}\\p{N}]|$)"), lambda w: w != "")
 
 
 def template_words(words: Column) -> Column:
@@ -40,13 +43,17 @@ def template_words(words: Column) -> Column:
     # a capital differs from its lower-case form, a digit lies between 0 and 9; both without a pattern for each word
     return F.transform(
         words,
-        lambda w: F.when(first(w).between("0", "9") | first(w).isin("$", "€"), F.lit(NUMBER)).when(first(w) != F.lower(first(w)), F.lit(NAME)).when(w.isin(*UNITS), F.lit(UNIT)).when(w.isin(*NUMBER_WORDS), F.lit(NUMBER)).otherwise(w),
+        lambda w: F.when(((w >= "0") & (w < ":")) | F.startswith(w, F.lit("$")) | F.startswith(w, F.lit("€")), F.lit(NUMBER)).when(first(w) != F.lower(first(w)), F.lit(NAME)).when(w.isin(*UNITS), F.lit(UNIT)).when(w.isin(*NUMBER_WORDS), F.lit(NUMBER)).otherwise(w),
     )
 
 
-def folded_words(words: Column) -> Column:
-    """Words without regard to case; a sharp s has two capitals."""
-    return F.transform(words, lambda w: F.replace(F.lower(w), F.lit("ß"), F.lit("ss")))
+def folded_windows(words: Column, widths: list[int]) -> Column:
+    """Windows of words without regard to case, of each of the widths in turn."""
+    return let(F.transform(words, lambda w: F.xxhash64(F.lower(w))), lambda x: F.concat(*(hash_windows(x, k) for k in widths)))
+
+
+def template_windows(template: Column, width: int) -> Column:
+    return hash_windows(F.transform(template, lambda w: F.xxhash64(w)), width)
 
 
 def _opens(words: Column, i: Column) -> Column:
@@ -88,12 +95,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sha
     items = items.withColumn("item", F.xxhash64("item_id", "item_words")).withColumn("full", template_words(F.col("item_words")))
     items = items.withColumns({"item_template": collapsed(F.col("full")), "item_places": run_starts(F.col("full"))}).drop("full")
     by_template = (
-        items.select("item", "item_template", F.size("item_template").alias("of"), F.posexplode(hash_windows(F.col("item_template"), width)).alias("item_at", "window"))
+        items.select("item", "item_template", F.size("item_template").alias("of"), F.posexplode(template_windows(F.col("item_template"), width)).alias("item_at", "window"))
         .where(plain(F.slice("item_template", F.col("item_at") + 1, width)) >= LITERALS_LEAST)
         .select("item", "item_at", "window", "of", F.lit(False).alias("exact"))
     )
-    folded = items.select("item", folded_words(F.col("item_words")).alias("w"), F.size("item_words").alias("of")).where("of > 0")
-    by_words = folded.select("item", F.posexplode(F.when(F.col("of") < width, F.array(F.xxhash64("w"))).otherwise(hash_windows(F.col("w"), width))).alias("item_at", "window"), "of", F.lit(True).alias("exact"))
+    folded = items.select("item", F.col("item_words").alias("w"), F.size("item_words").alias("of")).where("of > 0")
+    whole = reduce(lambda a, k: F.when(F.col("of") == k, folded_windows(F.col("w"), [k])).otherwise(a), range(1, width), folded_windows(F.col("w"), [width]))
+    by_words = folded.select("item", F.posexplode(whole).alias("item_at", "window"), "of", F.lit(True).alias("exact"))
     item_windows = scratch.save(by_template.unionByName(by_words), "items")
     n = item_windows.count()
     table = _small(item_windows, n)
@@ -104,7 +112,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sha
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     words = keyed.where("text IS NOT NULL").select("doc_id", "text_key", raw_words(F.col("text")).alias("words"))
     kind = lambda exact, hashes: F.struct(F.lit(exact).alias("exact"), hashes.alias("windows"))
-    by_kind = let(F.col("words"), lambda w: F.array(kind(False, hash_windows(collapsed(template_words(w)), width)), let(folded_words(w), lambda x: kind(True, F.concat(hash_windows(x, width), *(hash_windows(x, k) for k in short))))))
+    by_kind = let(F.col("words"), lambda w: F.array(kind(False, template_windows(collapsed(template_words(w)), width)), kind(True, folded_windows(w, [width, *short]))))
     windows = words.select("doc_id", "text_key", F.inline(by_kind)).select("doc_id", "text_key", "exact", F.posexplode("windows").alias("at", "window"))
     distance = F.when(F.col("exact") & (F.col("of") < width), 0).otherwise(F.col("at") - F.col("item_at")).alias("distance")
     hits = windows.join(table, ["window", "exact"]).select("doc_id", "text_key", "item", "exact", distance, "item_at", "of").distinct()
