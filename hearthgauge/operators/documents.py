@@ -17,9 +17,13 @@ def legacy_flags(version: Column, stored: dict[str, Column] | None = None) -> di
 
 
 def migrate(saved: DataFrame, version: str = "version") -> DataFrame:
-    """`saved` of the versions known, with a flag legacy_<kind> for each kind and the current version; others go."""
+    """`saved` of the versions known, with a flag legacy_<kind> for each kind and the current version; others go.
+
+    A flag that is stored with a document stays; one of the current version that has none is not legacy.
+    """
     known = saved.where(F.col(version).isNull() | F.col(version).between(OLDEST, CURRENT))
-    return known.withColumns({f"legacy_{k}": c for k, c in legacy_flags(F.col(version)).items()}).withColumn("version_now", F.lit(CURRENT))
+    stored = {k: F.col(f"legacy_{k}") for k in LEGACY_BEFORE if f"legacy_{k}" in saved.columns}
+    return known.withColumns({f"legacy_{k}": c for k, c in legacy_flags(F.col(version), stored).items()}).withColumn("version_now", F.lit(CURRENT))
 
 
 def parse_saved(text: Column, item: str) -> Column:
@@ -78,5 +82,5 @@ def status_text(status: Column, updated: Column) -> Column:
 
 
 def retention(dates: Column, now: Column, years: int = 5) -> Column:
-    """Whether a date lies in the rolling window of `years` (of 365.25 days) before `now`."""
-    return (dates >= F.date_sub(now, int(years * 365.25))) & (dates <= now)
+    """Whether a date is not before the rolling window of `years` (of 365.25 days) that ends `now`; later ones stay."""
+    return dates >= F.date_sub(now, int(years * 365.25))

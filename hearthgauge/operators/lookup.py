@@ -66,9 +66,12 @@ def one_match_over_groups(hits: DataFrame, key: list[str], group: str, order: st
     return one.select(*key, "n_groups", F.when(F.col("n_groups") == 1, F.col(group)).alias(group), F.when(F.col("n_groups") == 1, F.col("m.lat")).alias("lat"), F.when(F.col("n_groups") == 1, F.col("m.lon")).alias("lon"))
 
 
-def suffix_join(rows: DataFrame, code: str, dimension: DataFrame, suffix: str, length: int) -> DataFrame:
-    """`rows` with the dimension row whose `suffix` (of fixed `length`) ends their `code`; an equi-join on the code's end."""
-    return rows.withColumn("__s", F.right(F.col(code), F.lit(length))).join(dimension.withColumnRenamed(suffix, "__s"), "__s", "left").drop("__s")
+def suffix_join(rows: DataFrame, code: str, dimension: DataFrame, suffix: str, length: int, order: str) -> DataFrame:
+    """`rows` with the first dimension row, by `order`, whose `suffix` (of fixed `length`) ends their `code`; an equi-join
+    on the code's end, and no row twice."""
+    values = [c for c in dimension.columns if c != suffix]
+    first = dimension.groupBy(F.col(suffix).alias("__s")).agg(F.min_by(F.struct(*values), order).alias("__v"))
+    return rows.withColumn("__s", F.right(F.col(code), F.lit(length))).join(first, "__s", "left").select(*rows.columns, "__v.*")
 
 
 def label_in_text(text: Column, labels: list[str]) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def stratified(rows: DataFrame, strata: str, order: str, each: int, total: int, reserve: int, group: list[str] | None = None, values: list[str] | None = None) -> DataFrame:
@@ -31,16 +33,37 @@ def top_per_group(rows: DataFrame, group: list[str], order: str, n: int) -> Data
 
 
 def prioritised(rows: DataFrame, group: list[str], quotas: list[tuple[str, int]], order: str, total: int) -> DataFrame:
-    """Rows with `slot`: for each (condition, n) in turn the first n rows in `order` that meet it and aren't taken yet,
-    then others up to `total`. Conditions are few, and each is one pass."""
-    left, taken = rows, None
-    for k, (condition, n) in enumerate(quotas):
-        hit = left.where(condition).withColumn("__r", F.row_number().over(Window.partitionBy(*group).orderBy(order))).where(F.col("__r") <= n).drop("__r").withColumn("slot", F.lit(k))
-        taken = hit if taken is None else taken.unionByName(hit)
-        left = left.join(hit.select(*group, order), [*group, order], "left_anti")
-    filled = left.withColumn("slot", F.lit(len(quotas)))
-    both = filled if taken is None else taken.unionByName(filled)
-    return both.withColumn("__r", F.row_number().over(Window.partitionBy(*group).orderBy("slot", order))).where(F.col("__r") <= total).drop("__r")
+    """Rows with `slot`: for each (condition, n) in turn the first n rows in `order` (unique in a group) that meet it and
+    aren't taken yet, then others up to `total`.
+
+    A quota takes none but the first rows that meet it, as many as it and those before it ask for; those are cut out by
+    limits that hold before the shuffle. The turns are then taken inside one small array a group.
+    """
+    asked, cuts = 0, []
+    for condition, n in quotas:
+        asked += n
+        cuts.append(top_per_group(rows.where(condition), group, order, asked))
+    small = reduce(DataFrame.unionByName, cuts, top_per_group(rows, group, order, asked + total)).dropDuplicates([*group, order])
+    meets = F.array(*(F.coalesce(F.expr(condition), F.lit(False)) for condition, _ in quotas))
+    row = F.struct(F.col(order).alias("o"), meets.alias("meets"), F.lit(len(quotas)).alias("slot"), F.struct(*rows.columns).alias("row"))
+    held = small.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), row.alias("r")))).alias("__a"))
+    held = held.withColumn("__a", F.transform("__a", lambda x: x["r"]))
+    for k, (_, n) in enumerate(quotas):
+        free = F.filter(_free("__a", k, len(quotas)), lambda i: i.isNotNull())
+        held = held.withColumn("__t", F.slice(free, 1, n)).withColumn("__a", _taken("__a", k))
+    best = F.slice(F.array_sort(F.transform("__a", lambda x: F.struct(x["slot"].alias("slot"), x["o"].alias("o"), x["row"].alias("row")))), 1, total)
+    return held.select(F.explode(best).alias("x")).select("x.row.*", "x.slot")
+
+
+def _free(rows: str, k: int, none: int) -> Column:
+    """The places of rows that meet condition k and have no slot; null for the others."""
+    return F.transform(rows, lambda x, i: F.when(x["meets"][k] & (x["slot"] == none), i))
+
+
+def _taken(rows: str, k: int) -> Column:
+    """`rows` with slot k at the places of column __t."""
+    slot = lambda x, i: F.when(F.array_contains("__t", i), F.lit(k)).otherwise(x["slot"])
+    return F.transform(rows, lambda x, i: F.struct(x["o"].alias("o"), x["meets"].alias("meets"), slot(x, i).alias("slot"), x["row"].alias("row")))
 
 
 def different_second(rows: DataFrame, group: list[str], category: str, order: str) -> DataFrame:

@@ -155,9 +155,9 @@ def record_drop_gate(spark: SparkSession, d: str) -> DataFrame:
     return Q.drop_check(now, now.withColumn("record_count", F.col("record_count") + F.col("id") % 20), "id").select("id", "record_count", "previous_count")
 
 
-@query(f"WITH {R.ACCIDENTS} SELECT user_id FROM accidents GROUP BY 1 HAVING count(DISTINCT severity) FILTER (severity IN ('A1', 'A2')) < 2")
+@query(f"WITH {R.ACCIDENTS} SELECT user_id, {cuts('lat', 4)} AS lat FROM accidents GROUP BY user_id, accidents.lat HAVING count(DISTINCT severity) FILTER (severity IN ('A1', 'A2')) < 2")
 def presence_gate(spark: SparkSession, d: str) -> DataFrame:
-    return Q.presence(R.accidents(spark, d), ["user_id"], "severity", ["A1", "A2"]).select("user_id")
+    return Q.presence(R.accidents(spark, d), ["user_id", "lat"], "severity", ["A1", "A2"]).select("user_id", cut(F.col("lat"), 4).alias("lat"))
 
 
 # ---- lookups -----------------------------------------------------------------------------------------------
@@ -206,11 +206,11 @@ def priority_fallback_join(spark: SparkSession, d: str) -> DataFrame:
     return J.with_fallback(first, second, ["c_custkey"], only_unmatched=True).select("c_custkey", "match_status", "location_method")
 
 
-@query("WITH dim AS (SELECT n_nationkey, n_name, lpad(n_nationkey::VARCHAR, 3, '0') AS code FROM nation) SELECT n_name, count(*)::BIGINT AS n FROM (SELECT 'X65' || lpad((o_custkey % 30)::VARCHAR, 3, '0') AS area FROM orders) LEFT JOIN dim ON ends_with(area, code) GROUP BY 1")
+@query("WITH dim AS (SELECT lpad((n_nationkey % 20)::VARCHAR, 3, '0') AS code, arg_min(n_name, n_nationkey) AS n_name FROM nation GROUP BY 1) SELECT n_name, count(*)::BIGINT AS n FROM (SELECT 'X65' || lpad((o_custkey % 30)::VARCHAR, 3, '0') AS area FROM orders) LEFT JOIN dim ON ends_with(area, code) GROUP BY 1")
 def suffix_code_join(spark: SparkSession, d: str) -> DataFrame:
-    dim = R.table(spark, d, "nation").select("n_name", F.lpad(F.col("n_nationkey").cast("string"), 3, "0").alias("code"))
+    dim = R.table(spark, d, "nation").select("n_nationkey", "n_name", F.lpad((F.col("n_nationkey") % 20).cast("string"), 3, "0").alias("code"))
     rows = R.table(spark, d, "orders").select(F.concat(F.lit("X65"), F.lpad((F.col("o_custkey") % 30).cast("string"), 3, "0")).alias("area"))
-    return J.suffix_join(rows, "area", dim, "code", 3).groupBy("n_name").agg(F.count("*").alias("n"))
+    return J.suffix_join(rows, "area", dim, "code", 3, "n_nationkey").groupBy("n_name").agg(F.count("*").alias("n"))
 
 
 LABELS = ["widget", "ring", "small", "red", "blue"]
@@ -394,10 +394,23 @@ def topk_per_city(spark: SparkSession, d: str) -> DataFrame:
     return W.top_per_group(R.table(spark, d, "customer").select("c_nationkey", "c_custkey"), ["c_nationkey"], "c_custkey", 5)
 
 
-@query()
+QUOTAS = [("year = 2021", 1), ("year = 2022", 1), ("year = 2023", 2), ("severity = 'A1'", 1), ("severity = 'A2'", 1)]
+
+
+def _sample_sql(total: int) -> str:
+    """The turns one after another: each takes from what those before it left."""
+    steps, left = [f"WITH {R.ACCIDENTS}, l0 AS (SELECT district, id, year, severity FROM accidents)"], "l0"
+    for k, (condition, n) in enumerate(QUOTAS):
+        steps.append(f"t{k} AS (SELECT *, {k} AS slot FROM {left} WHERE {condition} QUALIFY row_number() OVER (PARTITION BY district ORDER BY id) <= {n})")
+        steps.append(f"l{k + 1} AS (SELECT * FROM {left} ANTI JOIN t{k} USING (district, id))")
+        left = f"l{k + 1}"
+    every = " UNION ALL ".join([f"SELECT * FROM t{k}" for k in range(len(QUOTAS))] + [f"SELECT *, {len(QUOTAS)} FROM {left}"])
+    return ", ".join(steps) + f", e AS ({every}) SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY district ORDER BY slot, id) <= {total}"
+
+
+@query(_sample_sql(8))
 def accident_sample(spark: SparkSession, d: str) -> DataFrame:
-    quotas = [("year = 2021", 1), ("year = 2022", 1), ("year = 2023", 1), ("severity = 'A1'", 1), ("severity = 'A2'", 1)]
-    return W.prioritised(R.accidents(spark, d).select("district", "id", "year", "severity"), ["district"], quotas, "id", 5)
+    return W.prioritised(R.accidents(spark, d).select("district", "id", "year", "severity"), ["district"], QUOTAS, "id", 8)
 
 
 @query("""WITH f AS (SELECT p_brand, arg_min(p_type, p_partkey) AS t FROM part GROUP BY 1) SELECT p_brand, p_partkey, p_type FROM part JOIN f USING (p_brand) QUALIFY row_number() OVER (PARTITION BY p_brand, p_type = t ORDER BY p_partkey) = 1""")
@@ -542,9 +555,9 @@ def readiness_merge(spark: SparkSession, d: str) -> DataFrame:
     return M.merge_readiness(n.where("id % 2 = 0").withColumn("reason", F.lit("old")), n.where("id % 3 = 0").withColumn("reason", F.lit("new")))
 
 
-@query("SELECT conv_id, turn, coalesce(v, 0)::INT AS version, " + ", ".join(f"coalesce(v, 2) < {n} AS legacy_{k}" for k, n in M.LEGACY_BEFORE.items()) + " FROM (SELECT conv_id, turn, CASE WHEN turn = 0 THEN NULL ELSE (turn + 1)::INT END AS v FROM conversations) WHERE v IS NULL OR v BETWEEN 2 AND 8")
+@query("SELECT conv_id, turn, coalesce(v, 0)::INT AS version, " + ", ".join((f"coalesce(CASE WHEN conv_id % 3 = 0 THEN conv_id % 2 = 0 END, coalesce(v, 2) < {n})" if k == "life" else f"coalesce(v, 2) < {n}") + f" AS legacy_{k}" for k, n in M.LEGACY_BEFORE.items()) + " FROM (SELECT conv_id, turn, CASE WHEN turn = 0 THEN NULL ELSE (turn + 1)::INT END AS v FROM conversations) WHERE v IS NULL OR v BETWEEN 2 AND 8")
 def migration_flags(spark: SparkSession, d: str) -> DataFrame:
-    saved = R.table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") > 0, (F.col("turn") + 1).cast("int")).alias("version"))
+    saved = R.table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") > 0, (F.col("turn") + 1).cast("int")).alias("version"), F.when(F.col("conv_id") % 3 == 0, F.col("conv_id") % 2 == 0).alias("legacy_life"))
     return M.migrate(saved).drop("version_now").withColumn("version", F.coalesce("version", F.lit(0)))
 
 
@@ -555,7 +568,7 @@ def incremental_skip(spark: SparkSession, d: str) -> DataFrame:
     return M.unchanged(now, before, "id", "digest").select("id", "skip")
 
 
-@query("SELECT o_orderpriority, count(*) FILTER (o_orderdate::DATE BETWEEN DATE '2001-08-01' - 1826 AND DATE '2001-08-01')::BIGINT AS kept, count(*)::BIGINT AS n FROM orders GROUP BY 1")
+@query("SELECT o_orderpriority, count(*) FILTER (o_orderdate::DATE >= DATE '2001-08-01' - 1826)::BIGINT AS kept, count(*)::BIGINT AS n FROM orders GROUP BY 1")
 def retention_window(spark: SparkSession, d: str) -> DataFrame:
     kept = M.retention(F.to_date("o_orderdate"), F.lit("2001-08-01").cast("date"))
     return R.table(spark, d, "orders").groupBy("o_orderpriority").agg(F.count_if(kept).alias("kept"), F.count("*").alias("n"))
@@ -570,7 +583,7 @@ def stall_classification(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def full_analysis(spark: SparkSession, d: str) -> DataFrame:
-    p = R.all_properties(spark, d)
+    p = R.properties(spark, d)
     spots = p.select("property_id", "lat", "lon")
     flood = G.first_match(spots, G.points_in_polygons(spots, shapes(spark)), ["property_id"], "ord", ["level"]).select("property_id", F.col("level").alias("flood"))
     sources = states(spark, d).select("district", "id", "status")

@@ -30,7 +30,7 @@ def test_entry(spark):
 
 def test_full_analysis_has_every_property_and_its_own_sources(spark):
     got = {r.property_id: r for r in P.full_analysis(spark, SF).collect()}
-    districts = {r.property_id: r.district for r in P.R.all_properties(spark, SF).collect()}
+    districts = {r.property_id: r.district for r in P.R.properties(spark, SF).collect()}
     assert len(got) == spark.read.parquet(f"{SF}/customer.parquet").count() and set(got) == set(districts)
     rows = P.states(spark, SF).collect()
     quality = {}
