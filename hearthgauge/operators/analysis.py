@@ -32,11 +32,11 @@ def comparables(properties: DataFrame, sales: DataFrame) -> DataFrame:
 
     properties: property_id, district, lat, lon, p_age, p_type. sales: district, lat, lon, age, building_type, special,
     date, total_price, area_ping, parking_price, parking_area_ping. One join at the larger radius serves both: the
-    smaller one is used where it holds at least SAMPLES_LEAST sales. Sales are joined by district and grid cell.
+    smaller one is used where it holds at least SAMPLES_LEAST sales. Sales are joined by district, type and grid cell.
     """
-    alike = (F.abs(F.col("age") - F.col("p_age")) <= AGE_SPAN) & (F.col("building_type") == F.col("p_type"))
+    alike = F.abs(F.col("age") - F.col("p_age")) <= AGE_SPAN
     usable = sales.where(~F.col("special")).select("district", "lat", "lon", "age", "building_type", "date", unit_price(F.col("total_price"), F.col("area_ping"), F.col("parking_price"), F.col("parking_area_ping")).alias("sale_unit_price"))
-    met = radius_join(properties.select("property_id", "district", "lat", "lon", "p_age", "p_type"), usable, FAR, on=["district"], most_lat=30.0, extra=alike)
+    met = radius_join(properties.select("property_id", "district", "lat", "lon", "p_age", F.col("p_type").alias("building_type")), usable, FAR, on=["district", "building_type"], most_lat=30.0, extra=alike)
     return met.select("property_id", "district", "distance", "date", "sale_unit_price")
 
 
