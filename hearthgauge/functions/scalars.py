@@ -171,7 +171,8 @@ def distance_text(metres: Column) -> Column:
 def local_date_text(stamp: Column) -> Column:
     """Day of a UTC timestamp text in Taipei; blank: unknown, unreadable: as it is."""
     t = F.try_to_timestamp(stamp)
-    return F.when(F.coalesce(strip(stamp), F.lit("")) == "", "日期不明").when(t.isNull(), stamp).otherwise(F.date_format(F.from_utc_timestamp(t, "Asia/Taipei"), "yyyy/M/d"))
+    there = F.from_utc_timestamp(F.to_utc_timestamp(t, F.current_timezone()), "Asia/Taipei")
+    return F.when(F.coalesce(strip(stamp), F.lit("")) == "", "日期不明").when(t.isNull(), stamp).otherwise(F.date_format(there, "yyyy/MM/dd"))
 
 
 def presented_count(count: Column, status: Column, legacy: Column) -> Column:

@@ -42,6 +42,23 @@ def save_item(saved: DataFrame, new: DataFrame, key: str, order: str) -> DataFra
     return out.orderBy(order)
 
 
+def delete_item(saved: DataFrame, key: str, value: object) -> DataFrame:
+    """`saved` without the items of one key."""
+    return saved.where(~F.col(key).eqNullSafe(F.lit(value)))
+
+
+def failed_sources(states: DataFrame, failures: DataFrame, now: Column) -> DataFrame:
+    """`states` (id, status, attempted_at, message, and values) after a run in which the sources of `failures` (id, message) failed.
+
+    A failed source keeps the values of its last good run; one never seen has the status and nothing else.
+    """
+    values = [c for c in states.columns if c not in ("id", "status", "attempted_at", "message")]
+    gone = failures.select("id", F.col("message").alias("__m"), F.lit(True).alias("__failed"))
+    out = states.join(gone, "id", "full_outer")
+    kept = lambda c, new: F.when(F.col("__failed"), new).otherwise(F.col(c)).alias(c)
+    return out.select("id", kept("status", F.lit("failed")), kept("attempted_at", now), kept("message", F.col("__m")), *values)
+
+
 def merge_readiness(previous: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """All sources of either; the new entry of a source wins."""
     values = [c for c in previous.columns if c != key]
@@ -77,10 +94,6 @@ def seasons(start: Column, end: Column) -> Column:
     return F.transform(F.sequence(first, end, F.expr("interval 3 months")), lambda d: F.concat((F.year(d) - 1911).cast("string"), F.lit("S"), F.quarter(d).cast("string")))
 
 
-def status_text(status: Column, updated: Column) -> Column:
-    return F.when(status == "official", F.concat(F.lit("官方資料 "), updated)).when(status == "stale", F.concat(F.lit("舊資料 "), updated)).when(status == "failed", "更新失敗").otherwise("尚未提供")
-
-
 def retention(dates: Column, now: Column, years: int = 5) -> Column:
     """Whether a date is not before the rolling window of `years` (of 365.25 days) that ends `now`; later ones stay."""
     return dates >= F.date_sub(now, int(years * 365.25))

@@ -7,6 +7,7 @@ from pathlib import Path
 
 # Fixed values
 SCHEMA_VERSION, MODE = "2.0.0", "production"
+READINESS_VERSION, READINESS_SOURCES = "1.0.0", {"market", "park"}
 
 
 def load_manifest(path: str) -> dict:
@@ -24,6 +25,15 @@ def load_optional(path: str) -> dict | None:
         return None
 
 
+def load_readiness(path: str) -> dict | None:
+    """The readiness reports, or nothing if they are missing, broken, of another version or name a source that has none."""
+    found = load_optional(path)
+    if not isinstance(found, dict) or found.get("schemaVersion") != READINESS_VERSION:
+        return None
+    sources = found.get("sources")
+    return found if isinstance(sources, dict) and set(sources) <= READINESS_SOURCES else None
+
+
 def source_files(manifest: dict, source: str, prefix: str = "", suffix: str = "") -> list[str]:
     """Files of a source under a prefix; none of an unavailable one."""
     state = manifest["sources"].get(source)

@@ -23,13 +23,24 @@ def text_schema(columns: list[str]) -> StructType:
     return StructType([StructField(c, StringType()) for c in columns])
 
 
+def _unclosed(spark: SparkSession, path: str) -> str | None:
+    """A file with an odd number of quotes. Counted in bytes, so any encoding that keeps ASCII will do."""
+    line = F.col("value")
+    quotes = F.sum(F.octet_length(line) - F.octet_length(F.replace(line, F.lit('"'), F.lit(""))))
+    return spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(quotes.alias("n")).where("n % 2 = 1").agg(F.min("file")).first()[0]
+
+
 def read_csv(spark: SparkSession, path: str, columns: list[str], multiline: bool = False, encoding: str = "UTF-8") -> DataFrame:
     """Rows of CSV files with a header, all columns text, the English subtitle row left out.
 
-    multiline reads quoted line ends, and fails on an unclosed quote. Big5 needs spark.sql.legacy.javaCharsets.
+    multiline reads quoted line ends, and raises if a file has an unclosed quote, which the parser would let pass: its
+    quotes are counted in a scan of its own. Big5 needs spark.sql.legacy.javaCharsets.
     """
     reader = spark.read.schema(text_schema(columns)).option("header", True).option("quote", '"').option("escape", '"').option("encoding", encoding).option("enforceSchema", True)
     if multiline:
+        opened = _unclosed(spark, path)
+        if opened:
+            raise ValueError(f"unclosed quote in {opened}")
         reader = reader.option("multiLine", True).option("mode", "FAILFAST")
     rows = reader.csv(path)
     return rows.where(~F.coalesce(F.lower(F.col(f"`{columns[0]}`")), F.lit("")).eqNullSafe(SUBTITLE.lower())).na.fill("")
@@ -137,11 +148,11 @@ def shapefile_entry(names: list[str]) -> str:
 
 
 def paged(spark: SparkSession, folder: str, columns: list[str], page_rows: int = 100_000, most_pages: int = 31) -> DataFrame:
-    """Rows of an API's pages, one file a page; all but the last must be full, and there are at most `most_pages`."""
+    """Rows of an API's pages, one file a page named in order; all but the last must be full, at most `most_pages` of them."""
     rows = read_csv(spark, folder, columns).withColumn("page", F.col("_metadata.file_path"))
-    sizes = [r["count"] for r in rows.groupBy("page").count().collect()] if columns else []
-    if len(sizes) > most_pages or sum(n < page_rows for n in sizes) > 1:
-        raise ValueError(f"{len(sizes)} pages, {sum(n < page_rows for n in sizes)} of them short")
+    sizes = [r["count"] for r in rows.groupBy("page").count().orderBy("page").limit(most_pages + 1).collect()]
+    if len(sizes) > most_pages or any(n < page_rows for n in sizes[:-1]):
+        raise ValueError(f"more than {most_pages} pages, or a short one before the last: {sizes}")
     return rows.drop("page")
 
 

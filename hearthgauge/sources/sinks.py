@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import shutil
@@ -35,10 +36,19 @@ def oversized(spark: SparkSession, path: str, most: int = MOST_BYTES) -> DataFra
 
 
 def fingerprint(spark: SparkSession, path: str) -> str:
-    """SHA-256 over the sorted names and content digests of all files below a folder; contents are hashed by the executors."""
+    """SHA-256 over the names, relative to the folder, and the bytes of all files below it, in the order of names.
+
+    A digest has one order, so the files pass the driver one partition after another; published files are at most
+    MOST_BYTES long.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString()
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    each = files.select(F.substring_index("path", "/", -1).alias("name"), F.sha2("content", 256).alias("digest"))
-    return each.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "digest"))), lambda x: F.concat(x["name"], F.lit(":"), x["digest"])), "\n"), 256)).first()[0]
+    digest = hashlib.sha256()
+    for f in files.select(F.substring("path", len(root) + 2, 1 << 30).alias("name"), "content").orderBy("name").toLocalIterator():
+        digest.update(f.name.encode())
+        digest.update(f.content)
+    return digest.hexdigest()
 
 
 def write_json_atomic(value: object, path: str) -> None:
@@ -48,6 +58,15 @@ def write_json_atomic(value: object, path: str) -> None:
     os.replace(part, path)
 
 
+def export_json(rows: DataFrame, path: str, order: list[str], most: int = 1_000) -> int:
+    """A small result, such as a comparison or the candidates of an audit, as one JSON list; more than `most` rows raise."""
+    held = [json.loads(r[0]) for r in rows.orderBy(*order).limit(most + 1).select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})).collect()]
+    if len(held) > most:
+        raise ValueError(f"more than {most} rows")
+    write_json_atomic(held, path)
+    return len(held)
+
+
 def replace_folder(staged: str, target: str) -> None:
     """`staged` in place of `target`; if that fails, the old folder is back."""
     old = f"{target}.{uuid.uuid4().hex}.old"

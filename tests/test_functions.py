@@ -57,7 +57,7 @@ def test_identifiers_and_numbers(spark):
 
 def test_presentation(spark):
     assert one(spark, S.distance_text(L(1234.0)), S.distance_text(L(99.6)), S.distance_text(L(None).cast("double"))) == ("1.2 公里", "100 公尺", "資料不足")
-    assert one(spark, S.local_date_text(L("2026-07-21T20:00:00.000Z")), S.local_date_text(L("")), S.local_date_text(L("x"))) == ("2026/7/22", "日期不明", "x")
+    assert one(spark, S.local_date_text(L("2026-07-21T20:00:00.000Z")), S.local_date_text(L("")), S.local_date_text(L("x"))) == ("2026/07/22", "日期不明", "x")
     assert one(spark, S.presented_count(L(0), L("official"), L(False)), S.presented_count(L(0), L("failed"), L(False)), S.presented_count(L(0), L("official"), L(True))) == ("0", "資料不足", "舊快照")
 
 

@@ -1,9 +1,11 @@
+import hashlib
 import json
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from hearthgauge.operators import documents, presentation
 from hearthgauge.sources import catalog, readers, sinks
 from hearthgauge.streaming import events
 
@@ -71,6 +73,60 @@ def test_catalog(tmp_path):
     assert good_ == {} and "a" in failed
 
 
+def test_odd_files(spark, tmp_path):
+    (tmp_path / "open.csv").write_text('a,b\n1,"never closed\n2,x\n', encoding="utf-8")
+    with pytest.raises(ValueError, match="unclosed"):
+        readers.read_csv(spark, str(tmp_path / "open.csv"), ["a", "b"], multiline=True).collect()
+    (tmp_path / "big5.csv").write_bytes("名,值\n臺北,1\n".encode("big5"))
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    try:
+        assert [r["名"] for r in readers.read_csv(spark, str(tmp_path / "big5.csv"), ["名", "值"], encoding="Big5").collect()] == ["臺北"]
+    finally:
+        spark.conf.unset("spark.sql.legacy.javaCharsets")
+    (tmp_path / "bom.json").write_text('\ufeff[{"id": "1"}, {"id": "2"}]', encoding="utf-8")
+    assert {r.id for r in readers.read_json_rows(spark, str(tmp_path / "bom.json"), "id string").collect()} == {"1", "2"}
+
+
+def test_pages(spark, tmp_path):
+    pages = tmp_path / "pages"
+    pages.mkdir()
+    for k, n in enumerate([3, 3, 1]):
+        (pages / f"p{k}.csv").write_text("a\n" + "".join(f"{k}{i}\n" for i in range(n)), encoding="utf-8")
+    assert readers.paged(spark, str(pages), ["a"], 3).count() == 7
+    with pytest.raises(ValueError):
+        readers.paged(spark, str(pages), ["a"], 3, 2)
+    (pages / "p1.csv").write_text("a\n1\n", encoding="utf-8")
+    with pytest.raises(ValueError):
+        readers.paged(spark, str(pages), ["a"], 3)
+
+
+def test_fingerprint_is_of_names_and_bytes(spark, tmp_path):
+    want = hashlib.sha256()
+    for name in ["a/x.bin", "a/y.bin", "b.bin"]:
+        (tmp_path / "f" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "f" / name).write_bytes(name.encode() * 3)
+        want.update(name.encode() + name.encode() * 3)
+    assert sinks.fingerprint(spark, str(tmp_path / "f")) == want.hexdigest()
+
+
+def test_exports_and_readiness(spark, tmp_path):
+    rows = spark.createDataFrame([(2, None), (1, "x")], "id int, t string")
+    assert sinks.export_json(rows, str(tmp_path / "e.json"), ["id"]) == 2
+    assert json.loads((tmp_path / "e.json").read_text(encoding="utf-8")) == [{"id": 1, "t": "x"}, {"id": 2, "t": None}]
+    with pytest.raises(ValueError):
+        sinks.export_json(rows, str(tmp_path / "e.json"), ["id"], 1)
+    assert documents.delete_item(rows, "id", 2).count() == 1
+    for value, known in [({"schemaVersion": "1.0.0", "sources": {"market": {}}}, True), ({"schemaVersion": "1.0.0", "sources": {"metro": {}}}, False), ({"schemaVersion": "2.0.0", "sources": {}}, False), ({"schemaVersion": "1.0.0"}, False), ([], False)]:
+        (tmp_path / "r.json").write_text(json.dumps(value), encoding="utf-8")
+        assert (catalog.load_readiness(str(tmp_path / "r.json")) is not None) == known
+    assert catalog.load_readiness(str(tmp_path / "none.json")) is None
+
+
+def test_states_as_shown(spark):
+    got = spark.range(1).select(presentation.status_text(F.lit(None).cast("string")).alias("a"), presentation.record_count_text(F.lit("stale"), F.lit(12345)).alias("b"), presentation.record_count_text(F.lit(None).cast("string"), F.lit(1)).alias("c")).first()
+    assert tuple(got) == ("尚未接入", "12,345", "資料不足")
+
+
 def test_streaming_equals_batch(spark, tmp_path):
     e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     e.write.parquet(str(tmp_path / "in"))
