@@ -61,25 +61,28 @@ def greedy_merge(rows: DataFrame, group: list[str], order: str, code: str, metre
     """Clusters of `rows` (lat, lon) of one group: in `order`, a row joins the first cluster whose first row is within
     `metres`, else begins one. Returns group, lat, lon of the first row, codes (sorted distinct) and n.
 
-    Groups are rows of one name or one address, of which there are few; a group is one task's work.
+    Rows at one coordinate end in one cluster, that of the first of them, so they are combined before the shuffle; a task
+    holds the distinct coordinates of one name or address, however many rows there are. Rows without a coordinate are
+    one cluster.
     """
     types = dict(rows.dtypes)
+    spots = rows.groupBy(*group, "lat", "lon").agg(F.min(order).alias("__first"), F.collect_set(code).alias("__codes"), F.count("*").alias("__n"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         clusters: list[list] = []
-        for r in pdf.sort_values(order, kind="stable").itertuples(index=False):
-            lat, lon, value = r.lat, r.lon, getattr(r, code)
+        for lat, lon, codes, n in pdf.sort_values("__first", kind="stable")[["lat", "lon", "__codes", "__n"]].itertuples(index=False, name=None):
             for c in clusters:
                 if math.hypot((lat - c[0]) * METRES_LAT, (lon - c[1]) * METRES_LON) <= metres:
-                    c[2].append(value)
+                    c[2].update(codes)
+                    c[3] += n
                     break
             else:
-                clusters.append([lat, lon, [value]])
+                clusters.append([lat, lon, set(codes), n])
         head = {g: [pdf[g].iloc[0]] * len(clusters) for g in group}
-        return pd.DataFrame(head | {"lat": [c[0] for c in clusters], "lon": [c[1] for c in clusters], "codes": [sorted(set(c[2])) for c in clusters], "n": [len(c[2]) for c in clusters]})
+        return pd.DataFrame(head | {"lat": [c[0] for c in clusters], "lon": [c[1] for c in clusters], "codes": [sorted(c[2]) for c in clusters], "n": [c[3] for c in clusters]})
 
     fields = ", ".join(f"`{g}` {types[g]}" for g in group) + f", lat double, lon double, codes array<{types[code]}>, n long"
-    return rows.groupBy(*group).applyInPandas(run, fields)
+    return spots.groupBy(*group).applyInPandas(run, fields)
 
 
 def duplicate_coordinate_rate(rows: DataFrame, places: int = 7) -> DataFrame:

@@ -120,12 +120,16 @@ def in_own_polygon(points: DataFrame, polygons: DataFrame, on: list[str], tolera
 def interior_point(polygons: DataFrame, key: list[str], steps: int = 39, least: float = 20.0) -> DataFrame:
     """Per polygon: the point of a `steps` by `steps` grid over its box, inside it and at least `least` metres from its
     edge, that is farthest from the edge; ties take the first by column, then row."""
-    at = F.explode(F.sequence(F.lit(1), F.lit(steps)))
-    grid = polygons.withColumn("xi", at).withColumn("yi", at)
-    grid = grid.withColumn("lon", F.col("west") + (F.col("east") - F.col("west")) * F.col("xi") / (steps + 1)).withColumn("lat", F.col("south") + (F.col("north") - F.col("south")) * F.col("yi") / (steps + 1))
-    lat, lon = F.col("lat"), F.col("lon")
-    own = grid.where(inside(lat, lon, F.col("edges"))).withColumn("edge_distance", F.array_min(F.transform("edges", lambda e: segment_distance(lat, lon, e["y1"], e["x1"], e["y2"], e["x2"]))))
-    best = own.where(F.col("edge_distance") >= least).groupBy(*key).agg(F.min(F.struct((-F.col("edge_distance")).alias("d"), "xi", "yi", "lon", "lat")).alias("m"))
+    steps_of = F.sequence(F.lit(1), F.lit(steps))
+    at = lambda low, high, k: F.col(low) + (F.col(high) - F.col(low)) * k / (steps + 1)
+    spot = lambda x, y: F.struct(x.alias("xi"), y.alias("yi"), at("west", "east", x).alias("lon"), at("south", "north", y).alias("lat"))
+    edge = lambda p: F.array_min(F.transform("edges", lambda e: segment_distance(p["lat"], p["lon"], e["y1"], e["x1"], e["y2"], e["x2"])))
+    # the grid stays in the polygon's row, which is not copied for each of its points
+    grid = F.flatten(F.transform(steps_of, lambda x: F.transform(steps_of, lambda y: spot(x, y))))
+    held = F.filter(grid, lambda p: inside(p["lat"], p["lon"], F.col("edges")))
+    far = F.transform(held, lambda p: F.struct((-edge(p)).alias("d"), p["xi"].alias("xi"), p["yi"].alias("yi"), p["lon"].alias("lon"), p["lat"].alias("lat")))
+    own = polygons.select(*key, F.array_min(F.filter(far, lambda m: m["d"] <= -least)).alias("m")).where("m IS NOT NULL")
+    best = own.groupBy(*key).agg(F.min("m").alias("m"))
     return best.select(*key, F.col("m.lon").alias("lon"), F.col("m.lat").alias("lat"), (-F.col("m.d")).alias("edge_distance"))
 
 

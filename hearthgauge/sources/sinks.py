@@ -7,6 +7,7 @@ import json
 import os
 import shutil
 import uuid
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -16,8 +17,12 @@ MOST_BYTES = 5_000_000
 
 
 def write_partitioned(rows: DataFrame, path: str, keys: list[str], order: list[str], records_per_file: int = 20_000) -> None:
-    """`rows` by `keys`, in `order` inside a file. Keys are salted by file size, so a large group isn't one task's."""
-    rows.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(8))).repartition(*keys, "__salt").drop("__salt").sortWithinPartitions(*keys, *order).write.mode("overwrite").option("maxRecordsPerFile", records_per_file).partitionBy(*keys).parquet(path)
+    """`rows` by `keys`, in `order` inside a file. A group is dealt to as many tasks as it needs files, by its counted
+    size, so a large one isn't one task's and a small one is one file."""
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / records_per_file).alias("__files")).withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, (rows[k].eqNullSafe(sizes[f"__{k}"]) for k in keys))
+    dealt = rows.join(sizes, same).withColumn("__salt", F.pmod(F.xxhash64(*order), "__files")).select(*rows.columns, "__salt")
+    dealt.repartition(*keys, "__salt").drop("__salt").sortWithinPartitions(*keys, *order).write.mode("overwrite").option("maxRecordsPerFile", records_per_file).partitionBy(*keys).parquet(path)
 
 
 def group_catalog(rows: DataFrame, dimension: DataFrame, keys: list[str]) -> DataFrame:
