@@ -71,3 +71,17 @@ def different_second(rows: DataFrame, group: list[str], category: str, order: st
     first = rows.groupBy(*group).agg(F.min_by(category, order).alias("__c"))
     marked = rows.join(first, group).withColumn("__same", F.col(category) == F.col("__c"))
     return marked.withColumn("__r", F.row_number().over(Window.partitionBy(*group, "__same").orderBy(order))).where("__r = 1").drop("__r", "__c", "__same")
+
+
+def first_by_kind(rows: DataFrame, kind: str, order: str, limits: dict[str, int | None]) -> DataFrame:
+    """The first rows, by `order`, of each kind named in `limits`, as many as it says (None: all of them); others go.
+
+    The largest limit is a constant, so a task keeps no more rows of a kind than that before the shuffle.
+    """
+    bounded = {k: n for k, n in limits.items() if n is not None}
+    whole = rows.where(F.col(kind).isin([k for k, n in limits.items() if n is None]))
+    if not bounded:
+        return whole
+    ranked = rows.where(F.col(kind).isin(list(bounded))).withColumn("__rn", F.row_number().over(Window.partitionBy(kind).orderBy(order))).where(F.col("__rn") <= max(bounded.values()))
+    own = F.coalesce(*(F.when(F.col(kind) == k, F.lit(n)) for k, n in bounded.items()))
+    return whole.unionByName(ranked.where(F.col("__rn") <= own).drop("__rn"))

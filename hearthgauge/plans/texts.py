@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import geo, names, scalars as S
-from ..operators import analysis as A, documents as M, presentation as T, quality as Q
+from ..operators import analysis as A, documents as M, presentation as T, quality as Q, sampling as W
 from ..streaming import events as E
 from . import roles as R
 from .queries import query
@@ -55,6 +55,17 @@ worked("address_variant_lists", [
 worked("first_filled_texts", [(" ", "-"), ("", "-"), (None, "-"), (" a b ", "a b"), ("　x", "x")], lambda t: names.first_filled(t, F.lit(" - ")))
 
 
+worked("nfkc_texts", [("１２３ＡＢ", "123AB"), ("㈱", "(株)"), ("ﬁ", "fi"), ("a　b", "a b"), ("臺北", "臺北"), ("", ""), (None, None)], names.nfkc)
+worked("address_keys", [
+    ("臺北市大安區和平東路一段10號五樓", "和平東路一段10號"),
+    ("大安區和平東路(雙)12-3號", "和平東路12之3號"),
+    ("台北市大安區信義路, 5號之2 三樓", "信義路5號之2"),
+    ("大安區大安區公園", "大安區公園"),
+    ("", ""),
+    (None, ""),
+], lambda t: names.normal_address(t, F.lit("臺北市"), F.lit("大安區")))
+
+
 # ---- shown values ------------------------------------------------------------------------------------------
 
 _METRES = "CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE CAST(c_custkey % 2500 AS DOUBLE) + 0.5 END"
@@ -245,3 +256,32 @@ SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 1 HOUR AS "end", count(*)::
 def event_sessions(spark: SparkSession, d: str) -> DataFrame:
     out = E.session_counts(R.table(spark, d, "events"), "ts", "1 hour", ["user_id"])
     return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+# ---- samples -----------------------------------------------------------------------------------------------
+
+
+@query("""WITH s AS (SELECT s_suppkey AS id, CASE WHEN s_nationkey % 2 = 0 THEN 'taipei' ELSE 'new-taipei' END AS city FROM supplier)
+SELECT id, city FROM s QUALIFY city = 'taipei' OR row_number() OVER (PARTITION BY city ORDER BY id) <= 5""")
+def rail_sample(spark: SparkSession, d: str) -> DataFrame:
+    rows = R.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_nationkey") % 2 == 0, "taipei").otherwise("new-taipei").alias("city"))
+    return W.first_by_kind(rows, "city", "id", {"taipei": None, "new-taipei": 5})
+
+
+_CASE = "CASE p_partkey % 7 WHEN 0 THEN 'red' WHEN 1 THEN 'yellow' WHEN 2 THEN 'unknown' ELSE 'low' END"
+
+
+@query(f"""WITH c AS (SELECT p_partkey AS id, p_brand AS category, {_CASE} AS kind FROM part), one AS (SELECT id, category FROM c WHERE kind = 'red' ORDER BY id LIMIT 1)
+SELECT id, category, kind FROM c WHERE id IN (SELECT id FROM one UNION ALL (SELECT c.id FROM c, one WHERE kind = 'red' AND c.category <> one.category ORDER BY c.id LIMIT 1) UNION ALL (SELECT id FROM c WHERE kind = 'yellow' ORDER BY id LIMIT 2) UNION ALL (SELECT id FROM c WHERE kind = 'unknown' ORDER BY id LIMIT 1))""")
+def flood_sample(spark: SparkSession, d: str) -> DataFrame:
+    rows = R.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("category"), F.expr(_CASE).alias("kind"))
+    reds = W.different_second(rows.where("kind = 'red'"), ["kind"], "category", "id").select(*rows.columns)
+    return reds.unionByName(W.first_by_kind(rows, "kind", "id", {"yellow": 2, "unknown": 1}))
+
+
+@query("""WITH c AS (SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' ELSE 'uncovered' END AS kind FROM part)
+SELECT id, kind FROM c QUALIFY row_number() OVER (PARTITION BY kind ORDER BY id) <= CASE kind WHEN 'uncovered' THEN 2 ELSE 1 END""")
+def liquefaction_sample(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    rows = R.table(spark, d, "part").select(k.alias("id"), F.when(k % 5 == 0, "high").when(k % 5 == 1, "medium").when(k % 5 == 2, "low").otherwise("uncovered").alias("kind"))
+    return W.first_by_kind(rows, "kind", "id", {"high": 1, "medium": 1, "low": 1, "uncovered": 2})
