@@ -331,13 +331,40 @@ def dup_coordinate_rate(spark: SparkSession, d: str) -> DataFrame:
     return D.duplicate_coordinate_rate(R.facilities(spark, d)).withColumn("rate", cut(F.col("rate"), 6))
 
 
-@query()
+#: The grid of each polygon's box, with each point's crossings of the edges and its distance from the nearest one.
+_INTERIOR = f"""WITH {R.EDGES}, box AS (SELECT pord, min(least(x1, x2)) AS west, max(greatest(x1, x2)) AS east, min(least(y1, y2)) AS south, max(greatest(y1, y2)) AS north FROM edges GROUP BY 1),
+spot AS (SELECT pord, xi, yi, west + (east - west) * xi / 40 AS lon, south + (north - south) * yi / 40 AS lat FROM box, range(1, 40) a(xi), range(1, 40) b(yi)),
+near AS (SELECT *, cos(radians(lat)) * 111000.0 AS kx FROM spot),
+side AS (SELECT near.*, (x1 - lon) * kx AS ax, (y1 - lat) * 111000.0 AS ay, (x2 - lon) * kx - (x1 - lon) * kx AS dx, (y2 - lat) * 111000.0 - (y1 - lat) * 111000.0 AS dy,
+  (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 AS crosses,
+  (x2 - x1) * (lat - y1) - (y2 - y1) * (lon - x1) = 0 AND lon BETWEEN least(x1, x2) AND greatest(x1, x2) AND lat BETWEEN least(y1, y2) AND greatest(y1, y2) AS touches FROM near JOIN edges USING (pord)),
+foot AS (SELECT *, greatest(0.0, least(1.0, -(ax * dx + ay * dy) / (dx * dx + dy * dy))) AS t FROM side),
+far AS (SELECT pord, xi, yi, lon, lat, min(sqrt(pow(ax + t * dx, 2) + pow(ay + t * dy, 2))) AS d FROM foot GROUP BY ALL HAVING count(*) FILTER (crosses) % 2 = 1 OR bool_or(touches))"""
+
+
+@query(f"""{_INTERIOR} SELECT pord AS ord, {cuts('lon', 6)} AS lon, {cuts('lat', 6)} AS lat, {cuts('d')} AS edge_distance FROM far WHERE d >= 20 QUALIFY row_number() OVER (PARTITION BY pord ORDER BY round(d, 6) DESC, xi, yi) = 1""")
 def interior_points(spark: SparkSession, d: str) -> DataFrame:
     out = G.interior_point(shapes(spark), ["ord", "district", "level"])
     return out.select("ord", cut(F.col("lon"), 6).alias("lon"), cut(F.col("lat"), 6).alias("lat"), cut(F.col("edge_distance")).alias("edge_distance"))
 
 
-@query()
+def _series(terms: dict[int, str], outer: str, f: str, inner: str = "1", g: str = "") -> str:
+    """The sum of `c * f(2j * outer) * g(2j * inner)` over the terms j: c."""
+    return " + ".join(f"({c}) * {f}({2 * j} * {outer})" + (f" * {g}({2 * j} * {inner})" if g else "") for j, c in terms.items())
+
+
+#: The inverse transverse Mercator projection as SQL over x and y of `p`; n is the third flattening of the ellipsoid.
+_BETA = {1: "n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360", 2: "n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440", 3: "17 * n**3 / 480 - 37 * n**4 / 840", 4: "4397 * n**4 / 161280"}
+_DELTA = {1: "2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45", 2: "7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45", 3: "56 * n**3 / 15 - 136 * n**4 / 35", 4: "4279 * n**4 / 630"}
+_PROJECTED = f"""WITH p AS (SELECT s_suppkey, 300000::DOUBLE + s_suppkey * 37 % 9000 AS x, 2770000::DOUBLE + s_suppkey * 53 % 9000 AS y, 1::DOUBLE / (2 * 298.257222101::DOUBLE - 1) AS n FROM supplier),
+r AS (SELECT *, 0.9999::DOUBLE * 6378137 / (1 + n) * (1 + n**2 / 4 + n**4 / 64) AS radius FROM p),
+a AS (SELECT *, y / radius AS xi, (x - 250000) / radius AS eta FROM r),
+b AS (SELECT *, xi - ({_series(_BETA, 'xi', 'sin', 'eta', 'cosh')}) AS xi1, eta - ({_series(_BETA, 'xi', 'cos', 'eta', 'sinh')}) AS eta1 FROM a),
+c AS (SELECT *, asin(sin(xi1) / cosh(eta1)) AS chi FROM b),
+w AS (SELECT s_suppkey, {cuts('(degrees(atan2(sinh(eta1), cos(xi1))) + 121)', 7)} AS lon, {cuts(f"degrees(chi + {_series(_DELTA, 'chi', 'sin')})", 7)} AS lat FROM c)"""
+
+
+@query(f"""{_PROJECTED} SELECT s_suppkey, lon, lat, coalesce(lat BETWEEN 24.65::DOUBLE AND 25.32::DOUBLE AND lon BETWEEN 121.28::DOUBLE AND 122.02::DOUBLE, false) AS inside FROM w""")
 def projected_points(spark: SparkSession, d: str) -> DataFrame:
     x, y = F.lit(300000.0) + F.col("s_suppkey") * 37 % 9000, F.lit(2770000.0) + F.col("s_suppkey") * 53 % 9000
     lon, lat = geo.twd97_to_wgs84(x, y)
@@ -363,20 +390,40 @@ def library_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return D.merged_or_conflicting(R.facilities(spark, d), ["brand"], "ord", 2500.0).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
-@query()
+#: Rows of a group in turn, with the ids and coordinates claimed by the rows accepted so far.
+_CLAIMED = f"""WITH RECURSIVE {R.FACILITIES}, r AS (SELECT district, ord % 900 AS ident, round(lat, 7)::VARCHAR || ' ' || round(lon, 7)::VARCHAR AS spot, row_number() OVER (PARTITION BY district ORDER BY ord) AS k FROM facilities),
+g(district, k, ids, spots, outcome) AS (SELECT DISTINCT district, 0::BIGINT, []::BIGINT[], []::VARCHAR[], NULL::VARCHAR FROM r UNION ALL
+  SELECT district, k, CASE WHEN outcome = 'accepted' THEN list_append(ids, ident) ELSE ids END, CASE WHEN outcome = 'accepted' THEN list_append(spots, spot) ELSE spots END, outcome FROM (
+    SELECT r.*, g.ids, g.spots, CASE WHEN list_contains(g.ids, r.ident) THEN 'duplicateId' WHEN list_contains(g.spots, r.spot) THEN 'duplicateCoordinate' ELSE 'accepted' END AS outcome FROM g JOIN r ON r.district = g.district AND r.k = g.k + 1))"""
+
+
+@query(f"{_CLAIMED} SELECT district, outcome, count(*)::BIGINT AS n FROM g WHERE k > 0 GROUP BY ALL")
 def facility_greedy_dedupe(spark: SparkSession, d: str) -> DataFrame:
     rows = R.facilities(spark, d).select("district", (F.col("ord") % 900).alias("ident"), "ord", "lat", "lon")
     return D.greedy_unique(rows, ["district"], "ident", "ord").groupBy("district", "outcome").agg(F.count("*").alias("n"))
 
 
-@query()
+def _merged_sql(keys: str, where: str, metres: float) -> str:
+    """`c`: clusters (keys, lat, lon, n, codes as a list). Rows in turn begin a cluster unless one begun before is near;
+    each row is of the first cluster near it."""
+    same = " AND ".join(f"r.{k} = g.{k}" for k in keys.split(", "))
+    near = f"sqrt(pow((r.lat - h.lat) * 111000.0, 2) + pow((r.lon - h.lon) * 101000.0, 2)) <= {metres}"
+    return f"""WITH RECURSIVE {R.FACILITIES}, r AS (SELECT {keys}, ord, lat, lon, row_number() OVER (PARTITION BY {keys} ORDER BY ord) AS k FROM facilities WHERE {where}),
+g({keys}, k, heads) AS (SELECT {keys}, k, [{{'lat': lat, 'lon': lon}}] FROM r WHERE k = 1 UNION ALL
+  SELECT {', '.join(f'r.{k}' for k in keys.split(', '))}, r.k, CASE WHEN len(list_filter(g.heads, lambda h: {near})) > 0 THEN g.heads ELSE list_append(g.heads, {{'lat': r.lat, 'lon': r.lon}}) END FROM g JOIN r ON {same} AND r.k = g.k + 1),
+e AS (SELECT {keys}, arg_max(heads, k) AS heads FROM g GROUP BY ALL),
+o AS (SELECT {', '.join(f'r.{k}' for k in keys.split(', '))}, r.ord, list_filter(g.heads, lambda h: {near})[1] AS h FROM r JOIN e g ON {same}),
+c AS (SELECT {keys}, h.lat AS lat, h.lon AS lon, count(*)::BIGINT AS n, list_sort(list(ord::VARCHAR)) AS codes FROM o GROUP BY {keys}, h)"""
+
+
+@query(f"{_merged_sql('brand', 'true', 1500.0)} SELECT brand, n, {cuts('lat', 4)} AS lat, {cuts('lon', 4)} AS lon, array_to_string(codes, ',') AS codes FROM c")
 def rail_merge(spark: SparkSession, d: str) -> DataFrame:
     rows = R.facilities(spark, d).select("brand", F.col("ord").cast("string").alias("code"), "ord", "lat", "lon")
     out = D.greedy_merge(rows, ["brand"], "ord", "code", 1500.0)
     return out.select("brand", "n", cut(F.col("lat"), 4).alias("lat"), cut(F.col("lon"), 4).alias("lon"), F.array_join("codes", ",").alias("codes"))
 
 
-@query()
+@query(f"{_merged_sql('district, brand', "category = 'school'", 3000.0)} SELECT district, brand, n, array_to_string(codes, '+') AS codes, substring(sha256(district || '|' || trim(brand) || '|' || array_to_string(codes, '+')), 1, 24) AS id FROM c")
 def campus_merge(spark: SparkSession, d: str) -> DataFrame:
     rows = R.facilities(spark, d).where("category = 'school'").select("district", "brand", F.col("ord").cast("string").alias("code"), "ord", "lat", "lon")
     out = D.greedy_merge(rows, ["district", "brand"], "ord", "code", 3000.0)
@@ -440,7 +487,7 @@ def normalize_text(spark: SparkSession, d: str) -> DataFrame:
     return R.table(spark, d, "documents").select("doc_id", F.length(t).alias("n"), F.sha2(t, 256).alias("digest"))
 
 
-@query()
+@query("SELECT p_partkey, '信義路' || p_size || '號之3' AS address FROM part")
 def normalize_text_nfkc(spark: SparkSession, d: str) -> DataFrame:
     own = R.table(spark, d, "part").select("p_partkey", names.nfkc(F.concat(F.lit("臺北市大安區（信義路"), F.col("p_size").cast("string"), F.lit("號－３）內"))).alias("a"))
     return own.select("p_partkey", names.normal_address(F.col("a"), F.lit("臺北市"), F.lit("大安區")).alias("address"))
