@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat_format, decontaminate, html_text, language_id, license_scan, near_duplicates, personal_data, quality_rules, repeated_passages
+from . import bpe, chat_format, conversation_repair, decontaminate, html_text, language_id, license_scan, near_duplicates, packing, personal_data, quality_rules, repeated_passages, spelling_variants
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -71,13 +71,28 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = conversation_repair.repair_conversations(conversation_repair.damage(_table(spark, sf_dir, "conversations")))
+    said = F.array_join(F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    return out.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2(said, 256).alias("repaired_sha256"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack_documents(_table(spark, sf_dir, "documents"), TOKENIZER, hold=True)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_repeated_passages, op3_bpe, op4_language_id, op5_main_text, op6_chat_format, op7_decontaminate, op8_personal_data, op9_license_scan, op10_quality_rules, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_repeated_passages, op3_bpe, op4_language_id, op5_main_text, op6_chat_format, op7_decontaminate, op8_personal_data, op9_license_scan, op10_quality_rules, op11_spelling_variants, op12_conversation_repair, op13_packing, pipeline)}
 
 _WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
@@ -165,4 +180,77 @@ SELECT documents.doc_id, coalesce(licenses, '') AS licenses, coalesce(n, 0)::BIG
 """
 
 
-ORACLE_SQL = {"op1_near_duplicates": OP1_SQL, "op2_repeated_passages": OP2_SQL, "op6_chat_format": OP6_SQL, "op9_license_scan": op9_sql(), "op10_quality_rules": OP10_SQL}
+def _crc_table() -> list[int]:
+    table = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    return table
+
+
+#: crc32 of a text (ASCII, and letters up to U+07FF), byte by byte.
+_CRC = f"crc AS (SELECT {_crc_table()}::BIGINT[] AS t),"
+
+
+def _crc32(text: str) -> str:
+    code = f"list_transform(string_split({text}, ''), lambda x: ord(x))"
+    raw = f"flatten(list_transform({code}, lambda x: CASE WHEN x < 128 THEN [x] ELSE [192 + x // 64, 128 + x % 64] END))"
+    return f"xor(list_reduce({raw}, lambda c, b: xor(c >> 8, t[(xor(c, b::BIGINT) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+OP11_SQL = rf"""
+WITH RECURSIVE {_CRC}
+runs AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]{{7,}}')) AS run FROM documents),
+low AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM runs GROUP BY ALL),
+hashed AS (SELECT run, n, {_crc32("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM low, crc),
+dealt AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM hashed),
+words AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM dealt WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+gone AS MATERIALIZED (SELECT word, n, unnest(range(1, length(word) + 1)) AS at, unnest(list_transform(range(1, length(word) + 1), lambda i: substr(word, 1, i - 1) || substr(word, i + 1))) AS rest FROM words),
+near AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM gone a JOIN gone b ON a.rest = b.rest AND a.at = b.at AND a.word <> b.word
+  UNION SELECT g.word, w.word, w.n FROM gone g JOIN words w ON g.rest = w.word
+  UNION SELECT w.word, g.word, g.n FROM gone g JOIN words w ON g.rest = w.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM near GROUP BY word),
+formed AS MATERIALIZED (SELECT words.word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN near_n >= 10 * n THEN near END AS form, CASE WHEN near_n >= 10 * n THEN near_n END::BIGINT AS form_n FROM words LEFT JOIN best USING (word)),
+way(word, root) AS (SELECT word, word FROM formed UNION ALL SELECT way.word, formed.form FROM way JOIN formed ON formed.word = way.root WHERE formed.form IS NOT NULL),
+ends AS (SELECT way.word, way.root FROM way JOIN formed ON formed.word = way.root WHERE formed.form IS NULL)
+SELECT word, n, n_near, form, form_n, root FROM formed JOIN ends USING (word)
+"""
+
+#: States: 0 at the start, 1 after s, 2 after u, 3 after a. Forward over the rows, with the least (cost, audit) a state.
+OP12_SQL = rf"""
+WITH RECURSIVE {_CRC}
+src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS h FROM conversations, crc),
+dam AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM src, range(CASE WHEN h = 3 THEN 2 ELSE 1 END) WHERE h <> 0),
+pos AS (SELECT *, row_number() OVER w AS i, left(role, 1) AS c, trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said, lead(left(role, 1)) OVER w AS c2
+  FROM dam WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+flt AS MATERIALIZED (SELECT *, CASE WHEN said = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS f FROM pos),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 'b') AS blank, count(*) FILTER (f = 'd') AS duplicate,
+  count(*) FILTER (f = 't') AS truncated, count(*) FILTER (c2 IS NOT NULL AND c || c2 NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM flt GROUP BY conv_id),
+said(q, q2, role) AS (VALUES (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')),
+step(q, c, q2) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)),
+ins(q, q2, edits, roles) AS (SELECT q, q, '', [] FROM said UNION ALL SELECT q, q2, 'I', [role || ':'] FROM said UNION ALL SELECT a.q, b.q2, 'II', [a.role || ':', b.role || ':'] FROM said a JOIN said b ON a.q2 = b.q),
+best(conv_id, i, q, least) AS (
+  SELECT conv_id, 0, ins.q2, {{'cost': 5 * length(edits), 'audit': edits, 'out': roles}} FROM counts, ins WHERE ins.q = 0
+  UNION ALL
+  SELECT conv_id, i + 1, q, min(least) FROM (
+    SELECT m.conv_id, m.i, ins.q2 AS q, {{'cost': m.least.cost + m.more + 5 * length(edits), 'audit': m.least.audit || m.e || edits, 'out': list_concat(list_concat(m.least.out, m.o), roles)}} AS least
+    FROM (
+      SELECT b.conv_id, b.i, b.q, 2 AS more, 'D' AS e, []::VARCHAR[] AS o, b.least FROM best b JOIN flt ON flt.conv_id IS NOT DISTINCT FROM b.conv_id AND flt.i = b.i + 1
+      UNION ALL
+      SELECT b.conv_id, b.i, s.q2, CASE WHEN f = 't' THEN 5 ELSE 0 END, 'K', [flt.role || ':' || text], b.least FROM best b JOIN flt ON flt.conv_id IS NOT DISTINCT FROM b.conv_id AND flt.i = b.i + 1 JOIN step s ON s.q = b.q AND s.c = flt.c WHERE f NOT IN ('b', 'd')
+      UNION ALL
+      SELECT b.conv_id, b.i, s.q2, CASE WHEN f = 't' THEN 6 ELSE 1 END, 'R', [s.role || ':' || text], b.least FROM best b JOIN flt ON flt.conv_id IS NOT DISTINCT FROM b.conv_id AND flt.i = b.i + 1 JOIN said s ON s.q = b.q WHERE f NOT IN ('b', 'd')
+    ) m JOIN ins ON ins.q = m.q) GROUP BY conv_id, i, q),
+done AS (SELECT counts.conv_id, min(least) AS least FROM counts JOIN best ON best.conv_id IS NOT DISTINCT FROM counts.conv_id AND best.i = counts.n WHERE q IN (0, 3) GROUP BY ALL),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(least.cost, 0)::BIGINT AS cost, coalesce(least.audit, '') AS audit, sha256(coalesce(array_to_string(least.out, chr(10)), '')) AS repaired_sha256
+FROM ids LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM ids.conv_id
+"""
+
+
+ORACLE_SQL = {"op1_near_duplicates": OP1_SQL, "op2_repeated_passages": OP2_SQL, "op6_chat_format": OP6_SQL, "op9_license_scan": op9_sql(), "op10_quality_rules": OP10_SQL, "op11_spelling_variants": OP11_SQL, "op12_conversation_repair": OP12_SQL}
