@@ -638,4 +638,4 @@ def full_analysis(spark: SparkSession, d: str) -> DataFrame:
     return out.select("property_id", F.col("price.sample_count").alias("sample_count"), F.size("price.trend").alias("n_years"), "flood", "completeness", "data_quality", F.size("checklist").alias("n_checks"), F.to_json("accidents").alias("accidents"))
 
 
-from . import records, texts  # noqa: E402, F401  (register the queries over raw records and texts)
+from . import overlays, records, texts  # noqa: E402, F401  (register the queries over polygons, raw records and texts)
