@@ -49,6 +49,16 @@ def twd97_to_wgs84(x: Column, y: Column) -> tuple[Column, Column]:
     return half_up(F.degrees(lon) + lon0, 7), half_up(F.degrees(lat), 7)
 
 
+def wgs84_rings(rings: Column) -> Column:
+    """Rings of TWD97 TM2 zone 121 (lon as x, lat as y) in longitude and latitude."""
+
+    def at(p: Column) -> Column:
+        lon, lat = twd97_to_wgs84(p["lon"], p["lat"])
+        return F.struct(lon.alias("lon"), lat.alias("lat"))
+
+    return F.transform(rings, lambda ring: F.transform(ring, at))
+
+
 def ring_bounds(rings: Column) -> tuple[Column, Column, Column, Column]:
     """(min lon, min lat, max lon, max lat) of array<ring>, a ring being array<struct<lon, lat>>."""
     points = F.flatten(rings)

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import csv
-import io
 import json
-import re
-import zipfile
 from collections.abc import Iterator
-from fnmatch import fnmatch
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..functions.geo import wgs84_rings
+from ..operators.overlay import make_valid
+from . import archives
+
 # The subtitle row of sale files; the column a repeated accident header begins with
 SUBTITLE = "The villages and towns urban district"
 ACCIDENT_HEADER = "發生年度"
@@ -93,58 +92,39 @@ def polygons(geometry: dict) -> Iterator[tuple[list | None, float | None, float
                 yield from polygons(g)
 
 
-def zip_members(content: bytes, pattern: str) -> list[str]:
-    if content[:2] != b"PK":
-        raise ValueError("no ZIP archive")
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        return [n for n in z.namelist() if fnmatch(n, pattern)]
-
-
-def sections(text: str, header: str | None) -> Iterator[dict[str, str]]:
-    """Rows of a CSV text; with `header`, a header may begin anywhere in a line, after its last occurrence, again and again."""
-    names: list[str] | None = None
-    for fields in csv.reader(io.StringIO(text)):
-        line = ",".join(fields)
-        if header is not None and header in line:
-            names = [x.strip() for x in next(csv.reader([line[line.rindex(header) :]]))]
-            continue
-        if not "".join(fields).strip():
-            continue
-        if names is None:
-            if header is None:
-                names = [x.lstrip("﻿").strip() for x in fields]
-            continue
-        yield dict(zip(names, [*fields, *[""] * len(names)], strict=False))
+def _paths(spark: SparkSession, path: str) -> str:
+    """Names of the files of a path or pattern, as JSON; only names come to the driver."""
+    return json.dumps([r.path for r in spark.read.format("binaryFile").load(path).select("path").orderBy("path").collect()])
 
 
-def read_zip_csv(spark: SparkSession, path: str, members: str, columns: list[str], header: str | None = None) -> DataFrame:
+def read_zip_csv(spark: SparkSession, path: str, members: str, columns: list[str], header: str | None = None, encoding: str = "utf-8-sig") -> DataFrame:
     """Rows of the CSV members of ZIP archives: archive, member, header_count, ord, columns (text; missing ones empty).
 
-    One task reads whole archives, since headers repeat inside a member; an archive that isn't a ZIP raises.
+    Each member is a task, which inflates it as a stream and holds some thousand rows, as headers repeat inside a member.
+    What isn't a ZIP raises, and so does a quote that isn't closed and a member that is cut short. Archives are opened by
+    the executors at the paths that Spark lists, on any store that pyarrow knows.
     """
+    spark.dataSource.register(archives.ZipCsv)
+    source = spark.read.format("zip_csv_members").option("paths", _paths(spark, path)).option("columns", json.dumps(columns))
+    return source.option("members", members).option("header", header or "").option("skip", SUBTITLE).option("encoding", encoding).load()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                raw = bytes(content)
-                for name in zip_members(raw, members):
-                    with zipfile.ZipFile(io.BytesIO(raw)) as z:
-                        text = z.read(name).decode("utf-8-sig")
-                    n = len(re.findall(re.escape(header), text)) if header else 1
-                    rows = [(path, name, n, k, *(r.get(c, "") for c in columns)) for k, r in enumerate(sections(text, header)) if next(iter(r.values()), "").lower() != SUBTITLE.lower()]
-                    yield pd.DataFrame(rows, columns=["archive", "member", "header_count", "ord", *columns])
-
-    fields = "archive string, member string, header_count long, ord long, " + ", ".join(f"`{c}` string" for c in columns)
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, fields)
+
+def read_shapefile(spark: SparkSession, path: str, columns: list[str], encoding: str = "utf-8", records: int = 20_000) -> DataFrame:
+    """Features of shapefiles, plain (.shp beside .shx and .dbf) or in ZIP archives of one each: file, ord (per file),
+    columns (text), and rings of polygons or lon and lat of points, in the file's own coordinates.
+
+    A task reads `records` records by the index. Broken or cut files, wrong indexes and missing columns raise; deleted
+    rows are left out; null shapes have null rings, lon and lat.
+    """
+    spark.dataSource.register(archives.Shapefile)
+    return spark.read.format("shapefile").option("paths", _paths(spark, path)).option("columns", json.dumps(columns)).option("encoding", encoding).option("records", records).load()
 
 
-def shapefile_entry(names: list[str]) -> str:
-    """The one .shp of an archive; it must have its .dbf, .prj and .shx beside it."""
-    found = [n for n in names if n.lower().endswith(".shp")]
-    lower = {n.lower() for n in names}
-    if len(found) != 1 or any(found[0].lower()[:-4] + e not in lower for e in (".dbf", ".prj", ".shx")):
-        raise ValueError("an archive must hold one complete shapefile")
-    return found[0]
+def read_hazards(spark: SparkSession, path: str, columns: list[str], where: Column, encoding: str = "utf-8") -> DataFrame:
+    """Polygons of shapefiles in TWD97 TM2 as valid ones in WGS84: file, ord, columns, area, rings. `where` is on the columns."""
+    found = read_shapefile(spark, path, columns, encoding).where(where & F.col("rings").isNotNull())
+    keys = ["file", "ord", *columns]
+    return make_valid(found.select(*keys, wgs84_rings(F.col("rings")).alias("rings")), keys)
 
 
 def paged(spark: SparkSession, folder: str, columns: list[str], page_rows: int = 100_000, most_pages: int = 31) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import io
 import json
 import zipfile
 
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hearthgauge.operators import documents, presentation
-from hearthgauge.sources import catalog, readers, sinks
+from hearthgauge.sources import archives, catalog, readers, sinks
 from hearthgauge.streaming import events
 
 
@@ -25,10 +26,10 @@ def test_zip_with_repeated_headers(spark, tmp_path):
     out = readers.read_zip_csv(spark, str(tmp_path / "x.zip"), "A*.csv", ["發生年度", "經度", "緯度"], header=readers.ACCIDENT_HEADER).collect()
     assert [(r["發生年度"], r["經度"], r["緯度"], r.header_count) for r in out] == [("2024", "121.5", "", 2), ("2024", "", "25.0", 2)]
     with pytest.raises(ValueError):
-        readers.zip_members(b"<html>", "*")
-    assert readers.shapefile_entry(["a/x.shp", "a/x.dbf", "a/x.prj", "a/x.shx"]) == "a/x.shp"
+        archives.zip_members(io.BytesIO(b"<html>"), "*")
+    assert archives.shapefile_entry(["a/x.shp", "a/x.dbf", "a/x.prj", "a/x.shx"]) == "a/x.shp"
     with pytest.raises(ValueError):
-        readers.shapefile_entry(["x.shp"])
+        archives.shapefile_entry(["x.shp"])
 
 
 def test_geojson_and_json(spark, tmp_path):
