@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.geo import METRES_LAT, METRES_LON, planar
@@ -61,28 +60,38 @@ def greedy_merge(rows: DataFrame, group: list[str], order: str, code: str, metre
     """Clusters of `rows` (lat, lon) of one group: in `order`, a row joins the first cluster whose first row is within
     `metres`, else begins one. Returns group, lat, lon of the first row, codes (sorted distinct) and n.
 
-    Rows at one coordinate end in one cluster, that of the first of them, so they are combined before the shuffle; a task
-    holds the distinct coordinates of one name or address, however many rows there are. Rows without a coordinate are
-    one cluster.
+    Rows at one coordinate end in one cluster, that of the first of them, so they are combined first. Cells are so small
+    that all coordinates of one are within reach of each other, so a cell has one first row at most, and a coordinate
+    meets those of the 25 cells around it. First rows are found in rounds: the earliest undecided coordinate of a cell
+    begins a cluster if no earlier undecided one is within reach, and all within its reach are decided. So no task holds
+    a group's coordinates; rounds are as many as the longest chain of cells that decide each other, and each is written
+    to the shared folder. Rows without a coordinate are one cluster. Ties in `order` go by coordinate.
     """
-    types = dict(rows.dtypes)
-    spots = rows.groupBy(*group, "lat", "lon").agg(F.min(order).alias("__first"), F.collect_set(code).alias("__codes"), F.count("*").alias("__n"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        clusters: list[list] = []
-        for lat, lon, codes, n in pdf.sort_values("__first", kind="stable")[["lat", "lon", "__codes", "__n"]].itertuples(index=False, name=None):
-            for c in clusters:
-                if math.hypot((lat - c[0]) * METRES_LAT, (lon - c[1]) * METRES_LON) <= metres:
-                    c[2].update(codes)
-                    c[3] += n
-                    break
-            else:
-                clusters.append([lat, lon, set(codes), n])
-        head = {g: [pdf[g].iloc[0]] * len(clusters) for g in group}
-        return pd.DataFrame(head | {"lat": [c[0] for c in clusters], "lon": [c[1] for c in clusters], "codes": [sorted(c[2]) for c in clusters], "n": [c[3] for c in clusters]})
-
-    fields = ", ".join(f"`{g}` {types[g]}" for g in group) + f", lat double, lon double, codes array<{types[code]}>, n long"
-    return spots.groupBy(*group).applyInPandas(run, fields)
+    scratch = Scratch(rows.sparkSession, "greedy-merge")
+    side = max(metres, 1e-3) / math.sqrt(2) * (1 - 1e-9)
+    cell = {"__i": F.floor(F.col("lat") * METRES_LAT / side), "__j": F.floor(F.col("lon") * METRES_LON / side)}
+    combined = rows.groupBy(*group, "lat", "lon").agg(F.min(order).alias("__first"), F.collect_set(code).alias("__codes"), F.count("*").alias("__n"))
+    spots = scratch.save(combined.select(F.struct(*group).alias("__g"), F.struct("__first", "lat", "lon").alias("__o"), "lat", "lon", *(v.alias(k) for k, v in cell.items()), "__codes", "__n"), "spots")
+    steps = F.array(*(F.lit(k) for k in range(-2, 3)))
+
+    def reached(first: DataFrame, found: DataFrame) -> DataFrame:
+        """`found` beside each of `first` (__g, __by: order and coordinate, cell) within reach of it."""
+        dealt = first.withColumn("__i", F.explode(F.transform(steps, lambda k: F.col("__i") + k))).withColumn("__j", F.explode(F.transform(steps, lambda k: F.col("__j") + k)))
+        return found.join(dealt, ["__g", "__i", "__j"]).where(planar(F.col("lat"), F.col("lon"), F.col("__by.lat"), F.col("__by.lon")) <= metres)
+
+    left, found, k = scratch.save(spots.where("lat IS NOT NULL AND lon IS NOT NULL").drop("__codes", "__n"), "left-0"), [], 0
+    while not left.isEmpty():
+        first = left.groupBy("__g", "__i", "__j").agg(F.min("__o").alias("__by"))
+        waits = reached(first, left).where(F.col("__o") < F.col("__by")).select("__g", "__by").distinct()
+        found.append(scratch.save(first.join(waits, ["__g", "__by"], "left_anti"), f"first-{k}"))
+        gone = reached(found[-1], left).select("__g", "__o").distinct()
+        k += 1
+        left = scratch.save(left.join(gone, ["__g", "__o"], "left_anti"), f"left-{k}")
+        scratch.drop(f"left-{k - 1}")
+    alone = spots.where("lat IS NULL OR lon IS NULL").select("__g", "__o", F.col("__o").alias("__by"))
+    joined = reduce(DataFrame.unionByName, found).transform(reached, spots).groupBy("__g", "__o").agg(F.min("__by").alias("__by")).unionByName(alone) if found else alone
+    clusters = spots.join(joined, ["__g", "__o"]).groupBy("__g", "__by").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("__codes")))).alias("codes"), F.sum("__n").alias("n"))
+    return clusters.select(*(F.col(f"__g.{c}").alias(c) for c in group), F.col("__by.lat").alias("lat"), F.col("__by.lon").alias("lon"), "codes", "n")
 
 
 def duplicate_coordinate_rate(rows: DataFrame, places: int = 7) -> DataFrame:
