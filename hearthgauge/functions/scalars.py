@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -19,6 +20,14 @@ LEVEL_RANK = {"priority": 0, "attention": 1, "unknown": 2, "low": 3}
 WHITE = "[\\x09-\\x0D\\x20\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]"
 
 
+WHITE_LETTERS = "\t\n\v\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with `value` computed once, however often `use` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def half_up(value: Column, places: int) -> Column:
     """Rounded to `places`, halves towards positive infinity."""
     k = 10**places
@@ -26,22 +35,23 @@ def half_up(value: Column, places: int) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{WHITE}+|{WHITE}+$", "")
+    return F.btrim(text, F.lit(WHITE_LETTERS))
 
 
 def roc_date(text: Column) -> Column:
     """Date of 6 or 7 digits whose year counts from 1911; null if there is no such day."""
-    digits = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), "[^0-9]", "")
-    year = F.left(digits, F.length(digits) - 4).try_cast("int") + 1911
-    day = F.try_to_date(F.concat(year.cast("string"), F.right(digits, F.lit(4))), "yyyyMMdd")
-    return F.when(F.length(digits).between(6, 7), day)
+
+    def day(digits: Column) -> Column:
+        year = F.left(digits, F.length(digits) - 4).try_cast("int") + 1911
+        return F.when(F.length(digits).between(6, 7), F.try_to_date(F.concat(year.cast("string"), F.right(digits, F.lit(4))), "yyyyMMdd"))
+
+    return let(F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), "[^0-9]", ""), day)
 
 
 def western_date(text: Column, year: Column) -> Column:
     """Date of 8 digits in the expected year, else null."""
-    digits = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), "[^0-9]", "")
-    day = F.when(F.length(digits) == 8, F.try_to_date(digits, "yyyyMMdd"))
-    return F.when(F.year(day) == year, day)
+    day = let(F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), "[^0-9]", ""), lambda digits: F.when(F.length(digits) == 8, F.try_to_date(digits, "yyyyMMdd")))
+    return let(day, lambda d: F.when(F.year(d) == year, d))
 
 
 def age_years(sold: Column, completed: Column) -> Column:
@@ -49,8 +59,8 @@ def age_years(sold: Column, completed: Column) -> Column:
 
 
 def sqm_to_ping(area: Column) -> Column:
-    usable = (area > 0) & ~F.isnan(area) & (area < F.lit(float("inf")))
-    return F.when(usable, half_up(area / SQM_PER_PING, 2)).otherwise(F.lit(0.0))
+    usable = lambda a: (a > 0) & ~F.isnan(a) & (a < F.lit(float("inf")))
+    return let(area, lambda a: F.when(usable(a), half_up(a / SQM_PER_PING, 2)).otherwise(F.lit(0.0)))
 
 
 def unit_price(total: Column, area: Column, parking_price: Column, parking_area: Column, empty: Column | None = None) -> Column:
@@ -113,9 +123,13 @@ def in_study_area(latitude: Column, longitude: Column) -> Column:
 
 def js_number(text: Column) -> Column:
     """Number of a text as ECMAScript reads it: blank is 0, hexadecimal is taken, anything else that is none is null."""
-    t = strip(text)
-    hexadecimal = F.conv(F.regexp_extract(t, "^0[xX]([0-9a-fA-F]+)$", 1), 16, 10).try_cast("double")
-    return F.when(t == "", F.lit(0.0)).when(t.rlike("^0[xX][0-9a-fA-F]+$"), hexadecimal).when(t.rlike("^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$"), t.try_cast("double"))
+
+    def value(t: Column) -> Column:
+        hexadecimal = F.conv(F.regexp_extract(t, "^0[xX]([0-9a-fA-F]+)$", 1), 16, 10).try_cast("double")
+        decimal = t.rlike("^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$")
+        return F.when(t == "", F.lit(0.0)).when(decimal, t.try_cast("double")).when(t.rlike("^0[xX][0-9a-fA-F]+$"), hexadecimal)
+
+    return let(strip(text), value)
 
 
 def _mapped(key: Column, values: dict[str, str]) -> Column:
