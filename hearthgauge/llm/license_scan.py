@@ -112,29 +112,38 @@ def anchors(grams: list[tuple[int, str, int, str, int]], least: float) -> list[s
     return out
 
 
-def notices_within(keyed: DataFrame, table: DataFrame, least: float) -> DataFrame:
+def notices_within(keyed: DataFrame, table: DataFrame, grams: list[tuple[int, str, int, str, int]], least: float) -> DataFrame:
     """(doc_id, text_key, license, dice) of notices inside longer paragraphs, the best of each licence.
 
     Windows of a template's size start at its bigrams. Of windows that overlap, the one with the largest coefficient
     stays, the first by name among equals. A window holds enough bigrams of its template only if that many of them,
-    counted with all repeats, lie close enough, so few windows are counted out.
+    counted with all repeats, lie close enough, so few windows are counted out. A piece is cut into stretches as long as
+    the longest template; a window is counted in the stretch it starts in, beside the next one's bigrams, and compared
+    with the windows of the stretches it may overlap. So the work grows with the words of a piece, and its stretches are
+    rows of their own.
     """
+    span = max(g[2] for g in grams)
     pieces = keyed.where("text IS NOT NULL").select("doc_id", "text_key", F.posexplode(F.split("text", "\n[\\x20\\x09-\\x0D]*\n")).alias("piece_at", "piece"))
     words = pieces.select("doc_id", "text_key", "piece_at", F.filter(F.split(F.lower("piece"), "[^0-9a-z]+"), lambda w: w != "").alias("words")).where(F.size("words") >= 2)
     pairs = let(F.col("words"), lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat(w[i], F.lit(" "), w[i + 1])))
     key = ["doc_id", "text_key", "piece_at"]
+    stretch = lambda at: F.floor(at / span).cast("int")
     hits = words.select(*key, F.posexplode(pairs).alias("at", "gram")).join(F.broadcast(table), "gram")
+    dealt = hits.withColumn("stretch", F.explode(F.array(stretch(F.col("at")) - 1, stretch(F.col("at")))))
+    own = [*key, "stretch", "template", "license", "t_size"]
     # a set, as rows of one doc_id and text may be repeated
-    rows = hits.groupBy(*key, "template", "license", "t_size").agg(F.array_sort(F.collect_set(F.struct("at", "gram", "t_times"))).alias("hits"))
+    rows = dealt.groupBy(*own).agg(F.array_sort(F.collect_set(F.struct("at", "gram", "t_times"))).alias("hits"))
     need = F.ceil(F.col("t_size") * least).cast("int")
-    many = F.filter(F.sequence(F.lit(0), F.size("hits") - need), lambda i: F.col("hits")[i + need - 1]["at"] < F.col("hits")[i]["at"] + F.col("t_size"))
-    starts = rows.where(F.size("hits") >= need).select("*", F.explode(many).alias("i")).withColumn("start", F.col("hits")[F.col("i")]["at"])
+    close = lambda i: (F.col("hits")[i + need - 1]["at"] < F.col("hits")[i]["at"] + F.col("t_size")) & (stretch(F.col("hits")[i]["at"]) == F.col("stretch"))
+    starts = rows.where(F.size("hits") >= need).select("*", F.explode(F.filter(F.sequence(F.lit(0), F.size("hits") - need), close)).alias("i")).withColumn("start", F.col("hits")[F.col("i")]["at"])
     inside = F.filter(F.slice("hits", F.col("i") + 1, F.col("t_size")), lambda h: h["at"] < F.col("start") + F.col("t_size"))
-    counted = starts.select(*key, "template", "license", "t_size", "start", F.explode(inside).alias("h")).groupBy(*key, "template", "license", "t_size", "start", "h.gram", "h.t_times").agg(F.count("*").alias("times"))
-    scored = counted.groupBy(*key, "template", "license", "t_size", "start").agg((F.sum(F.least("times", "t_times")) / F.col("t_size")).alias("dice")).where(F.col("dice") >= least)
-    windows = scored.groupBy(*key).agg(F.collect_list(F.struct((-F.col("dice")).alias("less"), "license", "start", (F.col("start") + F.col("t_size")).alias("end"))).alias("windows"))
+    counted = starts.select(*own, "start", F.explode(inside).alias("h")).groupBy(*own, "start", "h.gram", "h.t_times").agg(F.count("*").alias("times"))
+    scored = counted.groupBy(*own, "start").agg((F.sum(F.least("times", "t_times")) / F.col("t_size")).alias("dice")).where(F.col("dice") >= least)
+    window = F.struct((-F.col("dice")).alias("less"), "license", "start", (F.col("start") + F.col("t_size")).alias("end"))
+    reach = F.sequence(stretch(F.col("start") - span + 1), stretch(F.col("start") + F.col("t_size") - 1))
+    windows = scored.select(*key, F.explode(reach).alias("stretch"), window.alias("w")).groupBy(*key, "stretch").agg(F.collect_list("w").alias("windows"))
     better = lambda x, w: (x["start"] < w["end"]) & (w["start"] < x["end"]) & ((x["less"] < w["less"]) | ((x["less"] == w["less"]) & (x["license"] < w["license"])))
-    best = F.filter("windows", lambda w: ~F.exists("windows", lambda x: better(x, w)))
+    best = F.filter("windows", lambda w: (stretch(w["start"]) == F.col("stretch")) & ~F.exists("windows", lambda x: better(x, w)))
     return windows.select("doc_id", "text_key", F.explode(best).alias("w")).groupBy("doc_id", "text_key", F.col("w.license").alias("license")).agg(F.max(-F.col("w.less")).alias("dice"))
 
 
@@ -183,7 +192,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, least: float = DICE_LEAS
     scored = shared.withColumn("dice", 2.0 * F.col("both") / (F.col("size") + F.col("t_size"))).where(F.col("dice") >= least)
     # a unit has the licence of its best template, the first by name among equals
     found = scored.groupBy("doc_id", "text_key", "unit").agg(F.min(F.struct((-F.col("dice")).alias("less"), "license")).alias("best")).select("doc_id", "text_key", "unit", "best.license", (-F.col("best.less")).alias("dice"))
-    within = notices_within(keyed, table, least)
+    within = notices_within(keyed, table, grams, least)
     met = found.select("doc_id", "text_key", "license").distinct().withColumnsRenamed({"doc_id": "d", "text_key": "t", "license": "l"})
     more = within.join(met, within["doc_id"].eqNullSafe(met["d"]) & (within["text_key"] == met["t"]) & (within["license"] == met["l"]), "left_anti")
     found = found.unionByName(more.withColumn("unit", F.lit(None).cast("int")))
