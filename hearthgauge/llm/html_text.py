@@ -50,8 +50,9 @@ CONTAINERS = frozenset("div section aside header footer nav ul ol dl table tbody
 MARK = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
 #: What ends a tag, or begins a quoted value in it.
 STOP = re.compile(r">|=\s*[\"']")
-NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-OFF = re.compile(r"""(?:^|\s)hidden(?:[\s=]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+#: An attribute and its value; a quote that nothing closes is a letter.
+ATTRIBUTE = re.compile(r"""([^\s=/>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
+NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: The base of the logarithm falls to 1 where a page has no links, and the density would have no bound.
 BASE_LEAST = 2.0
@@ -60,6 +61,10 @@ LEAST_OF_PATH, DENSE = 0.25, 100 * math.log2(100)
 SPACE = re.compile(r"\s+")
 
 
+def only_noise(name: str) -> bool:
+    return bool(name) and not WORD.search(NOISE.sub("", name))
+
+
 class Page:
     """Nodes as parallel lists: tag, parent, and whether a node is left out for its name or kind."""
 
@@ -144,9 +149,13 @@ class Page:
         if not out and name == "header":
             out = not (self.open["article"] or self.open["main"])
         if not out and attributes and name not in ("body", "html", "main", "article"):
-            named = " ".join(x.strip("\"'") for x in NAMES.findall(attributes))
-            noise = NOISE.search(named) if name in CONTAINERS else named and not WORD.search(NOISE.sub("", named))
-            out = bool(noise or OFF.search(attributes))
+            held = {a.lower(): v.strip("\"'") for a, v in reversed(ATTRIBUTE.findall(attributes))}
+            named = " ".join(held.get(a, "") for a in ("class", "id", "role")).strip()
+            # in an article, and for what is no container, a name counts only if all of it is such words, and a label always so
+            one_is_enough = name in CONTAINERS and not (self.open["article"] or self.open["main"])
+            noise = NOISE.search(named) if one_is_enough else only_noise(named)
+            off = "hidden" in held or held.get("aria-hidden", "").lower() == "true" or NO_DISPLAY.search(held.get("style", ""))
+            out = bool(noise or only_noise(held.get("aria-label", "")) or off)
         self.tag.append(name)
         self.parent.append(stack[-1])
         self.out.append(out)
