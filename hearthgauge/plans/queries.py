@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import geo, names, scalars as S
 from ..operators import analysis as A, dedupe as D, documents as M, lookup as J, quality as Q, sampling as W, spatial as G
+from ..operators.quantiles import exact_quantiles
 from . import roles as R
 
 QUERIES: dict = {}
@@ -76,8 +77,8 @@ def unit_price(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT p_type AS building_type, quantile_cont(p_retailprice, 0.25) AS q1, quantile_cont(p_retailprice, 0.5) AS median, quantile_cont(p_retailprice, 0.75) AS q3 FROM part GROUP BY 1")
 def quartiles_by_type(spark: SparkSession, d: str) -> DataFrame:
-    q = F.percentile("p_retailprice", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return R.table(spark, d, "part").groupBy(F.col("p_type").alias("building_type")).agg(q.alias("q")).select("building_type", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    parts = R.table(spark, d, "part").select(F.col("p_type").alias("building_type"), "p_retailprice")
+    return exact_quantiles(parts, ["building_type"], "p_retailprice", [0.25, 0.5, 0.75]).select("building_type", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
 
 
 @query(f"WITH {R.SALES} SELECT district, special, count(*)::BIGINT AS n FROM sales GROUP BY ALL")
