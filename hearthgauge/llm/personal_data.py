@@ -13,7 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .columns import let, running_sums
+from .columns import cut_out, in_blocks, let, running_max, running_sums
 from ..sources.scratch import Scratch
 
 KINDS = ("email", "ip", "card", "phone")
@@ -190,15 +190,24 @@ def redact(docs: DataFrame) -> DataFrame:
     found = find_personal_data(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__t"), F.col("spans").alias("__spans")).dropDuplicates(["__d", "__t"])
 
     def cut(x: Column) -> Column:
-        def step(a: Column, s: Column) -> Column:
-            inside = s["start"] < a["end"]
-            more = F.concat(a["out"], F.substr(x["text"], a["end"] + 1, s["start"] - a["end"]), F.lit("<"), s["kind"], F.lit(">"))
-            return F.struct(F.greatest(a["end"], s["end"]).alias("end"), F.when(inside, a["out"]).otherwise(more).alias("out"))
+        """What is between the spans and the kinds in their place, each read once and joined at the end."""
+        between = cut_out(x["blocks"])
+        ends = running_max(F.transform(x["spans"], lambda s: s["end"]))
 
-        placed = F.array_sort(F.transform(x["spans"], lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-        return F.aggregate(placed, F.struct(F.lit(0).alias("end"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substr(x["text"], a["end"] + 1)))
+        def parts(before: Column) -> Column:
+            known = F.transform(x["spans"], lambda s, i: F.struct(F.get(before, i).alias("from"), s["start"].alias("start"), s["kind"].alias("kind")))
+            apart = F.filter(known, lambda s: s["start"] >= s["from"])
+            pieces = F.transform(apart, lambda s: F.concat(between(s["from"], s["start"]), F.lit("<"), s["kind"], F.lit(">")))
+            end = F.array_max(F.transform(x["spans"], lambda s: s["end"])).cast("long")
+            return F.concat(F.array_join(pieces, ""), between(end, x["size"]))
+
+        return let(ends, parts)
+
+    def redacted(text: Column, spans: Column) -> Column:
+        placed = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+        return let(F.struct(in_blocks(text).alias("blocks"), placed.alias("spans"), F.length(text).cast("long").alias("size")), cut)
 
     joined = docs.join(found, docs["doc_id"].eqNullSafe(found["__d"]) & (F.xxhash64(docs["text"]) == found["__t"]), "left")
-    text = F.when(found["__spans"].isNull(), docs["text"]).otherwise(let(F.struct(docs["text"].alias("text"), found["__spans"].alias("spans")), cut))
+    text = F.when(found["__spans"].isNull(), docs["text"]).otherwise(redacted(docs["text"], found["__spans"]))
     changed = {"text": text} | ({"n_chars": F.when(found["__spans"].isNull(), docs["n_chars"]).otherwise(F.length(text))} if "n_chars" in docs.columns else {})
     return joined.select(*(changed[c].cast(t).alias(c) if c in changed else docs[c] for c, t in docs.dtypes))
