@@ -622,13 +622,6 @@ def retention_window(spark: SparkSession, d: str) -> DataFrame:
     return R.table(spark, d, "orders").groupBy("o_orderpriority").agg(F.count_if(kept).alias("kept"), F.count("*").alias("n"))
 
 
-@query("SELECT name, sum(greatest(coalesce(try_cast(a AS DOUBLE), 0), 0) + greatest(coalesce(try_cast(b AS DOUBLE), 0), 0))::DOUBLE AS stalls, count(*)::BIGINT AS n FROM (SELECT p_brand AS name, p_size::VARCHAR AS a, CASE WHEN p_size % 3 = 0 THEN 'x' ELSE (-p_size)::VARCHAR END AS b FROM part) GROUP BY 1")
-def stall_classification(spark: SparkSession, d: str) -> DataFrame:
-    count = lambda c: F.greatest(F.coalesce(S.js_number(F.replace(c, F.lit(","), F.lit(""))), F.lit(0.0)), F.lit(0.0))
-    p = R.table(spark, d, "part").select(F.col("p_brand").alias("name"), F.col("p_size").cast("string").alias("a"), F.when(F.col("p_size") % 3 == 0, "x").otherwise((-F.col("p_size")).cast("string")).alias("b"))
-    return p.groupBy("name").agg(F.sum(count(F.col("a")) + count(F.col("b"))).alias("stalls"), F.count("*").alias("n"))
-
-
 @query()
 def full_analysis(spark: SparkSession, d: str) -> DataFrame:
     p = R.properties(spark, d)
@@ -639,4 +632,4 @@ def full_analysis(spark: SparkSession, d: str) -> DataFrame:
     return out.select("property_id", F.col("price.sample_count").alias("sample_count"), F.size("price.trend").alias("n_years"), "flood", "completeness", "data_quality", F.size("checklist").alias("n_checks"), F.to_json("accidents").alias("accidents"))
 
 
-from . import overlays, records, texts  # noqa: E402, F401  (register the queries over polygons, raw records and texts)
+from . import overlays, records, texts, upkeep  # noqa: E402, F401  (register the queries over polygons, raw records, texts, gates and audits)
