@@ -1,7 +1,6 @@
 """Registered queries over texts and shown results.
 
-Where a rule is one of patterns, the rows of a table are dealt texts by their key, and the SQL holds what each text
-gives as worked out by hand.
+Texts are put together from the columns of a row, and the SQL computes a rule's value from the text alone.
 """
 
 from __future__ import annotations
@@ -22,48 +21,132 @@ def literal(text: str | None) -> str:
     return "NULL" if text is None else "'" + text.replace("'", "''") + "'"
 
 
-def worked(name: str, cases: list[tuple[str | None, object]], rule: Callable[[Column], Column], table: str = "customer", key: str = "c_custkey") -> None:
-    """Registers `rule` over texts dealt to the rows of a table; cases are texts and their values."""
-    given = _pick(key, *(literal(t) for t, _ in cases))
-    wanted = _pick(key, *(str(v) if isinstance(v, int) else literal(v) for _, v in cases))
+def some(key: str, *texts: str | None) -> str:
+    """One of the texts for each row; further calls mix the key by other numbers, so that texts meet in all ways."""
+    return _pick(key, *map(literal, texts))
+
+
+def computed(name: str, table: str, key: str, text: str, rule: Callable[[Column], Column], sql: str, before: str = "") -> None:
+    """Registers `rule` over `text`, an expression of a table's row; `sql` computes its value from the text alone."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return R.table(spark, d, table).select(F.col(key).alias("id"), F.expr(given).alias("text")).select("id", rule(F.col("text")).alias("value"))
+        return R.table(spark, d, table).select(F.col(key).alias("id"), F.expr(text).alias("text")).select("id", rule(F.col("text")).alias("value"))
 
     run.__name__ = name
-    query(f"SELECT {key} AS id, {wanted} AS value FROM {table}")(run)
-
-
-worked("western_date_texts", [("20240229", "2024-02-29"), ("20230229", None), ("2024/12/31", "2024-12-31"), ("20231231", None), ("2024123", None), ("", None), (None, None)], lambda t: S.western_date(t, F.lit(2024)).cast("string"))
-worked("local_dates", [("2024-05-31T16:30:00Z", "2024/06/01"), ("2024-05-31T15:59:59Z", "2024/05/31"), ("", "日期不明"), (None, "日期不明"), ("soon", "soon")], S.local_date_text)
-worked("building_types", [("公寓(5樓含以下無電梯)", "apartment"), ("華廈(10層含以下有電梯) ", "mansion"), ("住宅大樓 (11層含以上有電梯)", "highrise"), ("店面(店鋪)", None), (None, None)], S.building_type)
-worked("chinese_numbers", [("五", "5"), ("十", "10"), ("十二", "12"), ("二十", "20"), ("九十九", "99"), ("兩", "2"), ("〇", "0"), ("17", "17"), ("二三", None), ("百", None), ("", None), (" 七 ", "7")], lambda t: S.chinese_number(t).cast("string"))
-worked("floor_numbers", [("五層", 5), ("十二層", 12), ("地下一層", 0), ("三層，陽台", 3), ("二層，三層", 0), ("屋頂夾層", 0), ("見其他登記事項", 0), ("", 0), (None, 0), ("21層", 21), ("百層", 0)], S.floor_number)
-worked("place_names", [("台北(市)立 [大同] 國小", "臺北市立大同國小"), ("【台大】　醫院", "臺大醫院"), ("", ""), (None, "")], names.place_name)
-worked("market_names", [("台北市公有士林市場", "士林市場"), ("東門市場(1)", "東門市場一"), ("東門市場(2)", "東門市場二"), ("南門中繼市場", "南門市場"), ("成功市場（BOT）", "成功市場"), ("環南市場(2樓)", "環南市場"), ("湖光市場臨時攤棚", "湖光市場"), ("中山 市場(104)", "中山市場"), (None, "")], names.market_name)
-worked("rail_names", [(" 臺北-環島 ", "臺北"), ("板橋", "板橋"), ("-環島線", "-環島線"), (None, None)], names.rail_name)
-worked("metro_names", [("{台北車站,Taipei}", "台北車站"), ("{ 中山 }", "中山"), ("{a}b,{c}", "a"), ("中山", ""), (None, None)], names.metro_name)
-worked("park_types", [("大安森林公園", "park"), ("中山廣場公園", "plaza"), ("河濱綠地公園", "green-space"), ("行道樹", None), (None, None)], names.park_type)
-worked("lat_lon_texts", [("25.03 121.5", "25.03;121.5"), ("  -1.5\t2 ", "-1.5;2.0"), ("25.03,121.5", ""), ("25.03 121.5 1", ""), ("N25 121", ""), ("1. 2", ""), (None, "")], lambda t: F.concat_ws(";", *(c.cast("string") for c in names.lat_lon(t))))
-worked("address_lists", [("和平路1號（後棟）\n信義路2號;大安區", "和平路1號|信義路2號"), ("甲路1號、甲路1號；乙路2號", "甲路1號|乙路2號"), ("", ""), (None, "")], lambda t: F.array_join(names.address_list(t, F.lit("大安區")), "|"))
-worked("address_variant_lists", [
-    ("大安區龍泉里和平路二段十五號之3、5", "大安區龍泉里和平路二段十五號之3、5|大安區和平路二段十五號之3、5|大安區和平路二段15號之3、5|大安區和平路二段15號之3號"),
-    ("信義路3段12之1、14號", "信義路3段12之1、14號|信義路三段12之1、14號|信義路三段12之1號"),
-    ("復興路二十巷五號", "復興路二十巷五號|復興路20巷5號"),
-    (None, ""),
-], lambda t: F.array_join(names.address_variants(t, F.lit("大安區")), "|"))
-worked("first_filled_texts", [(" ", "-"), ("", "-"), (None, "-"), (" a b ", "a b"), ("　x", "x")], lambda t: names.first_filled(t, F.lit(" - ")))
-
-
-worked("nfkc_texts", [("１２３ＡＢ", "123AB"), ("㈱", "(株)"), ("ﬁ", "fi"), ("a　b", "a b"), ("臺北", "臺北"), ("", ""), (None, None)], names.nfkc)
-worked("address_keys", [
-    ("臺北市大安區和平東路一段10號五樓", "和平東路一段10號"),
-    ("大安區和平東路(雙)12-3號", "和平東路12之3號"),
-    ("台北市大安區信義路, 5號之2 三樓", "信義路5號之2"),
-    ("大安區大安區公園", "大安區公園"),
-    ("", ""),
-    (None, ""),
-], lambda t: names.normal_address(t, F.lit("臺北市"), F.lit("大安區")))
+    query(f"WITH t AS (SELECT {key} AS id, {text} AS text FROM {table}){before} SELECT id, {sql} AS value FROM {'t' if not before else 'u'}")(run)
+
+
+_DAY = "CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10))"
+_O, _P, _C, _S = "o_orderkey", "p_partkey", "c_custkey", "s_suppkey"
+_WHITE = "[\\s　]"
+
+computed(
+    "western_date_texts", "orders", _O,
+    _pick("(o_custkey * 7 % 11)", _DAY, f"replace({_DAY}, '-', '')", f"replace({_DAY}, '-', '/')", f"concat(substr({_DAY}, 1, 4), '0229')", f"substr({_DAY}, 1, 7)", "''", "NULL", f"concat('at ', {_DAY})", f"concat({_DAY}, '1')"),
+    lambda t: S.western_date(t, F.lit(1996)).cast("string"),
+    "CASE WHEN length(g) = 8 AND left(g, 4) = '1996' THEN strftime(try_strptime(g, '%Y%m%d'), '%Y-%m-%d') END",
+    ", u AS (SELECT id, regexp_replace(coalesce(text, ''), '[^0-9]', '', 'g') AS g FROM t)",
+)
+computed(
+    "local_dates", "orders", _O,
+    _pick("(o_custkey * 5 % 13)", *[f"concat({_DAY}, 'T', lpad(CAST(o_orderkey % 24 AS VARCHAR(2)), 2, '0'), ':', lpad(CAST(o_custkey % 60 AS VARCHAR(2)), 2, '0'), ':00Z')"] * 5, "''", "NULL", "'  '", "concat('soon ', o_orderkey)"),
+    S.local_date_text,
+    "CASE WHEN trim(coalesce(text, '')) = '' THEN '日期不明' ELSE coalesce(strftime(try_strptime(text, '%Y-%m-%dT%H:%M:%SZ') + INTERVAL 8 HOUR, '%Y/%m/%d'), text) END",
+)
+computed(
+    "building_types", "part", _P,
+    f"concat({some('p_partkey', '公寓', '華廈', '住宅大樓', '店面')}, {some('(p_partkey * 7 % 11)', '(', ' (', '(　', '（')}, {some('(p_partkey * 5 % 13)', '5樓含以下無電梯', '10層含以下有電梯', '11層含以上有電梯', '店鋪')}, {some('(p_partkey * 3 % 7)', ')', ') ', ' )', '')})",
+    S.building_type,
+    "CASE WHEN contains(g, '公寓(5樓含以下無電梯)') THEN 'apartment' WHEN contains(g, '華廈(10層含以下有電梯)') THEN 'mansion' WHEN contains(g, '住宅大樓(11層含以上有電梯)') THEN 'highrise' END",
+    f", u AS (SELECT id, regexp_replace(text, '{_WHITE}+', '', 'g') AS g FROM t)",
+)
+
+_NUMERAL = f"concat({some('(c_custkey * 7 % 11)', '', '一', '二', '兩', '九', '〇', '4', '百', ' ')}, {some('c_custkey', '十', '', '十', '')}, {some('(c_custkey * 5 % 13)', '', '零', '三', '五', '六', '七', '八', '8', '17', ' ', '四')})"
+
+
+def _number(text: str) -> str:
+    """SQL of a numeral's number: by what stands before and behind the ten, or letter by letter."""
+    g = f"translate(trim({text}), '零〇一二兩三四五六七八九', '001223456789')"
+    side = lambda k, none: f"coalesce(nullif(split_part({g}, '十', {k}), '')::INT, {none})"
+    return f"CASE WHEN regexp_full_match({g}, '[0-9]?十[0-9]?') THEN {side(1, 1)} * 10 + {side(2, 0)} WHEN regexp_full_match(trim({text}), '[0-9]+|.') AND regexp_full_match({g}, '[0-9]+') THEN {g}::INT END"
+
+
+computed("chinese_numbers", "customer", _C, _NUMERAL, lambda t: S.chinese_number(t).cast("string"), f"({_number('text')})::VARCHAR")
+computed(
+    "floor_numbers", "customer", _C,
+    f"CASE WHEN c_custkey % 29 = 0 THEN NULL WHEN c_custkey % 31 = 0 THEN '' ELSE concat({some('(c_custkey * 3 % 17)', '', '', '', '地下', '')}, {_NUMERAL}, '層', {some('(c_custkey * 11 % 19)', '', '', '，陽台', '，三層', '，屋頂', '，見其他登記事項', '夾層', '，5')}) END",
+    S.floor_number,
+    f"CASE WHEN coalesce(text, '') = '' OR regexp_matches(text, '地下|夾層|屋頂|見其他登記事項') OR len(g) <> 1 THEN 0 ELSE coalesce({_number('g[1]')}, 0) END::INT",
+    ", u AS (SELECT id, text, regexp_extract_all(text, '([0-9零〇一二兩三四五六七八九十]+)層', 1) AS g FROM t)",
+)
+computed(
+    "place_names", "part", _P,
+    f"CASE WHEN p_partkey % 37 = 0 THEN NULL ELSE concat({some('p_partkey', '台北(市)立', '臺北市立 ', '【台大】', '新北　市[三重]', '')}, p_brand, {some('(p_partkey * 3 % 7)', ' 國小', '　醫院', '（台）', '')}) END",
+    names.place_name,
+    f"regexp_replace(replace(coalesce(text, ''), '台', '臺'), '[()（）\\[\\]【】]|{_WHITE}', '', 'g')",
+)
+computed(
+    "market_names", "part", _P,
+    f"CASE WHEN p_partkey % 37 = 0 THEN NULL ELSE concat({some('p_partkey', '台北市公有', '臺北市公有', '', '新')}, p_brand, {some('(p_partkey * 3 % 7)', '市場', '中繼市場', ' 市場臨時攤棚')}, {some('(p_partkey * 7 % 11)', '(1)', '(2)', '（BOT）', '(104)', '(2樓)', '（店鋪）', '', '(12345)', '(3)')}) END",
+    names.market_name,
+    f"regexp_replace(replace(replace(regexp_replace(g, '[（(]([0-9]{{2,4}}|BOT|店鋪|臨時攤棚|[12]樓)[）)]', '', 'g'), '臨時攤棚', ''), '中繼', ''), '[()（）\\[\\]【】]|{_WHITE}', '', 'g')",
+    ", u AS (SELECT id, replace(replace(regexp_replace(replace(coalesce(text, ''), '台', '臺'), '^臺北市公有', ''), '(1)', '一'), '(2)', '二') AS g FROM t)",
+)
+_TRIMMED = "trim({}, concat(' 　', chr(9)))"
+computed("rail_names", "supplier", _S, f"concat({some('s_suppkey', '', ' ', '　')}, s_name, {some('(s_suppkey * 3 % 7)', '-環島', '', '-環島 ', '-環島線', '-環島-環島')})", names.rail_name, f"regexp_replace({_TRIMMED.format('text')}, '-環島$', '')")
+computed("metro_names", "supplier", _S, f"concat({some('s_suppkey', '{', '', '{ ', 'x{')}, s_name, {some('(s_suppkey * 3 % 7)', ',Taipei}', '}', ' }b,{c}', '')})", names.metro_name, _TRIMMED.format("regexp_extract(text, '\\{([^,}]+)', 1)"))
+computed("park_types", "part", _P, f"concat(p_brand, {some('p_partkey', '森林公園', '廣場公園', '綠地', '行道樹', '綠地廣場', '公園綠地')})", names.park_type, "CASE WHEN text LIKE '%廣場%' THEN 'plaza' WHEN text LIKE '%綠地%' THEN 'green-space' WHEN text LIKE '%公園%' THEN 'park' END")
+_DEGREES = f"{_WHITE}*(-?[0-9]+(?:\\.[0-9]+)?){_WHITE}+(-?[0-9]+(?:\\.[0-9]+)?){_WHITE}*"
+computed(
+    "lat_lon_texts", "part", _P,
+    f"concat({some('p_partkey', '', ' ', '　', '-', '')}, p_partkey % 90, {some('(p_partkey * 3 % 7)', '', '.25', '.5', '.')}, {some('(p_partkey * 7 % 11)', ' ', '  ', '　', ',', ' N')}, p_partkey % 180, {some('(p_partkey * 5 % 13)', '.75', '', ' ', ' 1', '.125')})",
+    lambda t: F.concat_ws(";", *(c.cast("string") for c in names.lat_lon(t))),
+    f"CASE WHEN regexp_full_match(text, '{_DEGREES}') THEN regexp_extract(text, '{_DEGREES}', 1)::DOUBLE || ';' || regexp_extract(text, '{_DEGREES}', 2)::DOUBLE ELSE '' END",
+)
+_PART = "concat('第', {}, '路', c_custkey % 90, '號')"
+computed(
+    "address_lists", "customer", _C,
+    f"CASE WHEN c_custkey % 41 = 0 THEN NULL ELSE concat({_PART.format('c_nationkey')}, {some('(c_custkey * 3 % 7)', '（後棟）', '', '(a;b)', ' ')}, {_pick('(c_custkey * 7 % 11)', 'chr(10)', literal('；'), literal('、'), literal(' ; '), 'concat(chr(13), chr(10))')}, {_PART.format('c_custkey % 3')}, {some('c_custkey', '', '、大安區', '；', '；大安區西')}) END",
+    lambda t: F.array_join(names.address_list(t, F.lit("大安區")), "|"),
+    "array_to_string(list_filter(g, lambda x, i: x <> '' AND x <> '大安區' AND list_position(g, x) = i), '|')",
+    f", u AS (SELECT id, list_transform(string_split_regex(regexp_replace(coalesce(text, ''), '[(（][^)）]*[)）]', '', 'g'), '[\\r\\n;；、]+'), lambda x: {_TRIMMED.format('x')}) AS g FROM t)",
+)
+
+
+def _sections(x: str) -> str:
+    for digit, numeral in names.SECTIONS.items():
+        x = f"replace({x}, '{digit}段', '{numeral}段')"
+    return x
+
+
+_NUM, _UNIT = "[零〇一二兩三四五六七八九十]", f"[{names.COUNTED}]"
+_SPLIT = f"^(.*?)({_NUM}+)({_UNIT}.*)$"
+_IN_DIGITS = "CASE WHEN NOT contains(m, '十') OR regexp_full_match(m, '[^十]?十[^十]?') THEN " + f"coalesce(CASE WHEN contains(m, '十') THEN ({_number('m')})::VARCHAR END, translate(m, '零〇一二兩三四五六七八九', '001223456789')) ELSE m END"
+computed(
+    "address_variant_lists", "customer", _C,
+    f"CASE WHEN c_custkey % 41 = 0 THEN NULL ELSE concat('大安區', {some('(c_custkey * 3 % 7)', '龍泉里', '', '新龍泉里', '里')}, '復興路', {some('c_custkey', '', '3段', '四段', '13段')}, {some('(c_custkey * 7 % 11)', '十五', '二十', '五', '12', '二三', '十', '一十二', '二十十')}, {some('(c_custkey * 5 % 13)', '號', '號之3', '巷5號', '之1、14號', '，8號')}) END",
+    lambda t: F.array_join(names.address_variants(t, F.lit("大安區")), "|"),
+    "array_to_string(list_filter(g, lambda x, i: list_position(g, x) = i), '|')",
+    f""", a AS (SELECT id, coalesce(text, '') AS f0, regexp_replace(coalesce(text, ''), '大安區{names.VILLAGE}', '大安區') AS f1 FROM t),
+b AS (SELECT *, regexp_extract(replace(f1, '，', ','), '{_SPLIT}', 2) AS m, regexp_matches(f1, '{_NUM}{_UNIT}') AS has, replace(f1, '，', ',') AS n1, replace(f1, '，', ',') AS n FROM a),
+c AS (SELECT *, CASE WHEN regexp_matches(n, '{_NUM}{_UNIT}') THEN regexp_extract(n, '{_SPLIT}', 1) || {_IN_DIGITS} || regexp_extract(n, '{_SPLIT}', 3) ELSE n END AS f2 FROM b), e AS (SELECT *, {_sections('f2')} AS f3 FROM c),
+u AS (SELECT id, [f0, n1, f2, f3, regexp_replace(f3, '([0-9]+(?:之[0-9]+)?)[、．.,，;；].*$', '\\1號')] AS g FROM e)""",
+)
+computed("first_filled_texts", "customer", _C, _pick(_C, "' '", "''", "NULL", "concat(' ', c_name, ' ')", "concat('　', c_name)", "c_name"), lambda t: names.first_filled(t, F.lit(" - ")), f"coalesce(nullif({_TRIMMED.format('text')}, ''), '-')")
+_WIDE = "'０１２３４５６７８９ＡＢ　', '0123456789AB '"
+computed(
+    "nfkc_texts", "part", _P,
+    f"CASE WHEN p_partkey % 37 = 0 THEN NULL ELSE concat(translate(CAST(p_partkey AS VARCHAR(20)), '0123456789', '０１２３４５６７８９'), {some('p_partkey', '　', 'ﬁ', '㈱', 'ＡＢ', '臺')}, p_brand) END",
+    names.nfkc,
+    f"replace(replace(translate(text, {_WIDE}), 'ﬁ', 'fi'), '㈱', '(株)')",
+)
+computed(
+    "address_keys", "part", _P,
+    f"CASE WHEN p_partkey % 37 = 0 THEN NULL ELSE concat({some('p_partkey', '臺北市', '台北市', '', '新北市')}, {some('(p_partkey * 3 % 7)', '大安區', '', '大安區大安區')}, '和平路', {some('(p_partkey * 7 % 11)', '一段', '(雙)', '', '（內）')}, {some('(p_partkey * 5 % 13)', '', ' ', ', ')}, p_partkey % 500, {some('(p_partkey * 11 % 17)', '號', '-3號', '號之2', '', '號, 5號')}, {some('(p_partkey * 13 % 19)', '五樓', '', '　3樓')}) END",
+    lambda t: names.normal_address(t, F.lit("臺北市"), F.lit("大安區")),
+    "CASE WHEN g LIKE '%_號%' THEN regexp_extract(g, '^(.+?號(?:之[0-9]+)?)', 1) ELSE g END",
+    f", u AS (SELECT id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[臺台]北市|新北市', '', 'g'), '大安區', ''), '[()（）內單雙]', '', 'g'), '[－–—-]([0-9]+)', '之\\1', 'g'), '[,.，、]|{_WHITE}', '', 'g') AS g FROM t)",
+)
 
 
 # ---- shown values ------------------------------------------------------------------------------------------
