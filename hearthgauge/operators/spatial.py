@@ -117,9 +117,14 @@ def in_own_polygon(points: DataFrame, polygons: DataFrame, on: list[str], tolera
     return joined.withColumn("boundary_distance", beside).withColumn("matches", F.coalesce(hit, F.lit(False))).drop("edges")
 
 
-def interior_point(polygons: DataFrame, key: list[str], steps: int = 39, least: float = 20.0) -> DataFrame:
+def interior_point(polygons: DataFrame, key: list[str], steps: int = 39, least: float = 20.0, excluded: DataFrame | None = None, on: list[str] | None = None) -> DataFrame:
     """Per polygon: the point of a `steps` by `steps` grid over its box, inside it and at least `least` metres from its
-    edge, that is farthest from the edge; ties take the first by column, then row."""
+    edge, that is farthest from the edge; ties, to a micrometre, take the first by column, then row.
+
+    excluded: polygons (`on` and the columns of with_bounds) in which the point must not be, and from whose edges it is
+    to be as far as from its own; a polygon is held against those with its values of `on`. They may be many, so grid
+    points are rows then, meet the excluded polygons by cell, and only edges nearer than their own are compared further.
+    """
     steps_of = F.sequence(F.lit(1), F.lit(steps))
     at = lambda low, high, k: F.col(low) + (F.col(high) - F.col(low)) * k / (steps + 1)
     spot = lambda x, y: F.struct(x.alias("xi"), y.alias("yi"), at("west", "east", x).alias("lon"), at("south", "north", y).alias("lat"))
@@ -127,8 +132,21 @@ def interior_point(polygons: DataFrame, key: list[str], steps: int = 39, least:
     # the grid stays in the polygon's row, which is not copied for each of its points
     grid = F.flatten(F.transform(steps_of, lambda x: F.transform(steps_of, lambda y: spot(x, y))))
     held = F.filter(grid, lambda p: inside(p["lat"], p["lon"], F.col("edges")))
-    far = F.transform(held, lambda p: F.struct((-edge(p)).alias("d"), p["xi"].alias("xi"), p["yi"].alias("yi"), p["lon"].alias("lon"), p["lat"].alias("lat")))
-    own = polygons.select(*key, F.array_min(F.filter(far, lambda m: m["d"] <= -least)).alias("m")).where("m IS NOT NULL")
+    far = F.filter(F.transform(held, lambda p: F.struct((-F.round(edge(p), 6)).alias("d"), p["xi"].alias("xi"), p["yi"].alias("yi"), p["lon"].alias("lon"), p["lat"].alias("lat"))), lambda m: m["d"] <= -least)
+    # few bytes with much work each: dealt over all cores, which adaptive execution would not do for their size
+    polygons = polygons.repartition(2 * polygons.sparkSession.sparkContext.defaultParallelism, *key)
+    if excluded is None:
+        own = polygons.select(*key, F.array_min(far).alias("m")).where("m IS NOT NULL")
+    else:
+        spots = polygons.select(*key, *[c for c in on if c not in key], F.explode(far).alias("m")).select("*", F.col("m.lat").alias("lat"), F.col("m.lon").alias("lon"))
+        place = [*key, "m"]
+        others = excluded.select(*on, "west", "south", "east", "north", "edges")
+        free = spots.join(points_in_polygons(spots, others, on).select(*place), place, "left_anti")
+        edges = others.select(*on, F.explode("edges").alias("e"))
+        beside = segment_distance(F.col("lat"), F.col("lon"), F.col("e.y1"), F.col("e.x1"), F.col("e.y2"), F.col("e.x2"))
+        near = free.join(edges, on).withColumn("beside", beside).where(F.col("beside") < -F.col("m.d")).groupBy(*place).agg(F.min("beside").alias("beside"))
+        d = F.coalesce(-F.round("beside", 6), F.col("m.d"))
+        own = free.join(near, place, "left").select(*key, F.struct(d.alias("d"), "m.xi", "m.yi", "m.lon", "m.lat").alias("m")).where(F.col("m.d") <= -least)
     best = own.groupBy(*key).agg(F.min("m").alias("m"))
     return best.select(*key, F.col("m.lon").alias("lon"), F.col("m.lat").alias("lat"), (-F.col("m.d")).alias("edge_distance"))
 

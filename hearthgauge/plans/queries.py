@@ -81,9 +81,15 @@ def quartiles_by_type(spark: SparkSession, d: str) -> DataFrame:
     return exact_quantiles(parts, ["building_type"], "p_retailprice", [0.25, 0.5, 0.75]).select("building_type", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
 
 
-@query(f"WITH {R.SALES} SELECT district, special, count(*)::BIGINT AS n FROM sales GROUP BY ALL")
+#: Remarks by row: each word that marks a special sale, in a text of other words, words that come near to one, or none.
+_REMARKS = [*S.SPECIAL_NOTES.split("|"), "親 友", "增加建物", "政府", "一般買賣"]
+_REMARK = "CASE WHEN l_partkey % 23 = 0 THEN NULL ELSE concat('備註', l_suppkey, '：', CASE (l_orderkey * 7 + l_linenumber) % {n} {w} END, '交易') END".format(n=len(_REMARKS), w=" ".join(f"WHEN {k} THEN '{w}'" for k, w in enumerate(_REMARKS)))
+_ANY = " OR ".join(f"contains(note, '{w}')" for w in S.SPECIAL_NOTES.split("|"))
+
+
+@query(f"WITH {R.SALES}, n AS (SELECT district, {_REMARK} AS note FROM sales) SELECT district, coalesce({_ANY}, false) AS special, count(*)::BIGINT AS n FROM n GROUP BY ALL")
 def special_filter(spark: SparkSession, d: str) -> DataFrame:
-    noted = R.sales(spark, d).withColumn("note", F.when(F.col("special"), "親友間交易").otherwise("一般"))
+    noted = R.sales(spark, d).withColumn("note", F.expr(_REMARK))
     return noted.groupBy("district", S.special_transaction(F.col("note")).alias("special")).agg(F.count("*").alias("n"))
 
 
@@ -270,22 +276,22 @@ def upsert_samples(spark: SparkSession, d: str) -> DataFrame:
 PTS = "pts AS (SELECT property_id AS pid, district, lat AS p_lat, lon AS p_lon FROM properties)"
 
 
-def shapes(spark: SparkSession) -> DataFrame:
+def shapes(spark: SparkSession, d: str, layer: str = "hazards") -> DataFrame:
     keys = ["ord", "district", "level"]
-    return G.with_bounds(G.edge_table(R.polygons(spark), keys), keys)
+    return G.with_bounds(G.edge_table(R.polygons(spark, d, layer), keys), keys)
 
 
 @query(f"WITH {R.PROPERTIES}, {PTS}, {R.EDGES}, {R.HELD} SELECT pid AS property_id, coalesce(arg_min(held.level, held.pord), 'unknown') AS level FROM pts LEFT JOIN held USING (pid) GROUP BY 1")
 def pip_first_match(spark: SparkSession, d: str) -> DataFrame:
     p = R.properties(spark, d).select("property_id", "lat", "lon")
-    out = G.first_match(p, G.points_in_polygons(p, shapes(spark)), ["property_id"], "ord", ["level"])
+    out = G.first_match(p, G.points_in_polygons(p, shapes(spark, d)), ["property_id"], "ord", ["level"])
     return out.select("property_id", F.coalesce("level", F.lit("unknown")).alias("level"))
 
 
 @query(f"WITH {R.PROPERTIES}, {PTS}, {R.EDGES}, {R.HELD} SELECT pid AS property_id, count(held.pord)::BIGINT AS n_districts, CASE count(held.pord) WHEN 0 THEN 'outsideDistrict' WHEN 1 THEN 'accepted' ELSE 'ambiguousDistrict' END AS outcome FROM pts LEFT JOIN held USING (pid) GROUP BY 1")
 def pip_district_cardinality(spark: SparkSession, d: str) -> DataFrame:
     p = R.properties(spark, d).select("property_id", "lat", "lon")
-    n = G.points_in_polygons(p, shapes(spark)).groupBy("property_id").agg(F.count("*").alias("n"))
+    n = G.points_in_polygons(p, shapes(spark, d)).groupBy("property_id").agg(F.count("*").alias("n"))
     count = F.coalesce("n", F.lit(0))
     return p.join(n, "property_id", "left").select("property_id", count.alias("n_districts"), F.when(count == 0, "outsideDistrict").when(count == 1, "accepted").otherwise("ambiguousDistrict").alias("outcome"))
 
@@ -293,12 +299,16 @@ def pip_district_cardinality(spark: SparkSession, d: str) -> DataFrame:
 _SEG_T = "greatest(0.0::DOUBLE, least(1.0::DOUBLE, -(ax * (bx - ax) + ay * (by_ - ay)) / (pow(bx - ax, 2) + pow(by_ - ay, 2))))"
 
 
-@query(f"""WITH {R.PROPERTIES}, {PTS}, {R.EDGES}, one AS (SELECT * FROM edges WHERE pord <> 1), {R.HELD},
-sc AS (SELECT pid, (x1 - p_lon) * cos(radians(p_lat)) * 111000 AS ax, (y1 - p_lat) * 111000 AS ay, (x2 - p_lon) * cos(radians(p_lat)) * 111000 AS bx, (y2 - p_lat) * 111000 AS by_ FROM pts JOIN one ON pts.district = pdistrict),
+_ZONED = f"pts AS (SELECT c_custkey AS pid, c_nationkey AS district, lat AS p_lat, lon AS p_lon FROM (SELECT *, {R._sql_point('c_custkey')} FROM customer))"
+
+
+@query(f"""WITH {_ZONED}, {R.ZONE_EDGES}, {R.HELD},
+sc AS (SELECT pid, (x1 - p_lon) * cos(radians(p_lat)) * 111000 AS ax, (y1 - p_lat) * 111000 AS ay, (x2 - p_lon) * cos(radians(p_lat)) * 111000 AS bx, (y2 - p_lat) * 111000 AS by_ FROM pts JOIN edges ON pts.district = pdistrict),
 dist AS (SELECT pid, min(sqrt(pow(ax + {_SEG_T} * (bx - ax), 2) + pow(ay + {_SEG_T} * (by_ - ay), 2))) AS m FROM sc GROUP BY 1)
-SELECT pid AS property_id, {cuts('m', 2)} AS boundary_distance, coalesce(m <= 20 OR bool_or(held.pord IS NOT NULL), false) AS matches FROM pts LEFT JOIN dist USING (pid) LEFT JOIN held ON held.pid = pts.pid AND held.pdistrict = pts.district AND held.pord <> 1 GROUP BY pts.pid, m""".replace("SELECT pid AS property_id", "SELECT pts.pid AS property_id"))
+SELECT pts.pid AS property_id, {cuts('m', 2)} AS boundary_distance, coalesce(m <= 20 OR bool_or(held.pord IS NOT NULL), false) AS matches FROM pts LEFT JOIN dist USING (pid) LEFT JOIN held ON held.pid = pts.pid AND held.pdistrict = pts.district GROUP BY pts.pid, m""")
 def boundary_tolerance(spark: SparkSession, d: str) -> DataFrame:
-    out = G.in_own_polygon(R.properties(spark, d).select("property_id", "district", "lat", "lon"), shapes(spark).where("ord <> 1"), ["district"], 20.0)
+    points = R.table(spark, d, "customer").select(F.col("c_custkey").alias("property_id"), F.col("c_nationkey").cast("int").alias("district"), R.lat("c_custkey").alias("lat"), R.lon("c_custkey").alias("lon"))
+    out = G.in_own_polygon(points, shapes(spark, d, "zones"), ["district"], 20.0)
     return out.select("property_id", cut(F.col("boundary_distance"), 2).alias("boundary_distance"), "matches")
 
 
@@ -333,7 +343,7 @@ def dup_coordinate_rate(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: The grid of each polygon's box, with each point's crossings of the edges and its distance from the nearest one.
-_INTERIOR = f"""WITH {R.EDGES}, box AS (SELECT pord, min(least(x1, x2)) AS west, max(greatest(x1, x2)) AS east, min(least(y1, y2)) AS south, max(greatest(y1, y2)) AS north FROM edges GROUP BY 1),
+_INTERIOR = """WITH {edges}, box AS (SELECT pord, min(least(x1, x2)) AS west, max(greatest(x1, x2)) AS east, min(least(y1, y2)) AS south, max(greatest(y1, y2)) AS north FROM edges GROUP BY 1),
 spot AS (SELECT pord, xi, yi, west + (east - west) * xi / 40 AS lon, south + (north - south) * yi / 40 AS lat FROM box, range(1, 40) a(xi), range(1, 40) b(yi)),
 near AS (SELECT *, cos(radians(lat)) * 111000.0 AS kx FROM spot),
 side AS (SELECT near.*, (x1 - lon) * kx AS ax, (y1 - lat) * 111000.0 AS ay, (x2 - lon) * kx - (x1 - lon) * kx AS dx, (y2 - lat) * 111000.0 - (y1 - lat) * 111000.0 AS dy,
@@ -343,9 +353,24 @@ foot AS (SELECT *, greatest(0.0, least(1.0, -(ax * dx + ay * dy) / (dx * dx + dy
 far AS (SELECT pord, xi, yi, lon, lat, min(sqrt(pow(ax + t * dx, 2) + pow(ay + t * dy, 2))) AS d FROM foot GROUP BY ALL HAVING count(*) FILTER (crosses) % 2 = 1 OR bool_or(touches))"""
 
 
-@query(f"""{_INTERIOR} SELECT pord AS ord, {cuts('lon', 6)} AS lon, {cuts('lat', 6)} AS lat, {cuts('d')} AS edge_distance FROM far WHERE d >= 20 QUALIFY row_number() OVER (PARTITION BY pord ORDER BY round(d, 6) DESC, xi, yi) = 1""")
+@query(f"""{_INTERIOR.format(edges=R.EDGES)} SELECT pord AS ord, {cuts('lon', 6)} AS lon, {cuts('lat', 6)} AS lat, {cuts('d')} AS edge_distance FROM far WHERE d >= 20 QUALIFY row_number() OVER (PARTITION BY pord ORDER BY round(d, 6) DESC, xi, yi) = 1""")
 def interior_points(spark: SparkSession, d: str) -> DataFrame:
-    out = G.interior_point(shapes(spark), ["ord", "district", "level"])
+    out = G.interior_point(shapes(spark, d), ["ord", "district", "level"])
+    return out.select("ord", cut(F.col("lon"), 6).alias("lon"), cut(F.col("lat"), 6).alias("lat"), cut(F.col("edge_distance")).alias("edge_distance"))
+
+
+@query(f"""{_INTERIOR.format(edges=R.ZONE_EDGES + ', ' + R.EDGES.replace('edges AS', 'hazard AS', 1))},
+met AS (SELECT far.*, hazard.*, lat AS p_lat, (x1 - lon) * cos(radians(lat)) * 111000 AS ax, (y1 - lat) * 111000 AS ay, (x2 - lon) * cos(radians(lat)) * 111000 AS bx, (y2 - lat) * 111000 AS by_ FROM (SELECT pord AS zone, * EXCLUDE pord FROM far) far JOIN hazard ON zone % 5 = pdistrict),
+inside AS (SELECT DISTINCT zone, xi, yi FROM (SELECT zone, xi, yi, pord FROM met GROUP BY ALL HAVING count(*) FILTER ((y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1) % 2 = 1
+ OR bool_or((x2 - x1) * (lat - y1) - (y2 - y1) * (lon - x1) = 0 AND lon BETWEEN least(x1, x2) AND greatest(x1, x2) AND lat BETWEEN least(y1, y2) AND greatest(y1, y2)))),
+beside AS (SELECT zone, xi, yi, min(sqrt(pow(ax + {_SEG_T} * (bx - ax), 2) + pow(ay + {_SEG_T} * (by_ - ay), 2))) AS m FROM met GROUP BY ALL),
+free AS (SELECT far.pord, far.xi, far.yi, lon, lat, round(least(d, coalesce(m, d)), 6) AS d FROM far LEFT JOIN beside ON zone = far.pord AND beside.xi = far.xi AND beside.yi = far.yi WHERE (far.pord, far.xi, far.yi) NOT IN (SELECT zone, xi, yi FROM inside))
+SELECT pord AS ord, {cuts('lon', 6)} AS lon, {cuts('lat', 6)} AS lat, {cuts('d')} AS edge_distance FROM free WHERE d >= 20 QUALIFY row_number() OVER (PARTITION BY pord ORDER BY d DESC, xi, yi) = 1""")
+def uncovered_points(spark: SparkSession, d: str) -> DataFrame:
+    """The point of each zone that is farthest from its border and from the hazards of its part."""
+    zones = shapes(spark, d, "zones").withColumn("part", F.col("district") % 5)
+    hazards = shapes(spark, d).withColumn("part", F.col("district"))
+    out = G.interior_point(zones, ["ord"], excluded=hazards, on=["part"])
     return out.select("ord", cut(F.col("lon"), 6).alias("lon"), cut(F.col("lat"), 6).alias("lat"), cut(F.col("edge_distance")).alias("edge_distance"))
 
 
@@ -508,10 +533,14 @@ def hazard_levels(spark: SparkSession, d: str) -> DataFrame:
     return R.table(spark, d, "part").select("p_partkey", S.depth_level(pick(["0.3-0.5", "0.5-1.0", "1.0-2.0", ">3.0", "none"], 5)).alias("depth"), S.liquefaction_level((F.col("p_size") % 3 + 1).cast("string")).alias("liquefaction"), S.scenario_hours(scenario).alias("hours"), S.scenario_millimetres(scenario).alias("millimetres"))
 
 
-@query("SELECT to_char AS season, n FROM (SELECT (year(s) - 1911)::VARCHAR || 'S' || quarter(s) AS to_char, row_number() OVER (ORDER BY s) AS n FROM (SELECT unnest(generate_series(DATE '2021-07-01', DATE '2026-07-22', INTERVAL 3 MONTH)) AS s))")
+@query("""WITH r AS (SELECT o_custkey AS id, min(o_orderdate)::DATE AS a, max(o_orderdate)::DATE AS b FROM orders GROUP BY 1),
+s AS (SELECT id, unnest(generate_series(date_trunc('quarter', a)::DATE, b, INTERVAL 3 MONTH)) AS q FROM r)
+SELECT id, (year(q) - 1911)::VARCHAR || 'S' || quarter(q) AS season, row_number() OVER (PARTITION BY id ORDER BY q) AS n FROM s""")
 def season_sequence(spark: SparkSession, d: str) -> DataFrame:
-    day = lambda t: F.lit(t).cast("date")
-    return spark.range(1).select(F.posexplode(M.seasons(day("2021-07-22"), day("2026-07-22"))).alias("k", "season")).select("season", (F.col("k") + 1).cast("long").alias("n"))
+    """Seasons from each customer's first order to the last."""
+    day = F.to_date("o_orderdate")
+    span = R.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.min(day).alias("a"), F.max(day).alias("b"))
+    return span.select("id", F.posexplode(M.seasons(F.col("a"), F.col("b"))).alias("k", "season")).select("id", "season", (F.col("k") + 1).cast("long").alias("n"))
 
 
 @query("SELECT p_partkey, p_size + 0.0::DOUBLE AS sqm, floor(p_size / 3.305785::DOUBLE * 100 + 0.5) / 100 AS ping, greatest(0, floor(date_diff('day', DATE '1990-01-01' + p_size::INT * 100, DATE '2000-01-01') / 365.25::DOUBLE))::INT AS age FROM part")
@@ -594,7 +623,7 @@ def audit_evaluate(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {R.PROPERTIES}, {PTS}, {R.EDGES}, {R.HELD}, n AS (SELECT pts.pid, count(held.pord) AS k, min(held.level) AS lv FROM pts LEFT JOIN held USING (pid) GROUP BY 1) SELECT pid AS property_id, k::BIGINT AS n_matches, CASE WHEN k = 0 THEN 'unconfirmed' WHEN k > 1 THEN 'blocked' WHEN lv IN ('priority', 'attention') THEN 'resolved' ELSE 'blocked' END AS evidence, CASE WHEN k = 1 AND lv IN ('priority', 'attention') THEN lv END AS category FROM n")
 def evidence_resolve(spark: SparkSession, d: str) -> DataFrame:
     p = R.properties(spark, d).select("property_id", "lat", "lon")
-    return Q.resolve_evidence(p, G.points_in_polygons(p, shapes(spark)), ["property_id"], "level", ["priority", "attention"])
+    return Q.resolve_evidence(p, G.points_in_polygons(p, shapes(spark, d)), ["property_id"], "level", ["priority", "attention"])
 
 
 @query("SELECT n_nationkey AS id, CASE WHEN n_nationkey % 3 = 0 THEN 'new' ELSE 'old' END AS reason FROM nation WHERE n_nationkey % 2 = 0 OR n_nationkey % 3 = 0")
@@ -626,10 +655,11 @@ def retention_window(spark: SparkSession, d: str) -> DataFrame:
 def full_analysis(spark: SparkSession, d: str) -> DataFrame:
     p = R.properties(spark, d)
     spots = p.select("property_id", "lat", "lon")
-    flood = G.first_match(spots, G.points_in_polygons(spots, shapes(spark)), ["property_id"], "ord", ["level"]).select("property_id", F.col("level").alias("flood"))
+    hazard = lambda layer: G.first_match(spots, G.points_in_polygons(spots, shapes(spark, d, layer)), ["property_id"], "ord", ["level"]).select("property_id", F.col("level"))
+    hazards = hazard("hazards").withColumnRenamed("level", "flood").join(hazard("zones").withColumnRenamed("level", "liquefaction"), "property_id")
     sources = states(spark, d).select("district", "id", "status")
-    out = A.analyse(p, R.sales(spark, d), R.facilities(spark, d), R.accidents(spark, d), flood.withColumn("liquefaction", F.lit("low")), sources)
-    return out.select("property_id", F.col("price.sample_count").alias("sample_count"), F.size("price.trend").alias("n_years"), "flood", "completeness", "data_quality", F.size("checklist").alias("n_checks"), F.to_json("accidents").alias("accidents"))
+    out = A.analyse(p, R.sales(spark, d), R.facilities(spark, d), R.accidents(spark, d), hazards, sources)
+    return out.select("property_id", F.col("price.sample_count").alias("sample_count"), F.size("price.trend").alias("n_years"), "flood", "liquefaction", "completeness", "data_quality", F.size("checklist").alias("n_checks"), F.to_json("accidents").alias("accidents"))
 
 
 from . import overlays, records, texts, upkeep  # noqa: E402, F401  (register the queries over polygons, raw records, texts, gates and audits)

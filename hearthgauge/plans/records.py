@@ -351,28 +351,28 @@ def facility_features(spark: SparkSession, d: str) -> DataFrame:
     return out.select("raw_id", "city", "district", "name", F.col(f"{p}.id").alias("id"), F.col(f"{p}.carCapacity").alias("capacity"), at[0].alias("lon"), at[1].alias("lat"))
 
 
-_RISKS = "(1, 'flood', '6h-150', 'own'), (2, 'flood', '24h-500', NULL), (3, 'liquefaction', NULL, NULL), (4, 'liquefaction', NULL, NULL), (5, 'flood', '6h-150', NULL)"
+_RISK = {"risk_type": "CASE ord % 3 WHEN 0 THEN 'liquefaction' ELSE 'flood' END", "scenario": "CASE WHEN ord % 3 = 0 THEN NULL WHEN ord % 2 = 0 THEN '6h-150' ELSE '24h-500' END", "name": "CASE WHEN ord % 4 = 1 THEN concat('area ', ord) END"}
+_RISKS = "(SELECT ord, district, " + ", ".join(f"{e} AS {n}" for n, e in _RISK.items()) + " FROM (SELECT s_suppkey AS ord, s_suppkey % 5 AS district FROM supplier))"
 
 
-def risks(spark: SparkSession) -> DataFrame:
-    kinds = spark.sql(f"SELECT * FROM VALUES {_RISKS} AS r(ord, risk_type, scenario, name)")
-    return R.polygons(spark).join(kinds, "ord").withColumn("city", F.col("district") % 2)
+def risks(spark: SparkSession, d: str) -> DataFrame:
+    return R.polygons(spark, d).withColumns({n: F.expr(e) for n, e in _RISK.items()}).withColumn("city", F.col("district") % 2)
 
 
-@query(f"SELECT ord, risk_type, coalesce(name, CASE risk_type WHEN 'flood' THEN '淹水潛勢' ELSE '土壤液化潛勢' END) AS name, 'official' AS source_type, false AS coverage_confirmed FROM (VALUES {_RISKS}) r(ord, risk_type, scenario, name)")
+@query(f"SELECT ord, risk_type, coalesce(name, CASE risk_type WHEN 'flood' THEN '淹水潛勢' ELSE '土壤液化潛勢' END) AS name, 'official' AS source_type, false AS coverage_confirmed FROM {_RISKS}")
 def risk_projection(spark: SparkSession, d: str) -> DataFrame:
-    return P.risk_features(risks(spark)).select("ord", "risk_type", "name", "source_type", "coverage_confirmed")
+    return P.risk_features(risks(spark, d)).select("ord", "risk_type", "name", "source_type", "coverage_confirmed")
 
 
 _SCENARIOS = "[" + ", ".join(f"'{s}'" for s in S.FLOOD_SCENARIOS) + "]"
 
 
-@query(f"""WITH k AS (SELECT * FROM (VALUES {_RISKS}) r(ord, risk_type, scenario, name) JOIN (VALUES (1, 0), (2, 0), (3, 1), (4, 2), (5, 3)) p(ord, district) USING (ord)),
+@query(f"""WITH k AS (SELECT * FROM {_RISKS}),
 f AS (SELECT (r_regionkey % 2) || '/' || r_regionkey || '/risks/' || unnest(list_concat(list_transform({_SCENARIOS}, lambda s: 'flood-' || s), ['liquefaction'])) || '.geojson' AS file FROM region),
 n AS (SELECT (district % 2) || '/' || district || '/risks/' || CASE risk_type WHEN 'flood' THEN 'flood-' || scenario ELSE 'liquefaction' END || '.geojson' AS file, count(*) AS n FROM k GROUP BY 1)
 SELECT file, coalesce(n, 0)::BIGINT AS n_features FROM f LEFT JOIN n USING (file)""")
 def risk_files(spark: SparkSession, d: str) -> DataFrame:
-    return P.risk_files(risks(spark), R.districts(spark, d), list(S.FLOOD_SCENARIOS))
+    return P.risk_files(risks(spark, d), R.districts(spark, d), list(S.FLOOD_SCENARIOS))
 
 
 @query(f"WITH {R.FACILITIES} SELECT district, string_agg(DISTINCT category, ',' ORDER BY category) AS categories, count(*) FILTER (category IN ('metro', 'park'))::BIGINT AS n_visible FROM facilities GROUP BY 1")

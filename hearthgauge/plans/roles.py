@@ -9,14 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL")
 CATEGORIES = ("medical", "parking", "school", "park", "market", "library", "metro", "rail", "bus")
-#: (ord, district, level, rings): boxes, one ring with a hole, one concave; some overlap, so the first one matters.
-POLYGONS = (
-    (1, 0, "attention", [[(121.45, 24.95), (121.50, 24.95), (121.50, 25.00), (121.45, 25.00)]]),
-    (2, 0, "priority", [[(121.47, 24.97), (121.54, 24.97), (121.54, 25.04), (121.47, 25.04)], [(121.49, 24.99), (121.51, 24.99), (121.51, 25.01), (121.49, 25.01)]]),
-    (3, 1, "low", [[(121.45, 24.95), (121.55, 24.95), (121.50, 24.98), (121.55, 25.05), (121.45, 25.05)]]),
-    (4, 2, "priority", [[(121.46, 24.96), (121.52, 24.96), (121.49, 25.03)]]),
-    (5, 3, "attention", [[(121.45, 24.95), (121.55, 24.95), (121.55, 25.05), (121.45, 25.05)], [(121.47, 24.97), (121.53, 24.97), (121.53, 25.03), (121.47, 25.03)]]),
-)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,21 +96,50 @@ ACCIDENTS = f"""accidents AS (SELECT event_id AS id, user_id, (user_id % 5)::INT
   FROM events WHERE event_type IN ('error', 'purchase'))"""
 
 
-def polygons(spark: SparkSession) -> DataFrame:
-    rows = [(o, dist, level, [[{"lon": x, "lat": y} for x, y in ring] for ring in rings]) for o, dist, level, rings in POLYGONS]
-    return spark.createDataFrame(rows, "ord int, district int, level string, rings array<array<struct<lon:double,lat:double>>>")
+#: Shapes in turn by a row's key, each as rings of corners (x, y) from x, y and half of its width u and height v: a box,
+#: one with a hole, one with a notch, a triangle. Corners lie on the lattice of 10^-4 degrees on which the points lie.
+_SHAPES = (
+    [[("x", "y"), ("x + 2 * u", "y"), ("x + 2 * u", "y + 2 * v"), ("x", "y + 2 * v")]],
+    [[("x", "y"), ("x + 2 * u", "y"), ("x + 2 * u", "y + 2 * v"), ("x", "y + 2 * v")], [("x + 5", "y + 5"), ("x + 2 * u - 5", "y + 5"), ("x + 2 * u - 5", "y + 2 * v - 5"), ("x + 5", "y + 2 * v - 5")]],
+    [[("x", "y"), ("x + 2 * u", "y"), ("x + u", "y + v"), ("x + 2 * u", "y + 2 * v"), ("x", "y + 2 * v")]],
+    [[("x", "y"), ("x + 2 * u", "y + v"), ("x", "y + 2 * v")]],
+)
+#: By layer: table, key, district, and the least half width. Hazards may overlap, so the first one matters; a zone is its district's only one.
+_LAYERS = {"hazards": ("supplier", "s_suppkey", "s_suppkey % 5", 10), "zones": ("nation", "n_nationkey", "n_nationkey", 200)}
+_LEVEL = "CASE ord % 7 WHEN 0 THEN 'low' WHEN 1 THEN 'priority' WHEN 2 THEN 'attention' WHEN 3 THEN 'priority' WHEN 4 THEN 'attention' WHEN 5 THEN 'unlisted' ELSE 'low' END"
+
+
+def _bases(layer: str) -> dict[str, str]:
+    _, key, district, least = _LAYERS[layer]
+    k = f"CAST({key} AS BIGINT)"
+    return {"ord": k, "district": f"CAST({district} AS INT)", "x": f"{k} * 7919 % 900 - {least - 10}", "y": f"{k} * 104729 % 900 - {least - 10}", "u": f"{least} + {k} * 37 % 65", "v": f"{least} + {k} * 53 % 65"}
+
+
+def _degrees(x: str, y: str) -> tuple[str, str]:
+    return f"CAST(121.45 AS DOUBLE) + ({x}) * CAST(0.0001 AS DOUBLE)", f"CAST(24.95 AS DOUBLE) + ({y}) * CAST(0.0001 AS DOUBLE)"
+
+
+def polygons(spark: SparkSession, d: str, layer: str = "hazards") -> DataFrame:
+    """Polygons (ord, district, level, rings), one for each row of the layer's table."""
+    corner = lambda x, y: "named_struct('lon', {}, 'lat', {})".format(*_degrees(x, y))
+    shapes = ["array(" + ", ".join("array(" + ", ".join(corner(*p) for p in ring) + ")" for ring in rings) + ")" for rings in _SHAPES]
+    rings = "CASE ord % 4 " + " ".join(f"WHEN {k} THEN {shape}" for k, shape in enumerate(shapes)) + " END"
+    base = table(spark, d, _LAYERS[layer][0]).select(*(F.expr(e).alias(n) for n, e in _bases(layer).items()))
+    return base.select("ord", "district", F.expr(_LEVEL).alias("level"), F.expr(rings).alias("rings"))
 
 
-def _edges_sql() -> str:
+def _edges_sql(layer: str) -> str:
+    base = ", ".join(f"{e} AS {n}" for n, e in _bases(layer).items())
     out = []
-    for o, dist, level, rings in POLYGONS:
+    for k, rings in enumerate(_SHAPES):
         for ring in rings:
             for a, b in zip(ring, ring[1:] + ring[:1], strict=True):
-                out.append(f"({o}, {dist}, '{level}', {a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]}::DOUBLE)")
-    return "edges(pord, pdistrict, level, x1, y1, x2, y2) AS (VALUES " + ", ".join(out) + ")"
+                (x1, y1), (x2, y2) = _degrees(*a), _degrees(*b)
+                out.append(f"SELECT ord AS pord, district AS pdistrict, {_LEVEL} AS level, {x1} AS x1, {y1} AS y1, {x2} AS x2, {y2} AS y2 FROM base WHERE ord % 4 = {k}")
+    return f"edges AS (WITH base AS (SELECT {base} FROM {_LAYERS[layer][0]}) " + " UNION ALL ".join(out) + ")"
 
 
-EDGES = _edges_sql()
+EDGES, ZONE_EDGES = _edges_sql("hazards"), _edges_sql("zones")
 #: Polygons that hold a point of `pts`, by an odd number of crossings or a place on an edge.
 HELD = """held AS (SELECT p.pid, p.district, e.pord, e.pdistrict, e.level FROM pts p JOIN edges e ON true GROUP BY ALL
   HAVING count(*) FILTER ((y1 > p_lat) <> (y2 > p_lat) AND p_lon < (x2 - x1) * (p_lat - y1) / (y2 - y1) + x1) % 2 = 1

@@ -67,7 +67,9 @@ def test_merge_queries(spark):
 
 def test_interior_points(spark):
     got = {r.ord: r for r in P.interior_points(spark, SF).collect()}
-    for o, _, _, rings in P.R.POLYGONS:
+    shapes = {r.ord: [[(p.lon, p.lat) for p in ring] for ring in r.rings] for r in P.R.polygons(spark, SF).collect()}
+    assert len(shapes) == spark.read.parquet(f"{SF}/supplier.parquet").count()
+    for o, rings in shapes.items():
         edges = [(a, b) for ring in rings for a, b in zip(ring, ring[1:] + ring[:1], strict=True)]
         xs, ys = [p[0] for ring in rings for p in ring], [p[1] for ring in rings for p in ring]
 

@@ -117,3 +117,17 @@ def test_merge_and_upsert(spark):
     old, new = spark.createDataFrame([(1, "o"), (2, "o")], "id int, v string"), spark.createDataFrame([(2, "n"), (3, "n")], "id int, v string")
     assert sorted(map(tuple, M.merge_readiness(old, new).collect())) == [(1, "o"), (2, "n"), (3, "n")]
     assert sorted(map(tuple, J.upsert(old, new, ["id"], False).collect())) == [(1, "o"), (2, "o"), (3, "n")]
+
+
+def test_interior_point_keeps_off_excluded_polygons(spark):
+    zone = shapes(spark).where("ord = 2").withColumn("part", F.lit("p"))
+    box = lambda w, e: [[{"lon": w, "lat": 25.0}, {"lon": e, "lat": 25.0}, {"lon": e, "lat": 25.1}, {"lon": w, "lat": 25.1}]]
+    held = spark.createDataFrame([("p", 1, box(121.0, 121.05)), ("p", 2, box(121.04, 121.06)), ("other", 3, box(121.06, 121.1))], "part string, ord int, rings array<array<struct<lon:double,lat:double>>>")
+    excluded = G.with_bounds(G.edge_table(held, ["part", "ord"]), ["part", "ord"]).withColumn("lat", F.lit(0.0))
+    free, kept = G.interior_point(zone, ["ord"]).first(), G.interior_point(zone, ["ord"], excluded=excluded, on=["part"]).first()
+    assert (round(free.lon, 6), round(free.lat, 6)) == (121.05, 25.05) or abs(free.edge_distance - 0.05 * 111000 * 0.9058) < 30
+    assert abs(kept.lon - 121.08) < 0.0026 and kept.edge_distance < free.edge_distance
+    whole = excluded.withColumn("part", F.lit("p"))
+    assert G.interior_point(zone, ["ord"], excluded=whole, on=["part"]).isEmpty()
+    none = G.interior_point(zone, ["ord"], excluded=excluded.where("false"), on=["part"]).first()
+    assert none == free
