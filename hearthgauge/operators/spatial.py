@@ -82,30 +82,50 @@ def first_match(points: DataFrame, matches: DataFrame, key: list[str], order: st
     return points.join(best, key, "left").select(*points.columns, *(F.col(f"__m.{v}").alias(v) for v in values))
 
 
-def nearest(left: DataFrame, right: DataFrame, group: list[str], key: list[str], category: str, order: str, values: list[str], radius: float = 1000.0, growth: float = 4.0, rounds: int = 4) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, group: list[str], key: list[str], category: str, order: str, values: list[str], cell: float = 250.0, levels: int = 18) -> DataFrame:
     """Per row of `left` (key, lat, lon) and category of `right` in its group: distance and `values` of the nearest there.
 
-    The answer looks at the whole group (a district) and not beyond it, ties by `order`. It is found in growing circles:
-    a match within a circle is the nearest one for sure, and only what has none goes on to the next, `growth` times as
-    wide. After the last circle the few left are compared with their whole group and category. So the rows of a group
-    never all meet each other; each round is written to the shared folder. Null coordinates have no nearest.
+    The answer looks at the whole group (a district) and not beyond it, ties by `order`. Cells of `cell` metres, and of
+    twice the size on each of `levels`, tell how far each place has to look: on the first level on which its cell or one
+    beside it holds a row of the category, that row is less than two cells off either way, so all that can be nearer is
+    in the cells around as many as that distance spans (three, and more of longitude where degrees are short). So each
+    row meets, once, those of the cells that fit what is around it, and no group meets itself; the last levels are wider
+    than the Earth, so every row has its answer. What places have to look at is worked out for occupied cells, not rows.
+    Null coordinates have no nearest. Nothing is written. For latitudes up to 75 degrees; the date line is a border.
     """
-    scratch = Scratch(left.sparkSession, "nearest")
-    ranked = F.min(F.struct("distance", order, *values)).alias("m")
-    left, right = (x.where("lat IS NOT NULL AND lon IS NOT NULL") for x in (left, right))
-    there = right.select(*group, category, order, *values, "lat", "lon")
-    left_over = left.select(*group, *key, "lat", "lon").join(right.select(*group, category).distinct(), group)
-    found = []
-    for k in range(rounds):
-        met = radius_join(left_over, there, radius * growth**k, on=[*group, category])
-        found.append(scratch.save(met.groupBy(*key, category).agg(ranked), f"found-{k}"))
-        left_over = scratch.save(left_over.join(found[-1].select(*key, category), [*key, category], "left_anti"), f"left-{k}")
-        if left_over.isEmpty():
-            break
-    else:
-        rest = left_over.join(there.withColumnsRenamed({"lat": "__lat", "lon": "__lon"}), [*group, category])
-        found.append(rest.withColumn("distance", haversine(F.col("lat"), F.col("lon"), F.col("__lat"), F.col("__lon"))).groupBy(*key, category).agg(ranked))
-    return reduce(DataFrame.unionByName, found).select(*key, category, F.col("m.distance").alias("distance"), *(F.col(f"m.{v}").alias(v) for v in values))
+    size = _cells(cell, 60.0)
+    left, right = (x.where("lat IS NOT NULL AND lon IS NOT NULL").withColumns({"__i": F.floor(F.col("lat") / size), "__j": F.floor(F.col("lon") / size)}) for x in (left, right))
+    there = right.select(*group, category, order, *values, F.col("lat").alias("__lat"), F.col("lon").alias("__lon"), "__i", "__j")
+    place = ["__k", "__a", "__b"]
+
+    def on_level(df: DataFrame, level: Column) -> DataFrame:
+        """`df` with the cell that holds its own on a level: cells of one level are made of four of the one below."""
+        up = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("__k"))).cast("bigint")
+        return df.withColumn("__k", level).withColumns({"__a": up("__i"), "__b": up("__j")})
+
+    def beside(df: DataFrame, high: Column, wide: Column) -> DataFrame:
+        """`df` once for its own cell and each of those up to `high` and `wide` cells from it."""
+        around = lambda c, n: F.explode(F.sequence(F.col(c) - n, F.col(c) + n))
+        return df.withColumn("__a", around("__a", high)).withColumn("__b", around("__b", wide))
+
+    def spans(lat: Column, side: Column) -> tuple[Column, Column]:
+        """Cells of `side` degrees, of latitude and of longitude, that may hold what is nearer than two cells each way."""
+        shrink = F.cos(F.radians(F.least(F.abs(lat) + side * 4, F.lit(89.0))))
+        slack = F.when(side <= 0.1, 1.001).otherwise(1.1)
+        wide = F.least(F.ceil(2 * slack * F.sqrt(1 + 1 / (shrink * shrink))), F.ceil(360 / side) + 1)
+        return F.when(side <= 0.1, 3).otherwise(4).cast("bigint"), F.when(side > 5, F.ceil(360 / side) + 1).otherwise(wide).cast("bigint")
+
+    every = F.explode(F.sequence(F.lit(0), F.lit(levels)))
+    occupied = on_level(right.select(*group, category, "__i", "__j").distinct(), every).select(*group, category, *place).distinct()
+    reached = beside(occupied, F.lit(1).cast("bigint"), F.lit(1).cast("bigint")).distinct()
+    cells = on_level(left.select(*group, "__i", "__j").distinct(), every)
+    looks = cells.join(reached, [*group, *place]).groupBy(*group, category, "__i", "__j").agg(F.min("__k").alias("__k"))
+    own = on_level(left.select(*group, *key, "lat", "lon", "__i", "__j").join(looks, [*group, "__i", "__j"]), F.col("__k")).drop("__i", "__j")
+    asked = beside(own, *spans(F.col("lat"), size * F.pow(F.lit(2.0), F.col("__k"))))
+    dealt = on_level(there, every).drop("__i", "__j")
+    met = asked.join(dealt, [*group, category, *place]).withColumn("distance", haversine(F.col("lat"), F.col("lon"), F.col("__lat"), F.col("__lon")))
+    best = met.groupBy(*key, category).agg(F.min(F.struct("distance", order, *values)).alias("m"))
+    return best.select(*key, category, F.col("m.distance").alias("distance"), *(F.col(f"m.{v}").alias(v) for v in values))
 
 
 def in_own_polygon(points: DataFrame, polygons: DataFrame, on: list[str], tolerance: float = 0.0) -> DataFrame:

@@ -131,3 +131,19 @@ def test_interior_point_keeps_off_excluded_polygons(spark):
     assert G.interior_point(zone, ["ord"], excluded=whole, on=["part"]).isEmpty()
     none = G.interior_point(zone, ["ord"], excluded=excluded.where("false"), on=["part"]).first()
     assert none == free
+
+
+def test_nearest_equals_all_pairs(spark):
+    rng = random.Random(11)
+    spots = lambda n, lat, wide: [(lat + rng.gauss(0, wide), 121.5 + rng.gauss(0, wide * 2)) for _ in range(n)]
+    left = [(k, g, *p) for g, (lat, wide) in enumerate([(25.0, 0.02), (60.0, 0.05), (25.0, 3.0), (-70.0, 0.3), (40.0, 8.0)]) for k, p in enumerate(spots(40, lat, wide), 100 * g)]
+    right = [(k, g, f"c{k % 3}", *p) for g, (lat, wide) in enumerate([(25.0, 0.02), (60.0, 0.05), (25.5, 3.0), (-70.0, 0.3), (30.0, 8.0)]) for k, p in enumerate(spots(30, lat, wide), 1000 * g)]
+    # a far row alone of its kind, a tie at one coordinate, rows without a coordinate
+    right += [(7, 0, "far", -10.0, 20.0), (9001, 1, "tie", 60.0, 121.5), (9000, 1, "tie", 60.0, 121.5), (1, 0, "c0", None, 121.0), (2, 9, "c0", 25.0, 121.0)]
+    left += [(999, 0, None, 121.0), (998, 8, 25.0, 121.0)]
+    a = spark.createDataFrame(left, "id int, g int, lat double, lon double")
+    b = spark.createDataFrame(right, "o int, g int, kind string, lat double, lon double")
+    got = {(r.id, r.kind): (r.o, round(r.distance, 3)) for r in G.nearest(a, b.withColumn("name", F.col("o")), ["g"], ["id"], "kind", "o", ["name"]).withColumnRenamed("name", "o").collect()}
+    every = a.join(b.withColumnsRenamed({"lat": "la", "lon": "lo"}), "g").withColumn("m", A.haversine(F.col("lat"), F.col("lon"), F.col("la"), F.col("lo"))).where("m IS NOT NULL")
+    want = {(r.id, r.kind): (r.x.o, round(r.x.m, 3)) for r in every.groupBy("id", "kind").agg(F.min(F.struct("m", "o")).alias("x")).collect()}
+    assert got == want and len(want) == 5 * 40 * 3 + 40 + 40
