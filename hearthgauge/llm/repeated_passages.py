@@ -11,8 +11,10 @@ Pass 2: windows with two such bits, which are those of several batches and a few
 of hash; a batch is told which of its windows start in a smaller document of another batch.
 Pass 3 removes words, by what the batch was told and by its own smallest documents.
 
-The sketch has CELLS_PER_WINDOW cells a window, so it grows with the text and filters alike at every size; its ranges
-grow too, up to RANGE_BITS[1], so that their number stays bounded, and one range is all that a task holds of it.
+The sketch has CELLS_PER_WINDOW cells a window, so it grows with the text and filters alike at every size; one range is
+all that a task holds of it. Ranges grow with the sketch up to RANGE_BITS[1], so up to about 1.6 TB of text a row of the
+sketch has 2**RANGES_BITS ranges at most, and a batch sends some 40 windows in one shuffled row. Beyond that the number of
+ranges grows: results stay the same, but at 100 TB a shuffled row holds one or two windows.
 """
 
 from __future__ import annotations
