@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.geo import planar
+from ..functions.names import address_variants, nfkc, normal_address
 
 
 def ambiguity_index(rows: DataFrame, keys: list[str], order: Column | str, tolerance: float) -> DataFrame:
@@ -44,6 +45,17 @@ def lookup_variants(rows: DataFrame, index: DataFrame, key: list[str], on: list[
     return out.withColumn("match_status", state).withColumns({"matched_lat": F.when(state == "matched", F.col("__low.lat")), "matched_lon": F.when(state == "matched", F.col("__low.lon"))}).drop("__any", "__low", "__high")
 
 
+def lookup_addresses(rows: DataFrame, index: DataFrame, key: list[str], addresses: list[str], city: Column, district: str, name: str = "address") -> DataFrame:
+    """`rows` located by one or more of their address texts (as written, as simplified) in `index` (district, name).
+
+    Each text is looked up in all the ways in which it may stand in the register. What all texts hit is judged together:
+    any ambiguous hit makes the row ambiguous, and so do hits at different coordinates. Null and blank texts hit nothing.
+    """
+    ways = lambda a: F.transform(address_variants(nfkc(F.col(a)), F.col(district)), lambda v: normal_address(v, city, F.col(district)))
+    forms = F.filter(F.flatten(F.array(*map(ways, addresses))), lambda v: v != "")
+    return lookup_variants(rows.withColumn("__forms", forms), index, key, [district], "__forms", name).drop("__forms")
+
+
 def with_fallback(first: DataFrame, second: DataFrame, key: list[str], only_unmatched: bool = False) -> DataFrame:
     """`first` (a lookup's result) with `second`'s coordinate where the first gave none, and location_method.
 

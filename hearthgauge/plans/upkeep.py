@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import audits as U
+from ..operators import audits as U, lookup as J
 from ..sources.scratch import Scratch
 from ..streaming import address_index as X
 from . import roles as R
@@ -176,6 +176,29 @@ def stall_classification(spark: SparkSession, d: str) -> DataFrame:
     return U.classify_stalls(rows, "market", [f"c{k}" for k in range(6)]).select("name", F.col("fresh_stalls").alias("stalls"), "n")
 
 
+# ---- schools by two addresses ------------------------------------------------------------------------------
+
+_REGISTER = {"district": _pick("p_partkey", "'大安區'", "'信義區'", "'中山區'"), "address": "concat('和平路', p_partkey % 40, '號')", "ord": "p_partkey"}
+_SCHOOL = {
+    "id": "c_custkey",
+    "district": _pick("c_custkey", "'大安區'", "'信義區'", "'中山區'"),
+    "raw": f"concat('臺北市', {_pick('c_custkey', chr(39) + '大安區' + chr(39), chr(39) + '信義區' + chr(39), chr(39) + '中山區' + chr(39))}, '和平路', c_custkey % 50, {_pick('c_custkey', *(chr(39) + t + chr(39) for t in ('號三樓', '號', '號之1', '號', '號五樓')))})",
+    "simple": f"CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE concat({_pick('c_custkey', chr(39) + '大安區' + chr(39), chr(39) + '信義區' + chr(39), chr(39) + '中山區' + chr(39))}, '福安里和平路', CASE WHEN c_custkey % 4 = 0 THEN c_custkey % 50 ELSE c_custkey * 7 % 50 END, '號') END",
+}
+
+
+@query(f"""WITH raw AS (SELECT *, {R._sql_point('ord')} FROM ({raw_sql('part', _REGISTER)})), firsts AS (SELECT district, address, arg_min(lat, ord) AS lat0, arg_min(lon, ord) AS lon0 FROM raw GROUP BY ALL),
+idx AS (SELECT district, address, lat0, lon0, bool_or(sqrt(pow((lat - lat0) * 111000, 2) + pow((lon - lon0) * 101000, 2)) > 9000) AS amb FROM raw JOIN firsts USING (district, address) GROUP BY ALL),
+t AS (SELECT id, district, regexp_extract(unnest([raw, simple]), '(和平路[0-9]+號(之1)?)', 1) AS address FROM ({raw_sql('customer', _SCHOOL)})),
+h AS (SELECT id, bool_or(amb) AS amb, count(DISTINCT (round(lat0, 7), round(lon0, 7))) AS k, min(lat0) AS lat FROM t JOIN idx USING (district, address) GROUP BY 1)
+SELECT c_custkey AS id, CASE WHEN k IS NULL THEN 'unmatched' WHEN amb OR k > 1 THEN 'ambiguous' ELSE 'matched' END AS match_status, CASE WHEN NOT amb AND k = 1 THEN {cuts('lat', 4)} END AS lat FROM customer LEFT JOIN h ON id = c_custkey""")
+def school_address_match(spark: SparkSession, d: str) -> DataFrame:
+    register = raw(spark, d, "part", _REGISTER).withColumns({"lat": R.lat("ord"), "lon": R.lon("ord")})
+    index = J.ambiguity_index(register, ["district", "address"], "ord", 9000.0)
+    out = J.lookup_addresses(raw(spark, d, "customer", _SCHOOL), index, ["id"], ["raw", "simple"], F.lit("臺北市"), "district")
+    return out.select("id", "match_status", cut(F.col("matched_lat"), 4).alias("lat"))
+
+
 # ---- the index of a stream ---------------------------------------------------------------------------------
 
 

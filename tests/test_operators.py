@@ -147,3 +147,12 @@ def test_nearest_equals_all_pairs(spark):
     every = a.join(b.withColumnsRenamed({"lat": "la", "lon": "lo"}), "g").withColumn("m", A.haversine(F.col("lat"), F.col("lon"), F.col("la"), F.col("lo"))).where("m IS NOT NULL")
     want = {(r.id, r.kind): (r.x.o, round(r.x.m, 3)) for r in every.groupBy("id", "kind").agg(F.min(F.struct("m", "o")).alias("x")).collect()}
     assert got == want and len(want) == 5 * 40 * 3 + 40 + 40
+
+
+def test_lookup_by_several_addresses(spark):
+    index = spark.createDataFrame([("大安區", "和平路1號", 25.0, 121.0, False), ("大安區", "和平路2號", 25.0, 121.0, False), ("大安區", "和平路3號", 25.1, 121.0, False), ("大安區", "和平路4號", 25.2, 121.0, True)], "district string, address string, lat double, lon double, is_ambiguous boolean")
+    cases = [("和平路１號", None, "matched"), ("和平路1號", "大安區龍泉里和平路2號", "matched"), ("和平路1號", "和平路3號", "ambiguous"), ("和平路4號", "和平路1號", "ambiguous"), ("和平路9號", "", "unmatched"), (None, None, "unmatched"), ("和平路9號", "臺北市大安區和平路三號", "matched")]
+    rows = spark.createDataFrame([(k, "大安區", a, b) for k, (a, b, _) in enumerate(cases)] + [(99, None, "和平路1號", None)], "id int, district string, raw string, simple string")
+    got = {r.id: (r.match_status, r.matched_lat) for r in J.lookup_addresses(rows, index, ["id"], ["raw", "simple"], F.lit("臺北市"), "district").collect()}
+    assert {k: s for k, (s, _) in got.items()} == {**{k: s for k, (*_, s) in enumerate(cases)}, 99: "unmatched"}
+    assert got[0][1] == 25.0 and got[6][1] == 25.1 and got[2][1] is None
