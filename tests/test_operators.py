@@ -156,3 +156,13 @@ def test_lookup_by_several_addresses(spark):
     got = {r.id: (r.match_status, r.matched_lat) for r in J.lookup_addresses(rows, index, ["id"], ["raw", "simple"], F.lit("臺北市"), "district").collect()}
     assert {k: s for k, (s, _) in got.items()} == {**{k: s for k, (*_, s) in enumerate(cases)}, 99: "unmatched"}
     assert got[0][1] == 25.0 and got[6][1] == 25.1 and got[2][1] is None
+
+
+def test_nearest_broadcasts_no_side_dealt_to_cells(spark):
+    left = spark.range(4000).select("id", F.lit("g").alias("g"), (25 + F.col("id") % 4 / 1000).alias("lat"), F.lit(121.5).alias("lon"))
+    right = spark.range(3000).select(F.col("id").alias("o"), F.lit("g").alias("g"), F.lit("c").alias("kind"), (25 + F.col("id") % 3 / 1000).alias("lat"), F.lit(121.5).alias("lon"))
+    out = G.nearest(left, right.withColumn("name", F.col("o")), ["g"], ["id"], "kind", "o", ["name"])
+    plan = out._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert not [x for x in plan if "BroadcastHashJoin" in x and "__k#" in x] and [x for x in plan if "SortMergeJoin" in x and "__k#" in x]
+    got = out.collect()
+    assert len(got) == 4000 and {(r.id % 4, r.name, round(r.distance)) for r in got} == {(0, 0, 0), (1, 1, 0), (2, 2, 0), (3, 2, 111)}
