@@ -166,3 +166,37 @@ def test_nearest_broadcasts_no_side_dealt_to_cells(spark):
     assert not [x for x in plan if "BroadcastHashJoin" in x and "__k#" in x] and [x for x in plan if "SortMergeJoin" in x and "__k#" in x]
     got = out.collect()
     assert len(got) == 4000 and {(r.id % 4, r.name, round(r.distance)) for r in got} == {(0, 0, 0), (1, 1, 0), (2, 2, 0), (3, 2, 111)}
+
+
+@pytest.fixture
+def crowded(spark):
+    """2,000 properties and 2,000 rows of two places in a district, 111 m apart."""
+    one = lambda key: spark.range(2000).select(F.col("id").alias(key), F.lit(1).alias("district"), (25 + F.col("id") % 2 / 1000).alias("lat"), F.lit(121.5).alias("lon"))
+    lost = spark.createDataFrame([(2000, 1, None, 121.5), (2001, 2, 25.0, 121.5)], "property_id long, district int, lat double, lon double")
+    return one("property_id").unionByName(lost), one("ord").drop("ord").withColumn("k", F.monotonically_increasing_id())
+
+
+def met(df) -> int:
+    """Rows that the joins of an executed frame gave, but for the one that gives its rows back."""
+    df.collect()
+    plan, seen = [df._jdf.queryExecution().executedPlan()], []
+    while plan:
+        p = plan.pop()
+        if p.nodeName() == "AdaptiveSparkPlan":
+            plan.append(p.executedPlan())
+            continue
+        if p.nodeName().endswith("QueryStage"):
+            plan.append(p.plan())
+            continue
+        if "Join" in p.nodeName():
+            seen.append(p.metrics().apply("numOutputRows").value())
+        plan += [p.children().apply(k) for k in range(p.children().size())]
+    return max(seen)
+
+
+def test_radius_counts_by_place(spark, crowded):
+    properties, rows = crowded
+    out = A.radius_counts(properties, rows.withColumn("category", F.when(F.col("k") % 2 == 0, "bus").otherwise("park")), 500)
+    assert met(out) <= 2002
+    assert {(r.n_bus + r.n_park, r.n_park == r.facility_count) for r in out.where("property_id < 2000").collect()} == {(2000, True)}
+    assert {(r.n_bus, r.facility_count) for r in out.where("property_id >= 2000").collect()} == {(0, 0)}
