@@ -200,3 +200,10 @@ def test_radius_counts_by_place(spark, crowded):
     assert met(out) <= 2002
     assert {(r.n_bus + r.n_park, r.n_park == r.facility_count) for r in out.where("property_id < 2000").collect()} == {(2000, True)}
     assert {(r.n_bus, r.facility_count) for r in out.where("property_id >= 2000").collect()} == {(0, 0)}
+
+
+def test_school_levels_by_place(spark, crowded):
+    properties, rows = crowded
+    out = A.school_levels(properties, rows.withColumn("levels", F.when(F.col("k") % 2 == 0, F.array(F.lit("junior"), F.lit("senior"))).otherwise(F.array(F.lit("junior")))), 500)
+    assert met(out) <= 2002
+    assert {(r.junior > r.senior > 0, r.junior, r.special) for r in out.where("property_id < 2000").collect()} == {(True, 2000, 0)}
