@@ -207,3 +207,27 @@ def test_school_levels_by_place(spark, crowded):
     out = A.school_levels(properties, rows.withColumn("levels", F.when(F.col("k") % 2 == 0, F.array(F.lit("junior"), F.lit("senior"))).otherwise(F.array(F.lit("junior")))), 500)
     assert met(out) <= 2002
     assert {(r.junior > r.senior > 0, r.junior, r.special) for r in out.where("property_id < 2000").collect()} == {(True, 2000, 0)}
+
+
+@pytest.fixture
+def crowded_tables(spark, tmp_path):
+    """Tables of sf0.001 with its customers ten times."""
+    from hearthgauge.plans import roles as R
+
+    small = "/root/testdata/sf0.001"
+    for name in ("nation", "supplier", "region"):
+        R.table(spark, small, name).write.parquet(str(tmp_path / f"{name}.parquet"))
+    rows = R.table(spark, small, "customer").crossJoin(spark.range(10).withColumnRenamed("id", "copy"))
+    rows.withColumn("c_custkey", F.col("c_custkey") + F.col("copy") * 10000).drop("copy").write.parquet(str(tmp_path / "customer.parquet"))
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ["pip_first_match"])
+def test_polygons_meet_places(spark, crowded_tables, name):
+    from hearthgauge.plans import queries as P
+
+    out = P.QUERIES[name](spark, crowded_tables)
+    n = spark.read.parquet(f"{crowded_tables}/customer.parquet").count()
+    assert out.count() == n and met(out) <= n
+    copies = out.withColumn("k", F.col("property_id") % 10000).drop("property_id").distinct()
+    assert copies.count() == n // 10 and copies.select(*copies.columns[:-1]).distinct().count() > 1
