@@ -74,10 +74,14 @@ def evaluate_audit(samples: DataFrame, group: str, ident: str, order: str, each:
     return own.withColumn("passed", (F.col("matched") >= each) & (F.col("mismatched") == 0) & (F.col("kinds") >= least_kinds))
 
 
-def resolve_evidence(points: DataFrame, matches: DataFrame, key: list[str], category: str, known: list[str]) -> DataFrame:
-    """Per point: unconfirmed without a match, blocked with several or an unknown class, else resolved with its class."""
-    n = matches.groupBy(*key).agg(F.count("*").alias("n_matches"), F.min(category).alias("category"))
-    out = points.select(*key).join(n, key, "left").withColumn("n_matches", F.coalesce("n_matches", F.lit(0)))
+def resolve_evidence(points: DataFrame, matches: DataFrame, key: list[str], category: str, known: list[str], by: list[str] | None = None) -> DataFrame:
+    """Per point: unconfirmed without a match, blocked with several or an unknown class, else resolved with its class.
+
+    by: columns that points and matches share, in place of the key, where points of one place have one row of matches.
+    """
+    by = by or key
+    n = matches.groupBy(*by).agg(F.count("*").alias("n_matches"), F.min(category).alias("category"))
+    out = points.select(*key, *(c for c in by if c not in key)).join(n, by, "left").withColumn("n_matches", F.coalesce("n_matches", F.lit(0)))
     state = F.when(F.col("n_matches") == 0, "unconfirmed").when(F.col("n_matches") > 1, "blocked").when(F.col("category").isin(*known), "resolved").otherwise("blocked")
     return out.select(*key, "n_matches", state.alias("evidence"), F.when(state == "resolved", F.col("category")).alias("category"))
 

@@ -222,7 +222,7 @@ def crowded_tables(spark, tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["pip_first_match", "pip_district_cardinality"])
+@pytest.mark.parametrize("name", ["pip_first_match", "pip_district_cardinality", "evidence_resolve"])
 def test_polygons_meet_places(spark, crowded_tables, name):
     from hearthgauge.plans import queries as P
 
