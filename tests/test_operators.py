@@ -231,3 +231,18 @@ def test_polygons_meet_places(spark, crowded_tables, name):
     assert out.count() == n and met(out) <= n
     copies = out.withColumn("k", F.col("property_id") % 10000).drop("property_id").distinct()
     assert copies.count() == n // 10 and copies.select(*copies.columns[:-1]).distinct().count() > 1
+
+
+@pytest.fixture
+def priced(spark, crowded):
+    """The crowded properties, with 8 sales at each place and 4 years of sale."""
+    terms = {"total_price": F.lit(100.0), "area_ping": F.lit(10.0), "parking_price": F.lit(0.0), "parking_area_ping": F.lit(0.0)}
+    properties = crowded[0].withColumns({"p_age": F.lit(5), "p_type": F.lit("t"), **terms})
+    sales = spark.range(16).select(F.lit(1).alias("district"), (25 + F.col("id") % 2 / 1000).alias("lat"), F.lit(121.5).alias("lon"), F.lit(9).alias("age"), F.lit("t").alias("building_type"), F.lit(False).alias("special"), F.make_date(F.lit(2000) + (F.col("id") % 4).cast("int"), F.lit(1), F.lit(1)).alias("date"), *(c.alias(n) for n, c in terms.items()))
+    return properties, sales.withColumn("total_price", F.col("total_price") + F.monotonically_increasing_id() % 2)
+
+
+def test_comparable_radius_meets_questions(priced):
+    out = A.comparable_radius(*priced)
+    assert met(out) <= 2002
+    assert {(r.radius_used, r.n, round(r.farthest)) for r in out.collect()} == {(500, 16, 111)} and out.count() == 2000
