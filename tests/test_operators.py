@@ -246,3 +246,19 @@ def test_comparable_radius_meets_questions(priced):
     out = A.comparable_radius(*priced)
     assert met(out) <= 2002
     assert {(r.radius_used, r.n, round(r.farthest)) for r in out.collect()} == {(500, 16, 111)} and out.count() == 2000
+
+
+@pytest.mark.parametrize("name", ["price_analysis"])
+def test_prices_meet_questions(priced, name):
+    properties, sales = priced
+    out = getattr(A, name)(properties, sales)
+    rows = 8000 if name == "price_trend" else 2002
+    assert met(out) <= rows
+    got = {r.property_id: r for r in out.collect()} if name != "price_trend" else {}
+    if name == "price_analysis":
+        assert {(r.sample_count, r.median, r.q1, r.q3) for k, r in got.items() if k < 2000} == {(16, 10.05, 10.0, 10.1)}
+        assert {(r.sample_count, r.insufficient, r.radius_used) for k, r in got.items() if k >= 2000} == {(0, True, 1000)} and len(got) == 2002
+    elif name == "price_trend":
+        assert {(r.year, r.sample_count) for r in out.collect()} == {(y, 4) for y in range(2000, 2004)} and out.count() == 8000
+    else:
+        assert {(len(r.trend), tuple(r.low_sample_years)) for r in got.values()} == {(4, (2000, 2001, 2002, 2003))} and len(got) == 2000
