@@ -248,7 +248,7 @@ def test_comparable_radius_meets_questions(priced):
     assert {(r.radius_used, r.n, round(r.farthest)) for r in out.collect()} == {(500, 16, 111)} and out.count() == 2000
 
 
-@pytest.mark.parametrize("name", ["price_analysis", "price_trend"])
+@pytest.mark.parametrize("name", ["price_analysis", "price_trend", "price_trend_arrays"])
 def test_prices_meet_questions(priced, name):
     properties, sales = priced
     out = getattr(A, name)(properties, sales)
