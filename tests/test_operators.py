@@ -262,3 +262,12 @@ def test_prices_meet_questions(priced, name):
         assert {(r.year, r.sample_count) for r in out.collect()} == {(y, 4) for y in range(2000, 2004)} and out.count() == 8000
     else:
         assert {(len(r.trend), tuple(r.low_sample_years)) for r in got.values()} == {(4, (2000, 2001, 2002, 2003))} and len(got) == 2000
+
+
+def test_price_and_trend_is_both(priced):
+    properties, sales = priced
+    own, price = A.price_and_trend(properties, sales), A.price_analysis(properties, sales)
+    assert met(own) <= 2002
+    assert sorted(map(tuple, own.drop("trend").collect())) == sorted(map(tuple, price.collect()))
+    trends = {r.property_id: r.trend for r in A.price_trend_arrays(properties, sales).collect()}
+    assert {r.property_id: r.trend for r in own.where("trend IS NOT NULL").collect()} == trends and len(trends) == 2000
