@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -271,3 +272,11 @@ def test_price_and_trend_is_both(priced):
     assert sorted(map(tuple, own.drop("trend").collect())) == sorted(map(tuple, price.collect()))
     trends = {r.property_id: r.trend for r in A.price_trend_arrays(properties, sales).collect()}
     assert {r.property_id: r.trend for r in own.where("trend IS NOT NULL").collect()} == trends and len(trends) == 2000
+
+
+def test_interior_points_of_many_polygons(spark):
+    rows = spark.range(3000).select(F.col("id").alias("ord"), F.array(F.array(*(F.struct((121.5 + F.col("id") * 1e-4 + x).alias("lon"), (25 + F.col("id") % 7 * 1e-4 + y).alias("lat")) for x, y in ((0.0, 0.0), (0.01, 0.0), (0.01, 0.008), (0.0, 0.008))))).alias("rings"))
+    began = time.monotonic()
+    got = G.interior_point(G.with_bounds(G.edge_table(rows, ["ord"]), ["ord"]), ["ord"]).collect()
+    assert time.monotonic() - began < 40
+    assert len(got) == 3000 and all(abs(r.lat - 25 - r.ord % 7 * 1e-4 - 0.004) < 1e-9 and abs(r.edge_distance - 0.004 * 111000) < 1e-5 for r in got)
