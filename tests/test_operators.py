@@ -280,3 +280,10 @@ def test_interior_points_of_many_polygons(spark):
     got = G.interior_point(G.with_bounds(G.edge_table(rows, ["ord"]), ["ord"]), ["ord"]).collect()
     assert time.monotonic() - began < 40
     assert len(got) == 3000 and all(abs(r.lat - 25 - r.ord % 7 * 1e-4 - 0.004) < 1e-9 and abs(r.edge_distance - 0.004 * 111000) < 1e-5 for r in got)
+
+
+def test_covered_grid_points_meet_one_polygon(spark):
+    zone = shapes(spark).where("ord = 2").withColumn("part", F.lit("p"))
+    free = zone.withColumns({"ord": F.lit(3), "part": F.lit("q")})
+    out = G.interior_point(zone.unionByName(free), ["ord"], excluded=zone.drop("ord").crossJoin(spark.range(2000)), on=["part"])
+    assert met(out) <= 2000 and [r.ord for r in out.collect()] == [3]
