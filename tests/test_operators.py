@@ -212,12 +212,14 @@ def test_school_levels_by_place(spark, crowded):
 
 @pytest.fixture
 def crowded_tables(spark, tmp_path):
-    """Tables of sf0.001 with its customers ten times."""
+    """Tables of sf0.001 with its customers ten times and its suppliers a hundred times."""
     from hearthgauge.plans import roles as R
 
     small = "/root/testdata/sf0.001"
-    for name in ("nation", "supplier", "region"):
+    for name in ("nation", "region"):
         R.table(spark, small, name).write.parquet(str(tmp_path / f"{name}.parquet"))
+    rows = R.table(spark, small, "supplier").crossJoin(spark.range(100).withColumnRenamed("id", "copy"))
+    rows.withColumn("s_suppkey", F.col("s_suppkey") + F.col("copy") * 1000).drop("copy").write.parquet(str(tmp_path / "supplier.parquet"))
     rows = R.table(spark, small, "customer").crossJoin(spark.range(10).withColumnRenamed("id", "copy"))
     rows.withColumn("c_custkey", F.col("c_custkey") + F.col("copy") * 10000).drop("copy").write.parquet(str(tmp_path / "customer.parquet"))
     return str(tmp_path)
