@@ -19,6 +19,12 @@ def test_unit_prices(spark):
     assert one(spark, S.unit_price(L(10.0), L(2.0), L(-5.0), L(None).cast("double")))[0] == 5.0
 
 
+def test_unit_cents_are_unit_prices(spark):
+    rows = spark.createDataFrame([(20e6, 40.0, 2e6, 10.0), (10.0, 3.0, None, None), (1e6, 5.0, 0.0, 6.0), (-7.0, 3.0, -1.0, 0.0), (None, 3.0, 0.0, 0.0), (5.0, None, 0.0, 0.0), (0.125, 1.0, 0.0, 0.0), (1e12, 0.37, 1.0, 0.01)], "a double, b double, c double, d double")
+    got = rows.select(S.unit_price(*map(F.col, "abcd")).alias("u"), S.unit_cents(*map(F.col, "abcd")).alias("n")).collect()
+    assert [r.u for r in got] == [r.n if r.n is None else r.n / 100 for r in got] and got[1].n == 333 and got[2].n == 0 and got[4].n is None
+
+
 def test_rounding_goes_half_up(spark):
     assert one(spark, S.half_up(L(-2.5), 0), S.half_up(L(2.5), 0), S.half_up(L(0.125), 2)) == (-2.0, 3.0, 0.13)
 

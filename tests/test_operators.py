@@ -289,3 +289,43 @@ def test_covered_grid_points_meet_one_polygon(spark):
     free = zone.withColumns({"ord": F.lit(3), "part": F.lit("q")})
     out = G.interior_point(zone.unionByName(free), ["ord"], excluded=zone.drop("ord").crossJoin(spark.range(2000)), on=["part"])
     assert met(out) <= 2000 and [r.ord for r in out.collect()] == [3]
+
+
+@pytest.mark.parametrize("name", ["price_trend"])
+def test_prices_leave_little_on_disk(spark, monkeypatch, name):
+    """Joins of sales deal keys and whole numbers only, and their shuffle files and tables are gone once sales are written."""
+    from hearthgauge.plans import queries as P
+    from hearthgauge.sources import scratch as T
+
+    saved, save = {}, T.Scratch.save
+    monkeypatch.setattr(T.Scratch, "save", lambda self, df, what, *a, **b: saved.setdefault(f"{self.root}/{what}", df) and save(self, df, what, *a, **b))
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: map(spark._jvm.java.io.File, blocks.getAllFiles().mkString("\n").split("\n"))
+    sizes = lambda: {f.getPath(): f.length() for f in files() if f.getName().startswith("shuffle_") and f.getName().endswith(".data")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        there = sizes()
+        P.QUERIES[name](spark, "/root/testdata/sf0.001")
+        left = lambda: sum(n for f, n in sizes().items() if f not in there)
+        until = time.monotonic() + 10
+        while left() > 5000 and time.monotonic() < until:
+            time.sleep(0.2)
+        assert left() <= 5000
+        dealt = {kind for path, df in saved.items() if not path.endswith("/asked") for kind in dealt_types(df)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert spark.conf.get(T.SHUFFLES_GO) == "false"
+    assert "bigint" in dealt and dealt <= {"bigint", "int", "string"}
+    kept = [p for p in saved if spark._jvm.java.io.File(p.removeprefix("file://")).exists()]
+    assert sorted(p.rsplit("/", 1)[1] for p in kept) == ["asked", "sales"]
+
+
+def dealt_types(df) -> set:
+    """Types of the columns that the plan of a frame shuffles."""
+    plan, seen = [df._jdf.queryExecution().executedPlan()], set()
+    while plan:
+        p = plan.pop()
+        plan += [p.executedPlan()] if p.nodeName() == "AdaptiveSparkPlan" else [p.children().apply(k) for k in range(p.children().size())]
+        if p.nodeName() == "Exchange":
+            seen |= {p.output().apply(k).dataType().simpleString() for k in range(p.output().size())}
+    return seen
