@@ -291,7 +291,7 @@ def test_covered_grid_points_meet_one_polygon(spark):
     assert met(out) <= 2000 and [r.ord for r in out.collect()] == [3]
 
 
-@pytest.mark.parametrize("name", ["price_trend", "price_trend_chart"])
+@pytest.mark.parametrize("name", ["price_trend", "price_trend_chart", "price_analysis"])
 def test_prices_leave_little_on_disk(spark, monkeypatch, name):
     """Joins of sales deal keys and whole numbers only, and their shuffle files and tables are gone once sales are written."""
     from hearthgauge.plans import queries as P
